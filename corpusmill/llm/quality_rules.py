@@ -1,10 +1,11 @@
 """Quality rules as weak supervision (DataFrame and SQL functions only).
 
-Rules vote good (1), bad (-1) or abstain (0) on each document. Expectation-maximisation over the
-counts of vote patterns estimates, without labels, how often each rule is right about good and about
-bad documents and how many are good; the posterior of "good" replaces all-must-pass filtering.
+Each rule looks for one sign and votes when it sees it, bad (-1) or good (1), else it abstains (0).
+Expectation-maximisation over the counts of vote patterns estimates, without labels, how many documents
+are good and how often each rule fires on good and on bad ones, which gives its accuracy, the share of
+its votes that are right. The posterior of "good" given votes and abstentions replaces all-must-pass filtering.
 
-There are at most 3 ** len(RULES) patterns, whatever the corpus: those counts alone reach the driver,
+There are at most 2 ** len(RULES) patterns, whatever the corpus: those counts alone reach the driver,
 where the EM runs; the posterior goes back as one SQL expression. Statistics are per document inside
 one row (arrays in the JVM), so no group of rows is ever gathered and nothing is shuffled but counts.
 
@@ -21,16 +22,19 @@ from pyspark.sql import functions as F
 from .common import WORD, stored
 
 WINDOW = 8
-#: name: (bad when, good when); neither: the rule abstains. Columns are those of statistics().
-RULES: dict[str, tuple[str, str]] = {
-    "symbols": ("n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
-    "repeats": ("n_repeat_words > 0.2 * n_words", "n_repeat_words <= 0.05 * n_words"),
-    "lines": ("n_dup_lines > 0.3 * n_lines", "n_lines >= 2 AND n_dup_lines = 0"),
-    "capitals": ("n_upper > 0.3 * word_chars", "n_upper <= 0.12 * word_chars"),
-    "marks": ("n_marks > 0.15 * n_words", "n_marks <= 0.03 * n_words"),
-    "word_length": ("word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
-    "variety": ("n_words >= 20 AND n_distinct_words < 0.2 * n_words", "n_distinct_words >= 0.3 * n_words OR n_words >= 2000"),
-    "stops": ("n_words >= 40 AND n_stops < 0.01 * n_words", "n_stops >= 0.03 * n_words"),
+#: name: (vote, when); otherwise the rule abstains. Columns are those of statistics().
+RULES: dict[str, tuple[int, str]] = {
+    "symbols": (-1, "n_symbols > 0.1 * n_words"),
+    "repeats": (-1, "n_repeat_words > 0.3 * n_words"),
+    "lines": (-1, "n_lines >= 4 AND n_dup_lines > 0.3 * n_lines"),
+    "capitals": (-1, "n_upper > 0.3 * word_chars"),
+    "marks": (-1, "n_marks > 0.15 * n_words"),
+    "word_length": (-1, "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
+    "variety": (-1, "n_words >= 15 AND n_distinct_words < 0.25 * n_words AND n_words < 2000"),
+    "stops": (-1, "n_words >= 40 AND n_stops < 0.01 * n_words"),
+    "sentences": (1, "n_words >= 10 AND n_stops BETWEEN 0.03 * n_words AND 0.4 * n_words AND n_symbols <= 0.02 * n_words"),
+    "calm": (1, "n_upper BETWEEN 0.005 * word_chars AND 0.12 * word_chars AND n_marks <= 0.02 * n_words AND n_symbols <= 0.02 * n_words"),
+    "fresh": (1, "(n_distinct_words >= 0.5 * n_words OR n_words >= 1000) AND n_repeat_words <= 0.05 * n_words AND n_symbols <= 0.02 * n_words AND n_marks <= 0.02 * n_words"),
 }
 
 
@@ -71,56 +75,58 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def votes(stats: DataFrame) -> DataFrame:
     """Adds vote_<rule>: -1, 0 or 1."""
-    vote = lambda bad, good: F.expr(f"CASE WHEN n_words = 0 THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END")
-    return stats.select("*", *[vote(*when).alias(f"vote_{name}") for name, when in RULES.items()])
+    vote = lambda way, when: F.expr(f"CASE WHEN n_words > 0 AND ({when}) THEN {way} ELSE 0 END")
+    return stats.select("*", *[vote(*rule).alias(f"vote_{name}") for name, rule in RULES.items()])
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, prior: float = 0.8, right: float = 0.85, weight: float = 20.0) -> tuple[float, list[tuple[float, float]]]:
-    """EM over (votes, count): the share of good documents, and each rule's accuracy on good and on bad ones.
+def fit(patterns: list[tuple[tuple[int, ...], int]], ways: tuple[int, ...], rounds: int = 200, prior: float = 0.8, weight: float = 20.0) -> tuple[float, list[tuple[float, float]]]:
+    """EM over (votes, count): the share of good documents, and each rule's rate of firing on good and on bad ones.
 
-    Accuracies start at `right` and keep a Beta prior of that mean worth `weight` documents, so that
-    rules which never vote keep a defined accuracy; they stay above 1/2, so the classes can't swap.
+    ways: how each rule votes. Rates start from what a usable rule does and keep a Beta prior of that
+    mean worth `weight` documents, so that rules which never fire stay defined; a rule can become
+    worthless but not change sides, so the classes can't swap.
     """
-    n = len(patterns[0][0]) if patterns else 0
-    acc = [(right, right)] * n
+    start = [(0.7, 0.3) if way > 0 else (0.01, 0.3) for way in ways]
+    rates = list(start)
     for _ in range(rounds if patterns else 0):
-        good_all = total = 0.0
-        tallies = [[weight * right, weight, weight * right, weight] for _ in range(n)]
+        good = bad = 0.0
+        fired = [[weight * g, weight * b] for g, b in start]
         for pattern, count in patterns:
-            p = posterior(pattern, prior, acc)
-            total += count
-            good_all += p * count
+            p = posterior(pattern, prior, rates)
+            good += p * count
+            bad += (1 - p) * count
             for r, v in enumerate(pattern):
                 if v:
-                    t = tallies[r]
-                    t[0] += p * count * (v > 0)
-                    t[1] += p * count
-                    t[2] += (1 - p) * count * (v < 0)
-                    t[3] += (1 - p) * count
-        moved = [(min(0.999, max(0.55, t[0] / t[1])), min(0.999, max(0.55, t[2] / t[3]))) for t in tallies]
-        shift = max((abs(a - b) for x, y in zip(acc, moved) for a, b in zip(x, y)), default=0.0)
-        acc, prior = moved, min(0.99, max(0.01, good_all / total))
+                    fired[r][0] += p * count
+                    fired[r][1] += (1 - p) * count
+        moved = [_rates(g / (good + weight), b / (bad + weight), way) for (g, b), way in zip(fired, ways)]
+        shift = max((abs(a - b) for x, y in zip(rates, moved) for a, b in zip(x, y)), default=0.0)
+        rates, prior = moved, min(0.99, max(0.01, good / (good + bad)))
         if shift < 1e-9:
             break
-    return prior, acc
+    return prior, rates
 
 
-def weights_of(prior: float, acc: list[tuple[float, float]]) -> tuple[float, list[tuple[float, float]]]:
-    """Log odds: the bias, and what a good and a bad vote of each rule adds."""
-    return math.log(prior / (1 - prior)), [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in acc]
+def _rates(good: float, bad: float, way: int) -> tuple[float, float]:
+    good, bad = (min(0.9999, max(0.0001, x)) for x in (good, bad))
+    return (max(good, bad), bad) if way > 0 else (min(good, bad), bad)
 
 
-def posterior(pattern: tuple[int, ...], prior: float, acc: list[tuple[float, float]]) -> float:
-    bias, adds = weights_of(prior, acc)
-    odds = bias + sum(up if v > 0 else down for v, (up, down) in zip(pattern, adds) if v)
+def accuracies(prior: float, rates: list[tuple[float, float]], ways: tuple[int, ...]) -> list[float]:
+    """Share of each rule's votes that are right."""
+    return [(prior * g if way > 0 else (1 - prior) * b) / (prior * g + (1 - prior) * b) for (g, b), way in zip(rates, ways)]
+
+
+def posterior(pattern: tuple[int, ...], prior: float, rates: list[tuple[float, float]]) -> float:
+    """Probability of good from which rules voted and which abstained."""
+    odds = math.log(prior / (1 - prior)) + sum(math.log(g / b) if v else math.log((1 - g) / (1 - b)) for v, (g, b) in zip(pattern, rates))
     return 1 / (1 + math.exp(-odds))
 
 
-def posterior_column(prior: float, acc: list[tuple[float, float]]) -> Column:
-    bias, adds = weights_of(prior, acc)
-    odds = F.lit(bias)
-    for name, (up, down) in zip(RULES, adds):
-        odds = odds + F.when(F.col(f"vote_{name}") > 0, F.lit(up)).when(F.col(f"vote_{name}") < 0, F.lit(down)).otherwise(F.lit(0.0))
+def posterior_column(prior: float, rates: list[tuple[float, float]]) -> Column:
+    odds = F.lit(math.log(prior / (1 - prior)))
+    for name, (g, b) in zip(RULES, rates):
+        odds = odds + F.when(F.col(f"vote_{name}") != 0, F.lit(math.log(g / b))).otherwise(F.lit(math.log((1 - g) / (1 - b))))
     return 1 / (1 + F.exp(-odds))
 
 
@@ -128,8 +134,9 @@ def judge(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataF
     """doc_id, the statistics, base_failed, quality (the posterior) and kept."""
     voted = stored(spark, votes(statistics(docs)), "quality-votes")
     names = [f"vote_{name}" for name in RULES]
-    usable = voted.where("n_words > 0").groupBy(*names).count().collect()  # at most 3 ** len(RULES) rows
-    prior, acc = fit(sorted((tuple(row[n] for n in names), row["count"]) for row in usable))
+    usable = voted.where("n_words > 0").groupBy(*names).count().collect()  # at most 2 ** len(RULES) rows
+    patterns = sorted((tuple(row[n] for n in names), row["count"]) for row in usable)
+    prior, rates = fit(patterns, tuple(way for way, _ in RULES.values()))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = voted.withColumn("base_failed", failed).withColumn("quality", posterior_column(prior, acc))
+    scored = voted.withColumn("base_failed", failed).withColumn("quality", posterior_column(prior, rates))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop(*names)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, simhash
+from . import decontaminate, html_extract, mixing, pii, pu_classifier, quality_rules, simhash, substring_dedup, token_counts, warc
 from .common import documents
 
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -18,20 +18,57 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark, documents(spark, sf_dir, "doc_id", "text")).select(*first)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contamination(spark, documents(spark, sf_dir, "doc_id", "text"), benchmark)
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_classifier.classify(spark, documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(spark, documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, documents(spark, sf_dir, "doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_surrogates(spark, documents(spark, sf_dir, "doc_id", "text"), counted=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_warc": op5_warc,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
+    "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
@@ -51,5 +88,23 @@ p AS (SELECT d.doc_id, d.size, g.source_size, g.target, floor(CASE WHEN g.source
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN 2 * before + size < 2 * (target - whole * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM p
+""",
+    "op5_warc": r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM f
+""",
+    "op6_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, coalesce({WORDS_SQL.format('text')}, []) AS w FROM documents),
+s AS (SELECT doc_id, unnest(generate_series(1, len(w) - 49)) AS i, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM s),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM h) WHERE doc_id > m),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS j FROM r),
+l AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT d.doc_id, w, [x.w FOR x IN list_transform(w, lambda v, i: {{'w': v, 'i': i}}) IF NOT coalesce(list_contains(gone, x.i), FALSE)] AS kept
+      FROM d LEFT JOIN l USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """,
 }

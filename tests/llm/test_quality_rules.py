@@ -51,18 +51,31 @@ def test_odd_rows(spark, odd, empty):
     assert Q.judge(spark, empty).count() == 0
 
 
-def test_em_recovers_accuracies():
+def test_em_recovers_rates_and_accuracies():
     rng = random.Random(1)
-    truth = [(0.9, 0.8), (0.7, 0.95), (0.85, 0.85), (0.8, 0.7)]
+    ways = (-1, -1, 1, 1)
+    truth = [(0.02, 0.5), (0.05, 0.6), (0.8, 0.3), (0.7, 0.1)]
     counts = {}
     for _ in range(40_000):
-        good = rng.random() < 0.7
-        votes = tuple(0 if rng.random() < 0.2 else (1 if (rng.random() < (a if good else 1 - b)) else -1) for a, b in truth)
+        good = rng.random() < 0.75
+        votes = tuple(w * (rng.random() < (g if good else b)) for w, (g, b) in zip(ways, truth))
         counts[votes] = counts.get(votes, 0) + 1
-    prior, acc = Q.fit(sorted(counts.items()))
-    assert abs(prior - 0.7) < 0.03
-    assert all(abs(x - y) < 0.05 for got, want in zip(acc, truth) for x, y in zip(got, want))
+    prior, rates = Q.fit(sorted(counts.items()), ways)
+    assert abs(prior - 0.75) < 0.03
+    assert all(abs(x - y) < 0.05 for got, want in zip(rates, truth) for x, y in zip(got, want))
+    acc = Q.accuracies(prior, rates, ways)
+    assert all(0.5 < a <= 1 for a in acc)
+    right = sum(n * (Q.posterior(v, prior, rates) >= 0.5) for v, n in counts.items() if v[:2] == (0, 0) and v[2:] == (1, 1))
+    assert right == counts[0, 0, 1, 1] and Q.posterior((-1, -1, 0, 0), prior, rates) < 0.5
 
 
 def test_fit_without_rows():
-    assert Q.fit([]) == (0.8, [])
+    prior, rates = Q.fit([], (-1, 1))
+    assert prior == 0.8 and len(rates) == 2
+
+
+def test_one_sign_of_junk_is_enough(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    bad = [r.kept for r in Q.judge(spark, docs).collect() if label.get(r.doc_id) == 0]
+    assert sum(bad) <= 0.4 * len(bad)
