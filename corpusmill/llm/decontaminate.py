@@ -30,31 +30,41 @@ BLOCK_CHARS = 2_000_000
 TABLE_BITS = 22
 HIT = "doc_id long, item_id long, start long, end long, edits int"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+FAR, NOTHING = 1 << 13, 0xFFFFFFFF
 _SPACE = np.zeros(128, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+_LOWER = np.arange(128, dtype=np.uint32)
+_LOWER[65:91] += 32
+_LOWER[_SPACE] = 32
+
+
 def normal(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Code points to compare, and where in the text each stands."""
     codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
-    space = _SPACE[np.minimum(codes, 127)] & (codes < 128)
-    keep = ~space
-    keep[1:] |= space[1:] & ~space[:-1]
-    at = np.flatnonzero(keep)
-    return np.where(space[at], 32, codes[at]).astype(np.uint32), at
+    codes = np.where(codes < 128, _LOWER[codes & 127], codes)
+    space = codes == 32
+    again = space[1:] & space[:-1]
+    if not again.any():
+        return codes, np.arange(len(codes))
+    at = np.flatnonzero(np.append(True, ~again))
+    return codes[at], at
 
 
 def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
-    """A 64-bit value of every q-gram."""
-    n = len(codes) - q + 1
-    if n <= 0:
+    """A 64-bit value of every q-gram, a polynomial put together from its halves."""
+    if len(codes) < q:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    wide = codes.astype(np.uint64)
-    for j in range(q):
-        out *= _MULTIPLIER
-        out += wide[j : j + n] + np.uint64(1)
+    base = int(_MULTIPLIER)
+    out, size = codes.astype(np.uint64) + np.uint64(1), 1
+    parts = out
+    for bit in bin(q)[3:]:
+        out = out[: len(out) - size] * np.uint64(pow(base, size, 1 << 64)) + out[size:]
+        size *= 2
+        if bit == "1":
+            out = out[: len(out) - 1] * _MULTIPLIER + parts[size:]
+            size += 1
     return out ^ (out >> np.uint64(29))
 
 
@@ -62,26 +72,27 @@ def _slot(values: np.ndarray) -> np.ndarray:
     return ((values * _MULTIPLIER) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def banded_edits(pattern: np.ndarray, text: np.ndarray, shift: int, width: int) -> tuple[int, int]:
-    """Least edits of the whole pattern in the text, and where the match ends, on diagonals [shift, shift + width).
+def banded_edits(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of each whole pattern in its region, and the diagonal on which that alignment ends.
 
-    Cell (i, j) aligns i pattern and i + shift + j text characters; text before and after is free.
+    patterns: (n, m) characters. regions: (n, m + width - 1) characters, NOTHING where there is no text.
+    Cell (i, j) aligns i pattern and i + j region characters, on diagonal j < width; text before and after
+    the match is free. A place without text matches nothing, which costs what leaving the pattern's
+    character out costs.
     """
-    n, j = len(text), np.arange(width)
-    far = 1 << 20
-    row = np.where((j + shift >= 0) & (j + shift <= n), 0, far)
-    for i in range(1, len(pattern) + 1):
-        at = i + shift + j  # text characters used
-        inside = (at >= 0) & (at <= n)
-        previous = np.clip(at - 1, 0, max(n - 1, 0))
-        same = (text[previous] == pattern[i - 1]) & (at >= 1) if n else np.zeros(width, bool)
-        diagonal = np.where(at >= 1, row + ~same, far)
-        drop = np.append(row[1:], far) + 1
-        best = np.where(inside, np.minimum(diagonal, drop), far)
-        row = np.minimum.accumulate(best - j) + j  # text characters left out
-        row = np.where(inside, row, far)
-    least = int(row.argmin())
-    return int(row[least]), len(pattern) + shift + least
+    n, m = patterns.shape
+    width = regions.shape[1] - m + 1
+    j = np.arange(width, dtype=np.int16)
+    row = np.zeros((n, width), np.int16)
+    drop = np.full((n, width), FAR, np.int16)
+    for i in range(m):
+        drop[:, :-1] = row[:, 1:]
+        row += regions[:, i : i + width] != patterns[:, i, None]
+        np.minimum(row, drop + 1, out=row)
+        np.minimum.accumulate(row - j, axis=1, out=row)
+        row += j
+    end = row.argmin(axis=1)
+    return row[np.arange(n), end], end
 
 
 class Block:
@@ -115,53 +126,77 @@ class Block:
         self.need = np.array([s[3] for s in self.segments], np.int64)
         self.band = np.array([s[2] + 1 for s in self.segments], np.int64)
 
-    def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, edits) of a text: for each item its verified regions, merged where they touch."""
-        if not text or not self.segments:
-            return []
-        codes, at = normal(text)
+    def candidates(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """(segment, first diagonal of the band) for every band with as many distinct q-grams of the segment as a match needs."""
         have = grams(codes, self.q)
         where = np.flatnonzero(self.known[_slot(have)])
         low = np.searchsorted(self.values, have[where], "left")
         n = np.searchsorted(self.values, have[where], "right") - low
-        some = n > 0
-        where, low, n = where[some], low[some], n[some]
-        if not len(where):
+        if not (total := int(n.sum())):
             return []
-        posting = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        segment = self.owner[posting]
-        diagonal = np.repeat(where, n) - self.offset[posting]
-        width = self.band[segment]
-        band = diagonal // width  # band b covers diagonals [b * w, (b + 2) * w)
+        posting = np.arange(total) - np.repeat(np.cumsum(n) - n - low, n)
+        segment, offset = self.owner[posting], self.offset[posting]
+        band = (np.repeat(where, n) - offset) // self.band[segment]  # band b covers diagonals [b * w, (b + 2) * w)
         span = len(codes) + 2 * SEGMENT + 8
-        key = np.concatenate([segment * span + band + SEGMENT + 2, segment * span + band + SEGMENT + 1])
-        keys, counts = np.unique(key, return_counts=True)
+        key = (segment * span + band + SEGMENT + 2) * SEGMENT + offset
+        # a q-gram of the segment counts once in a band, however often a repetitive text has it
+        keys = np.unique(np.concatenate([key, key - SEGMENT])) // SEGMENT
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts = np.diff(np.append(first, len(keys)))
+        keys = keys[first]
         owners = keys // span
         enough = counts >= self.need[owners]
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for key, s in zip(keys[enough].tolist(), owners[enough].tolist()):
-            item_id, own, k, _ = self.segments[s]
-            shift = (key - s * span - SEGMENT - 2) * (k + 1)
-            low = max(0, shift)
-            region = codes[low : shift + 2 * (k + 1) + len(own) + k]
+        owners, bands = owners[enough], keys[enough] % span - SEGMENT - 2
+        return list(zip(owners.tolist(), (bands * self.band[owners]).tolist()))
+
+    def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """(item_id, start, end, edits) of each text: for each item its verified regions, merged where they touch."""
+        out: list[list[tuple[int, int, int, int]]] = []
+        for i in range(0, len(texts), 256):  # the candidates of some texts are aligned together
+            out += self._search(texts[i : i + 256])
+        return out
+
+    def _search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        read = [normal(t) for t in texts]
+        todo: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        if self.segments:
+            for i, (codes, _) in enumerate(read):
+                for s, shift in self.candidates(codes):
+                    todo.setdefault((len(self.segments[s][1]), self.segments[s][2]), []).append((i, s, shift))
+        found: list[dict[int, list[tuple[int, int, int]]]] = [{} for _ in texts]
+        for (m, k), rows in todo.items():
             # the alignment's diagonals may leave those of its q-grams by k at either side
-            edits, end = banded_edits(own, region, shift - low - k, 2 * (k + 1) + 2 * k)
-            if edits <= k and len(region):
-                end += low
-                begin = max(0, end - len(own) - k + edits if edits else end - len(own))
-                found.setdefault(item_id, []).append((int(at[begin]), int(at[max(0, min(end, len(at)) - 1)]) + 1, edits))
-        out = []
-        for item_id, regions in found.items():
-            regions.sort()
-            start, end, edits = regions[0]
-            for a, b, e in regions[1:]:
-                if a <= end:
-                    end, edits = max(end, b), max(edits, e)
-                else:
-                    out.append((item_id, start, end, edits))
-                    start, end, edits = a, b, e
-            out.append((item_id, start, end, edits))
-        return sorted(out)
+            width = 2 * (k + 1) + 2 * k
+            for at in range(0, len(rows), 4096):
+                part = rows[at : at + 4096]
+                regions = np.full((len(part), m + width - 1), NOTHING, np.uint32)
+                for r, (i, _, shift) in zip(regions, part):
+                    codes, begin = read[i][0], shift - k
+                    piece = codes[max(0, begin) : max(0, begin + len(r))]
+                    r[max(0, -begin) : max(0, -begin) + len(piece)] = piece
+                edits, ends = banded_edits(np.stack([self.segments[s][1] for _, s, _ in part]), regions)
+                for (i, s, shift), e, j in zip(part, edits.tolist(), ends.tolist()):
+                    if e <= k:
+                        places, end = read[i][1], shift - k + m + j
+                        begin = max(0, end - m - (k - e if e else 0))
+                        found[i].setdefault(self.segments[s][0], []).append((int(places[begin]), int(places[max(0, min(end, len(places)) - 1)]) + 1, e))
+        return [merged(x) for x in found]
+
+
+def merged(found: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int, int]]:
+    """Regions of each item, joined where they touch, with the most edits of any of their segments."""
+    out = []
+    for item_id, regions in sorted(found.items()):
+        last: list[int] = []
+        for start, end, edits in sorted(regions):
+            if last and start <= last[1]:
+                last[1:] = [max(last[1], end), max(last[2], edits)]
+            else:
+                if last:
+                    out.append((item_id, *last))
+                last = [start, end, edits]
+        out.append((item_id, *last))
+    return out
 
 
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Block]:
@@ -184,7 +219,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(doc_id, *hit) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in block.search(text)]
+                rows = [(doc_id, *hit) for doc_id, hits in zip(batch.column(0).to_pylist(), block.search(batch.column(1).to_pylist())) for hit in hits]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "item_id", "start", "end", "edits"])
@@ -200,7 +235,7 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                yield batch.filter(pa.array([not block.search(t) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not hits for hits in block.search(texts)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

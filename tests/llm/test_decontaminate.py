@@ -43,17 +43,33 @@ def test_finds_what_brute_force_finds():
         codes, _ = C.normal(text)
         plain = "".join(map(chr, codes))
         want = any(edits("".join(map(chr, s)), plain) <= k for (_, s, k, _) in block.segments)
-        assert bool(block.search(text)) == want, trial
+        assert bool(block.search([text])[0]) == want, trial
     assert segments
 
 
 def test_banded_alignment():
     rng = random.Random(4)
+    pairs = []
     for _ in range(40):
         pattern = "".join(rng.choice("abcd") for _ in range(30))
-        text = spoiled(pattern, rng.randrange(5), rng)
-        to = lambda x: np.array([ord(c) for c in x], np.uint32)
-        assert C.banded_edits(to(pattern), to(text), -30, 80)[0] == edits(pattern, text)
+        pairs.append((pattern, spoiled(pattern, rng.randrange(5), rng)))
+    to = lambda x, n: [ord(c) for c in x] + [C.NOTHING] * (n - len(x))
+    regions = np.array([[C.NOTHING] * 30 + to(t, 79) for _, t in pairs], np.uint32)
+    got, _ = C.banded_edits(np.array([to(p, 30) for p, _ in pairs], np.uint32), regions)
+    assert got.tolist() == [edits(p, t) for p, t in pairs]
+
+
+def test_grams_of_any_length():
+    codes = np.array([ord(c) for c in "the cat sat on the mat"], np.uint32)
+    for q in range(1, 13):
+        values = C.grams(codes, q)
+        plain = ["the cat sat on the mat"[i : i + q] for i in range(22 - q + 1)]
+        assert len(values) == len(plain) and len(set(values.tolist())) == len(set(plain))
+
+
+def test_repetitive_text_is_no_candidate():
+    block = C.Block([(1, ITEM)])
+    assert block.candidates(C.normal("the lazy the lazy " * 200)[0]) == []
 
 
 def test_regions_and_case_and_space(spark):
