@@ -124,3 +124,4 @@ aligned_f1 = _scalar(pysource.aligned_f1, "double")
 function_facts = _scalar(pysource.function_facts, "struct<name:string,params:array<string>,calls:array<string>,strings:array<string>>")
 parses = _scalar(pysource.parses, "boolean")
 dedented = _scalar(pysource.dedented, "string")
+source_style = _scalar(pysource.source_style, "struct<is_async:boolean,decorated:boolean,has_docstring:boolean,typed:boolean,is_method:boolean>")

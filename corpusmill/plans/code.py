@@ -270,8 +270,8 @@ def exec_screen(spark, sf):
     return S.run_functions(rows, ["id"]).select("id", "reason")
 
 
-@query("ranked_window", "SELECT p_partkey FROM part WHERE p_size % 7 = 0 AND p_partkey % 5 = 0")
-def ranked_window(spark, sf):
+@query("parse_screened_sample", "SELECT p_partkey FROM part WHERE p_size % 7 = 0 AND p_partkey % 5 = 0")
+def parse_screened_sample(spark, sf):
     """Parse-screened sample: only texts that parse stay."""
     rows = rendered(spark, sf).where("p_partkey % 5 = 0").withColumn("code", F.when(F.col("p_size") % 7 == 0, F.col("code")).otherwise(F.concat("code", F.lit("("))))
     return rows.where(S.parses("code")).select("p_partkey")
