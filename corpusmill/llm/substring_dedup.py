@@ -15,6 +15,9 @@ window stands. So a first pass counts anchors over all documents (about one for
 windows whose anchor occurs in two documents reach the index. That drops nothing: two equal windows
 have equal anchors.
 
+Copies collapse first: of documents with one text the smallest doc_id stands for all, the others lose every
+word if the text has a window at all, and bring nothing to the index.
+
 Scale: anchors and windows are counted with partial aggregation before the shuffle and joined back by
 sort-merge joins that adaptive execution may split, so a passage in a third of all documents is a
 skewed join, not one task. No pairs are made: each window meets its first owner only. Texts are
@@ -108,6 +111,13 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_anchors, "anchor long, doc_id long")
 
 
+def copies_of(docs: DataFrame) -> DataFrame:
+    """doc_id of every document whose text a smaller doc_id has."""
+    digests = docs.where("text IS NOT NULL").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    return digests.join(firsts, "digest").where("doc_id > low").select("doc_id").distinct()
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["h", "proof", "doc_id", "start"]
     for batch in batches:
@@ -187,9 +197,11 @@ class WindowIndex:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, removed, digests, texts = [], [], [], []
-        for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts")):
+        for text, starts, copy in zip(batch.column("text").to_pylist(), batch.column("starts"), batch.column("copy").to_pylist()):
             words = words_of(text)
-            if starts.is_valid and len(starts.values):
+            if copy and len(words) >= WINDOW:
+                kept = []
+            elif starts.is_valid and len(starts.values):
                 edges = np.zeros(len(words) + 1, np.int64)
                 own = np.unique(starts.values.to_numpy())
                 edges[own] += 1
@@ -211,7 +223,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) ->
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by one space) for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id IS NOT NULL")
-    seen = stored(spark, anchors(named), "anchors")
+    copies = stored(spark, copies_of(named), "copies")
+    seen = stored(spark, anchors(named).join(copies, "doc_id", "left_anti"), "anchors")
     shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     wanted = seen.join(stored(spark, shared, "shared-anchors"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     candidates = stored(spark, windows(named, stored(spark, wanted, "wanted-anchors")), "windows")
@@ -231,6 +244,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) ->
     found = repeated[0]
     for more in repeated[1:]:
         found = found.union(more)
-    starts = stored(spark, found.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "removed-starts")
+    starts = found.groupBy("doc_id").agg(F.collect_set("start").alias("starts")).withColumn("copy", F.lit(False))
+    gone = copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
+    starts = stored(spark, starts.unionByName(gone), "removed-starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return docs.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(_kept, schema)
+    return docs.join(starts, "doc_id", "left").select("doc_id", "text", "starts", "copy").mapInArrow(_kept, schema)
