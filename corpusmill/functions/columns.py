@@ -147,6 +147,9 @@ def regex_docstring(text: Column | str, least: int = 8) -> Column:
     return F.when(F.length(flat) >= least, flat)
 
 
+# Fixed values in the next two: marks of docstring conventions, exception headings and names.
+
+
 def docstring_style(doc: Column | str) -> Column:
     """One convention found: that; none: plain prose; several: null."""
     found = {
@@ -190,9 +193,10 @@ def half(n: Column | str, least: int = 16) -> Column:
 
 # --- questions, answers and grades -------------------------------------------------------------------
 
-# What a generated question must not be about, and the prefixes it may begin with.
-META = ("as an ai", "language model", "here is", "here's a", "rewritten question", "i cannot", "i can't")
-PREFIXES = ("Question:", "Q:", "Rewritten:", "Answer:")
+# What a generated question must not speak of, the prefixes it may begin with, and answers too common to leak.
+META = r"(?i)fact card|ground.truth|style directive|as an ai|i cannot|the answer is"
+PREFIXES = ("Question:", "question:", "Q:")
+TRIVIAL = ("none", "then", "else", "true", "false")
 
 
 def text_norm(text: Column | str) -> Column:
@@ -206,7 +210,7 @@ def question_repair(text: Column | str, prefixes: tuple[str, ...] = PREFIXES) ->
     x = stripped(F.regexp_replace(col(text), r"(?s)<think>.*?</think>", ""))
     x = stripped(F.regexp_replace(x, r"^`+|`+$", ""))
     for p in prefixes:
-        x = F.when(F.startswith(F.lower(x), F.lit(p.lower())), stripped(F.substring(x, len(p) + 1, 1 << 30))).otherwise(x)
+        x = F.when(F.startswith(x, F.lit(p)), stripped(F.substring(x, len(p) + 1, 1 << 30))).otherwise(x)
     outer = (F.length(x) >= 2) & (F.left(x, F.lit(1)) == F.right(x, F.lit(1))) & F.left(x, F.lit(1)).isin('"', "'")
     x = F.when(outer, x.substr(F.lit(2), F.length(x) - 2)).otherwise(x)
     return stripped(F.regexp_replace(x, r"\s+", " "))
@@ -217,7 +221,7 @@ def format_reject(text: Column | str) -> Column:
     t = col(text)
     return (
         F.when(F.coalesce(F.length(t), F.lit(0)) == 0, "empty").when(F.length(t) < 8, "too_short").when(F.length(t) > 500, "too_long")
-        .when(~t.rlike("[A-Za-z]"), "no_letters").when(F.contains(t, F.lit("```")), "code_fence").when(contains_any(F.lower(t), META), "meta_phrase")
+        .when(~t.rlike("[A-Za-z]"), "no_letters").when(F.contains(t, F.lit("```")), "code_fence").when(t.rlike(META), "meta_reference")
     )
 
 
@@ -227,64 +231,56 @@ def quoted(term: Column) -> Column:
 
 
 def bounded_in(text: Column, term: Column) -> Column:
-    """The term stands in the text with no word character at either side."""
-    return F.regexp_like(text, F.concat(F.lit(r"(?<![0-9A-Za-z_])"), quoted(term), F.lit(r"(?![0-9A-Za-z_])")))
-
-
-TRIVIAL = ("yes", "no", "none", "true", "false", "null", "0", "1", "2")
+    """The term stands in the text with no word character (of any script) at either side."""
+    return F.regexp_like(text, F.concat(F.lit(r"(?U)(?<!\w)"), quoted(term), F.lit(r"(?!\w)")))
 
 
 def leak_terms(answer: Column, answer_type: Column, extra: Column) -> Column:
-    """What a question must not contain: the extra terms, the answer unless it says nothing, and the parts of several names."""
-    exempt = answer_type.isin("yesno", "letter") | F.lower(F.trim(answer)).isin(*TRIVIAL)
-    parts = F.when(answer_type.isin("name", "list") & F.contains(answer, F.lit(",")), F.transform(F.split(answer, ","), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
-    own = F.when(exempt, F.array().cast("array<string>")).otherwise(F.array(F.trim(answer)))
-    return F.filter(F.concat(extra, own, parts), lambda x: x.isNotNull() & (F.length(x) > 0))
+    """What a question must not contain: the extra terms, the answer unless it says nothing, and each of several names."""
+    nothing = F.array().cast("array<string>")
+    own = F.when(answer_type.isin("yesno", "letter") | text_norm(answer).isin(*TRIVIAL), nothing).when((answer_type == "name") & F.contains(answer, F.lit(",")), F.concat(F.array(answer), F.split(answer, ","))).otherwise(F.array(answer))
+    plain = F.transform(F.concat(extra, own), lambda x: F.trim(F.btrim(text_norm(x), F.lit('"'))))
+    return F.filter(plain, lambda x: x.isNotNull() & (x != ""))
 
 
 def leaks(question: Column, terms: Column) -> Column:
-    """Any term shows: a number not inside a word or decimal, an identifier on word bounds, other terms of three characters anywhere."""
-    number = lambda t: F.regexp_like(question, F.concat(F.lit(r"(?<![0-9A-Za-z_.])"), quoted(t), F.lit(r"(?![0-9A-Za-z_.])")))
-    symbol = lambda t: F.regexp_like(question, F.concat(F.lit(r"(?:^|[^0-9A-Za-z_])"), quoted(t), F.lit(r"(?:$|[^0-9A-Za-z_])")))
+    """Any term (of leak_terms) shows: a number not inside a word or decimal, a word on its bounds, other terms of three characters anywhere, short symbols on word bounds."""
+    q = text_norm(question)
+    number = lambda t: F.regexp_like(q, F.concat(F.lit(r"(?U)(?<![\w.])"), quoted(t), F.lit(r"(?![\w.])")))
     shows = lambda t: (
-        F.when(t.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), number(t)).when(t.rlike(r"^[A-Za-z_][0-9A-Za-z_]*$"), bounded_in(question, t))
-        .when(F.length(t) >= 3, F.contains(question, t)).otherwise(symbol(t))
+        F.when(t.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), number(t)).when(t.rlike(r"(?U)^\w+$"), bounded_in(q, t))
+        .when(F.length(t) >= 3, F.contains(q, t)).otherwise(~t.rlike(r"(?U)\w") & bounded_in(q, t))
     )
     return F.exists(terms, shows)
 
 
 def first_line(pred: Column | str, most: int = 200) -> Column:
-    return F.left(stripped(F.split_part(stripped(pred), F.lit("\n"), F.lit(1))), F.lit(most))
+    return F.left(stripped(F.split_part(col(pred), F.lit("\n"), F.lit(1))), F.lit(most))
 
 
 def corrected(pred: Column | str, most: int = 200) -> Column:
     """Cut at the first line end, Q: or A:."""
-    x = stripped(pred)
-    far = 1 << 30
+    x, far = col(pred), 1 << 30
     at = [F.when(F.locate(m, x) > 0, F.locate(m, x)).otherwise(F.lit(far)) for m in ("\n", "Q:", "A:")]
     return F.left(stripped(F.substring(x, F.lit(1), F.least(*at) - 1)), F.lit(most))
 
 
 def graded(pred: Column, gold: Column, kind: Column, intent: Column, siblings: Column) -> Column:
-    """Whether a prediction answers the gold by its type."""
+    """Whether a prediction answers the gold by its type; false for null."""
     p = stripped(F.regexp_replace(pred, r"(?s)<think>.*?</think>", ""))
     norm_p, norm_g = text_norm(p), text_norm(gold)
-    yesno = F.regexp_extract(F.lower(p), r"\b(yes|no)\b", 1) == F.lower(F.trim(gold))
-    letter = F.regexp_extract(p, r"\b([A-D])\b", 1) == F.trim(gold)
-    as_number = lambda x: F.nullif(F.regexp_extract(x, r"-?[0-9]+(?:\.[0-9]+)?", 0), F.lit("")).cast("double")
     digits = lambda x: F.regexp_extract_all(x, F.lit(r"([0-9]+)"), F.lit(1))
-    names = lambda x: F.filter(F.transform(F.split(x, ","), lambda n: text_norm(n)), lambda n: F.length(n) > 0)
-    several = F.contains(gold, F.lit(","))
-    pool = F.array_distinct(F.concat(names(gold), F.transform(siblings, lambda n: text_norm(n))))
-    seen = F.filter(pool, lambda n: bounded_in(norm_p, n))
-    distinct = F.size(F.array_distinct(names(gold))) == F.size(names(gold))
-    as_set = distinct & (F.array_sort(seen) == F.array_sort(F.array_distinct(names(gold))))
-    as_list = names(p) == names(gold)
-    alone = bounded_in(norm_p, norm_g) & ~F.exists(F.filter(F.transform(siblings, lambda n: text_norm(n)), lambda n: n != norm_g), lambda n: bounded_in(norm_p, n))
+    names = lambda x: F.filter(F.transform(F.split(x, ","), lambda n: text_norm(n)), lambda n: n != "")
+    number = F.nullif(F.regexp_extract(p, r"-?[0-9]+(?:\.[0-9]+)?", 0), F.lit("")).cast("double")
+    want, others = names(gold), F.filter(F.transform(siblings, lambda n: text_norm(n)), lambda n: n != "")
+    seen = F.filter(F.array_distinct(F.concat(want, others)), lambda n: bounded_in(norm_p, n))
+    as_set = (F.size(F.array_distinct(want)) == F.size(want)) & (F.array_sort(seen) == F.array_sort(want))
+    alone = bounded_in(norm_p, norm_g) & ~F.exists(others, lambda n: (n != norm_g) & bounded_in(norm_p, n))
+    several = (kind == "name") & F.contains(gold, F.lit(","))
     return F.coalesce(
-        F.when(norm_g == "", F.lit(False)).when(kind == "yesno", yesno).when(kind == "letter", letter).when(kind == "number", as_number(p) == as_number(gold))
-        .when(kind == "line_ref", (F.size(digits(gold)) > 0) & (digits(p) == digits(gold))).when((kind == "name") & several & (intent == "I6"), as_set)
-        .when((kind == "name") & several, as_list).when(kind == "name", alone).otherwise((norm_p == norm_g) | F.contains(norm_p, norm_g)),
+        F.when(kind == "yesno", F.regexp_extract(F.lower(p), r"\b(yes|no)\b", 1) == gold).when(kind == "letter", F.regexp_extract(p, r"\b([A-D])\b", 1) == gold)
+        .when(kind == "number", number == gold.try_cast("double")).when(kind == "line_ref", digits(p) == digits(gold)).when(norm_g == "", F.lit(False))
+        .when(several & (intent == "I6"), as_set).when(several, names(norm_p) == want).when(kind == "name", alone).otherwise(F.contains(norm_p, norm_g)),
         F.lit(False),
     )
 

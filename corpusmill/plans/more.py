@@ -80,7 +80,7 @@ def planted_leak_recall(spark, sf):
     term = F.split_part("answer", F.lit(" "), F.lit(2))
     rows = pairs(spark, sf).where((F.length(F.trim(term)) >= 3) & ~F.lower(F.trim(term)).isin("yes", "none", "true", "false", "null"))
     q = F.concat(F.lit("so is it "), term, F.lit(" then"))
-    return rows.agg(F.count("*").alias("planted"), F.count_if(C.leaks(q, F.array(F.trim(term)))).alias("caught"))
+    return rows.agg(F.count("*").alias("planted"), F.count_if(C.leaks(q, C.leak_terms(term, F.lit("substring"), F.array().cast("array<string>")))).alias("caught"))
 
 
 @query("concat_shards", "SELECT doc_id % 4 AS shard, count(*) AS n FROM documents GROUP BY shard")

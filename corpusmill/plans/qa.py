@@ -47,18 +47,19 @@ def question_repair(spark, sf):
 
 
 @query("format_reject", """SELECT role, CASE WHEN length(t) = 0 THEN 'empty' WHEN length(t) < 8 THEN 'too_short' WHEN length(t) > 500 THEN 'too_long' WHEN NOT regexp_matches(t, '[A-Za-z]') THEN 'no_letters' WHEN contains(t, '```') THEN 'code_fence'
- WHEN contains(lower(t), 'as an ai') OR contains(lower(t), 'language model') OR contains(lower(t), 'here is') OR contains(lower(t), 'here''s a') OR contains(lower(t), 'rewritten question') OR contains(lower(t), 'i cannot') OR contains(lower(t), 'i can''t') THEN 'meta_phrase' END AS reason, count(*) AS n
-FROM (SELECT role, left(text, 3 + length(text) % 600) AS t FROM conversations) GROUP BY ALL""")
+ WHEN regexp_matches(t, '(?i)fact card|ground.truth|style directive|as an ai|i cannot|the answer is') THEN 'meta_reference' END AS reason, count(*) AS n FROM (SELECT role, left(text, 3 + length(text) % 600) AS t FROM conversations) GROUP BY ALL""")
 def format_reject(spark, sf):
     t = F.col("text").substr(F.lit(1), (3 + F.length("text") % 600).cast("int"))
     return table(spark, sf, "conversations").groupBy("role", C.format_reject(t).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("answer_leak", f"""WITH {PAIRS}, t AS (SELECT conv_id, turn, question, split_part(answer, ' ', 1) AS term FROM pairs)
-SELECT conv_id, turn, CASE WHEN length(term) = 0 OR lower(trim(term)) IN ('yes', 'no', 'none', 'true', 'false', 'null', '0', '1', '2') THEN FALSE
- WHEN regexp_matches(term, '^-?[0-9]+(?:\\.[0-9]+)?$') THEN regexp_matches(question, '(^|[^0-9A-Za-z_.])' || regexp_escape(term) || '($|[^0-9A-Za-z_.])')
- WHEN regexp_matches(term, '^[A-Za-z_][0-9A-Za-z_]*$') THEN regexp_matches(question, '(^|[^0-9A-Za-z_])' || regexp_escape(term) || '($|[^0-9A-Za-z_])')
- WHEN length(term) >= 3 THEN contains(question, term) ELSE regexp_matches(question, '(^|[^0-9A-Za-z_])' || regexp_escape(term) || '($|[^0-9A-Za-z_])') END AS leaks FROM t""")
+NORM = r"trim(regexp_replace(lower(translate({}, '‘’“”' || chr(39), repeat(chr(34), 5))), '\s+', ' ', 'g'))"
+
+
+@query("answer_leak", rf"""WITH {PAIRS}, t AS (SELECT conv_id, turn, {NORM.format('question')} AS q, {NORM.format("split_part(answer, ' ', 1)")} AS n FROM pairs), u AS (SELECT *, trim(trim(n, chr(34))) AS term FROM t)
+SELECT conv_id, turn, CASE WHEN term = '' OR n IN ('none', 'then', 'else', 'true', 'false') THEN FALSE WHEN regexp_matches(term, '^-?[0-9]+(?:\.[0-9]+)?$') THEN regexp_matches(q, '(^|[^\p{{L}}\p{{N}}_.])' || regexp_escape(term) || '($|[^\p{{L}}\p{{N}}_.])')
+ WHEN regexp_matches(term, '^[\p{{L}}\p{{N}}_]+$') THEN regexp_matches(q, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(term) || '($|[^\p{{L}}\p{{N}}_])')
+ WHEN length(term) >= 3 THEN contains(q, term) ELSE NOT regexp_matches(term, '[\p{{L}}\p{{N}}_]') AND regexp_matches(q, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(term) || '($|[^\p{{L}}\p{{N}}_])') END AS leaks FROM u""")
 def answer_leak(spark, sf):
     """Whether a question shows the first word of its answer."""
     rows = pairs(spark, sf).withColumn("term", F.split_part("answer", F.lit(" "), F.lit(1)))
@@ -105,8 +106,8 @@ def seed_and_pair_id(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", C.seed_of(key).alias("seed"), F.substring(F.md5(F.concat_ws("|", F.lit("A1"), "turn", "conv_id")), 1, 16).alias("pair_id"))
 
 
-@query("prediction_extract", r"""SELECT conv_id, turn, left(trim(split_part(t, chr(10), 1)), 200) AS first_line, left(trim(left(t, least(CASE WHEN strpos(t, chr(10)) > 0 THEN strpos(t, chr(10)) ELSE 1000000 END, CASE WHEN strpos(t, 'Q:') > 0 THEN strpos(t, 'Q:') ELSE 1000000 END, CASE WHEN strpos(t, 'A:') > 0 THEN strpos(t, 'A:') ELSE 1000000 END) - 1)), 200) AS corrected
-FROM (SELECT conv_id, turn, trim(regexp_replace(text || ' Q: more' || chr(10) || 'tail', '^\s+|\s+$', '', 'g')) AS t FROM conversations)""")
+@query("prediction_extract", r"""SELECT conv_id, turn, left(regexp_replace(split_part(t, chr(10), 1), '^\s+|\s+$', '', 'g'), 200) AS first_line, left(regexp_replace(left(t, least(CASE WHEN strpos(t, chr(10)) > 0 THEN strpos(t, chr(10)) ELSE 1000000 END, CASE WHEN strpos(t, 'Q:') > 0 THEN strpos(t, 'Q:') ELSE 1000000 END, CASE WHEN strpos(t, 'A:') > 0 THEN strpos(t, 'A:') ELSE 1000000 END) - 1), '^\s+|\s+$', '', 'g'), 200) AS corrected
+FROM (SELECT conv_id, turn, text || ' Q: more' || chr(10) || 'tail' AS t FROM conversations)""")
 def prediction_extract(spark, sf):
     raw = F.concat("text", F.lit(" Q: more\ntail"))
     return table(spark, sf, "conversations").select("conv_id", "turn", C.first_line(raw).alias("first_line"), C.corrected(raw).alias("corrected"))

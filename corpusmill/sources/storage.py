@@ -42,8 +42,13 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
-def stored(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+def stored(spark: SparkSession, frame: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    by: columns to partition by, so that a filter on them reads no other part.
+    """
     path = scratch(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    frame.write.partitionBy(*by).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.stored_at = path
+    return out

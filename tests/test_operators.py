@@ -114,15 +114,15 @@ def test_band_edges(spark):
 
 @pytest.mark.parametrize(
     ("question", "term", "leak"),
-    [("is it 3 or not", "3", True), ("is it 3.5", "3", False), ("x13 y", "13", False), ("call add_numbers", "add", False), ("call add now", "add", True), ("the [] here", "[]", True), ("obj.attr", ".", False), ("a # b", "#", True), ("foo-bar baz", "foo-bar", True), ("\\E trick \\Q", "\\E", True)],
+    [("is it 3 or not", "3", True), ("is it 3.5", "3", False), ("x13 y", "13", False), ("call add_numbers", "add", False), ("call add now", "add", True), ("the [] here", "[]", True), ("obj.attr", ".", False), ("a # b", "#", True), ("foo-bar baz", "foo-bar", True), ("a \\E trick", "\\E", False), ("a \\e.x trick", "\\e.x", True)],
 )
 def test_leaks(spark, question, term, leak):
-    row = spark.createDataFrame([(question, term)], "q string, t string").select(C.leaks(F.col("q"), F.array("t")).alias("x")).first()
+    row = spark.createDataFrame([(question, term)], "q string, t string").select(C.leaks(F.col("q"), C.leak_terms(F.col("t"), F.lit("substring"), F.array().cast("array<string>"))).alias("x")).first()
     assert row.x == leak
 
 
 def test_question_repair(spark):
-    cases = {"<think>a\nb</think>  `What is it?`": "What is it?", 'Question: "Why  so?"': "Why so?", "Q: Answer: both": "both", "plain": "plain", "'q'": "q"}
+    cases = {"<think>a\nb</think>  `What is it?`": "What is it?", 'Question: "Why  so?"': "Why so?", "Question: Q: both": "both", "plain": "plain", "'q'": "q"}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", C.question_repair("t").alias("r")).collect()
     assert {r.t: r.r for r in rows} == cases
 
