@@ -121,22 +121,42 @@ class Block:
         self.values = self.values[order]
         self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
         self.offset = (np.concatenate(offset) if offset else np.zeros(0, np.int64))[order]
+        self.distinct, self.first, self.many = np.unique(self.values, return_index=True, return_counts=True)
+        slots = _slot(self.distinct)
         self.known = np.zeros(1 << TABLE_BITS, bool)
-        self.known[_slot(self.values)] = True
+        self.known[slots] = True
+        # a slot's value by its index; slots that values share are searched for instead
+        self.index = np.zeros(1 << TABLE_BITS, np.int32)
+        self.index[slots] = np.arange(len(slots))
+        self.crowded = np.zeros(1 << TABLE_BITS, bool)
+        found, times = np.unique(slots, return_counts=True)
+        self.crowded[found[times > 1]] = True
         self.need = np.array([s[3] for s in self.segments], np.int64)
         self.band = np.array([s[2] + 1 for s in self.segments], np.int64)
 
     def candidates(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """(segment, first diagonal of the band) for every band with as many distinct q-grams of the segment as a match needs."""
         have = grams(codes, self.q)
-        where = np.flatnonzero(self.known[_slot(have)])
-        low = np.searchsorted(self.values, have[where], "left")
-        n = np.searchsorted(self.values, have[where], "right") - low
+        slots = _slot(have)
+        where = np.flatnonzero(self.known[slots])
+        values, slots = have[where], slots[where]
+        at = self.index[slots].astype(np.int64)
+        if len(shared := np.flatnonzero(self.crowded[slots])):
+            at[shared] = np.minimum(np.searchsorted(self.distinct, values[shared]), len(self.distinct) - 1)
+        real = self.distinct[at] == values if len(at) else np.zeros(0, bool)
+        where, at = where[real], at[real]
+        low, n = self.first[at], self.many[at]
         if not (total := int(n.sum())):
             return []
         posting = np.arange(total) - np.repeat(np.cumsum(n) - n - low, n)
-        segment, offset = self.owner[posting], self.offset[posting]
-        band = (np.repeat(where, n) - offset) // self.band[segment]  # band b covers diagonals [b * w, (b + 2) * w)
+        segment, where = self.owner[posting], np.repeat(where, n)
+        # a band can't have more of a segment's q-grams than the whole text
+        able = np.bincount(segment, minlength=len(self.segments)) >= self.need
+        likely = able[segment]
+        if not likely.any():
+            return []
+        segment, where, offset = segment[likely], where[likely], self.offset[posting[likely]]
+        band = (where - offset) // self.band[segment]  # band b covers diagonals [b * w, (b + 2) * w)
         span = len(codes) + 2 * SEGMENT + 8
         key = (segment * span + band + SEGMENT + 2) * SEGMENT + offset
         # a q-gram of the segment counts once in a band, however often a repetitive text has it
