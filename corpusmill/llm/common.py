@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.sources.storage import remove, scratch, shared_dir, stored  # noqa: F401
+
 #: A word is a longest run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
-_SCRATCH: dict[str, str] = {}
-
 
 def words_of(text: str | None) -> list[str]:
     """The words of a text in order; null has none."""
@@ -32,38 +30,10 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table.select(*columns) if columns else table
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or our own where that is unset (tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file:///tmp/corpusmill-shared"
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; everything under it goes when the driver ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _SCRATCH:
-        _SCRATCH[app] = f"{shared_dir(spark)}/corpusmill-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(remove, spark, _SCRATCH[app])
-    return f"{_SCRATCH[app]}/{name}-{uuid.uuid4().hex[:8]}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system (a stopped session: leave it)."""
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def stored(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    path = scratch(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete stored frames that nothing will read again."""
+    for frame in frames:
+        remove(spark, frame.stored_at)
 
 
 def release(spark: SparkSession) -> None:

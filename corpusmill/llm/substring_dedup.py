@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, remove, scratch, stored, words_of
+from .common import discard, release, remove, scratch, stored, words_of
 
 WINDOW, GRAM = 50, 25
 BATCHES, FAN_OUT = 4, 2
@@ -182,10 +182,17 @@ class WindowIndex:
         repeated = stored(self.spark, repeated, "repeated-windows")
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         self.runs.append(self._write(owners.where("NOT old").repartition(parts, "h")))
+        discard(self.spark, owners)
         if len(self.runs) > self.fan_out:
             self.compact(parts)
         return repeated
 
+    def clear(self) -> None:
+        """Delete the runs of an index that no batch will meet again."""
+        for path in self.runs:
+            remove(self.spark, path)
+        self.runs = []
+
     def compact(self, parts: int) -> None:
         """Merge all runs into one; their keys are disjoint, as a run only gets what is in no other."""
         before = self.runs
@@ -225,27 +232,28 @@ def deduplicate(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) ->
     named = docs.where("doc_id IS NOT NULL")
     copies = stored(spark, copies_of(named), "copies")
     seen = stored(spark, anchors(named).join(copies, "doc_id", "left_anti"), "anchors")
-    shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    wanted = seen.join(stored(spark, shared, "shared-anchors"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    candidates = stored(spark, windows(named, stored(spark, wanted, "wanted-anchors")), "windows")
+    shared = stored(spark, seen.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared-anchors")
+    wanted = stored(spark, seen.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "wanted-anchors")
+    discard(spark, seen, shared)
+    marks = sorted(set(wanted.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or [])) if batches > 1 else []
+    batch_of = F.lit(0)
+    for low in marks:
+        batch_of = batch_of + (F.col("doc_id") > low).cast("int")
+    candidates = stored(spark, windows(named, wanted).withColumn("batch", batch_of), "windows", "batch")
+    discard(spark, wanted)
     release(spark)
-    cuts = [i / batches for i in range(1, batches)]
-    marks = candidates.agg(F.percentile_approx("doc_id", cuts, 10_000)).first()[0] or []
     index, repeated = WindowIndex(spark), []
-    edges = [None, *sorted(set(marks)), None]
-    for low, high in zip(edges, edges[1:]):
-        batch = candidates
-        if low is not None:
-            batch = batch.where(F.col("doc_id") > low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") <= high)
-        repeated.append(index.add(batch))
+    for i in range(len(marks) + 1):
+        repeated.append(index.add(candidates.where(F.col("batch") == i).drop("batch")))
         release(spark)
+    discard(spark, candidates)
+    index.clear()
     found = repeated[0]
     for more in repeated[1:]:
         found = found.union(more)
     starts = found.groupBy("doc_id").agg(F.collect_set("start").alias("starts")).withColumn("copy", F.lit(False))
     gone = copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
     starts = stored(spark, starts.unionByName(gone), "removed-starts")
+    discard(spark, copies, *repeated)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     return docs.join(starts, "doc_id", "left").select("doc_id", "text", "starts", "copy").mapInArrow(_kept, schema)
