@@ -21,7 +21,8 @@ def first_seen(rows: DataFrame, key: str, order: list[str], flag: str = "dup") -
     all rows share is combined before the shuffle; only its one winner is joined back.
     """
     firsts = rows.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    return rows.join(firsts, key).withColumn(flag, F.struct(*order) != F.col("_first")).drop("_first")
+    later = F.coalesce(F.struct(*order) != F.col("_first"), F.lit(False))  # a null key is nobody's copy
+    return rows.join(firsts, key, "left").withColumn(flag, later).drop("_first")
 
 
 def dedup(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -485,7 +485,7 @@ def reservoir_substitute(spark, sf):
     return O.first_per_group(run_dedup(spark, sf), ["event_type"], [C.hash_order("res", "event_id"), "event_id"], 40).select("event_id", "event_type")
 
 
-@query("waterfill_quota", "SELECT * FROM (VALUES ('de', 100::BIGINT), ('en', 100::BIGINT), ('es', 100::BIGINT), ('fr', 100::BIGINT)) t(lang, target)")
+@query("waterfill_quota", "SELECT lang, least(count(*), 100)::BIGINT AS target FROM documents GROUP BY lang")
 def waterfill_quota(spark, sf):
     """Allocation over aggregated supply: a handful of rows on the driver."""
     supply = {r.lang: min(r["count"], 100) for r in table(spark, sf, "documents").groupBy("lang").count().collect()}

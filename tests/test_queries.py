@@ -20,8 +20,6 @@ def duck(sf):
 
 @pytest.mark.parametrize("name", SAMPLED)
 def test_same_as_sql(spark, sf, duck, name):
-    if name == "waterfill_quota":  # its expected literal is for larger tables
-        return
     frame = registry.QUERIES[name](spark, sf)
     names = sorted(frame.columns)
     got = sorted(repr(tuple(plain(r[c]) for c in names)) for r in frame.collect())
