@@ -40,7 +40,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 DROPPED = frozenset("nav header footer aside form script style noscript template title head iframe svg math canvas object embed audio video button select option textarea input label fieldset dialog menu textarea xmp".split())
 # Words of class, id and role that mark what isn't the article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar aside menu navbar nav navigation breadcrumb breadcrumbs pagination pager header masthead footer comment comments disqus reply replies respond discussion share sharing social related recommended widget toolbar login search skip".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+STEMS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb", "sponsor")
+ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar note status".split())
 CLOSES = {  # Fixed values: what an opening tag ends, up to the nearest of the second set
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
@@ -60,15 +61,20 @@ class Element:
 
 
 def _marked(name: str, attributes: dict[str, str], inside: bool) -> bool:
+    """The element holds what isn't the article."""
     if name in DROPPED:
         # a header within an article holds its title, not the page's head
         return not (name == "header" and inside)
     if attributes.get("role", "").strip().lower() in ROLES or attributes.get("aria-hidden") == "true" or "hidden" in attributes:
         return True
-    if name in ("html", "body", "main", "article"):
+    if "display:none" in attributes.get("style", "").replace(" ", "").lower():
+        return True
+    if name in ("html", "body"):
         return False
-    words = set(_PART.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return bool(words & MARKS)
+    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+    if name in ("main", "article"):  # an article can be a reader's comment, and is seldom anything else
+        return inside and ("comment" in named or "reply" in named)
+    return any(x in named for x in STEMS) or bool(set(_PART.findall(named)) & MARKS)
 
 
 def parsed(page: str | None) -> tuple[dict[int, tuple[int, int]], list[tuple[tuple[int, ...], bool, bool, int, str]]]:

@@ -16,6 +16,12 @@ def test_article_without_what_is_around_it():
     assert text(page) == "A & B\nFirst. line\nSecond one link here.\none\ntwo"
 
 
+def test_comments_notices_and_hidden_parts():
+    page = """<body class="has-sidebar"><main><div id=top-notice>n</div><article><p>x<p style="display: none">no</p><p>y</p></article>
+    <ol class="commentList"><li>c1</ol><article class="userComment"><p>c2</p></article><div role="status">s</div><section class=related-posts>r</section></main></body>"""
+    assert text(page) == "x\ny"
+
+
 def test_blocks_unclosed_and_cut():
     assert text("<body><article><p><b>T.<br><p>x &lt;b&gt; y<p>cut &amp") == "T.\nx <b> y\ncut &"
     assert text("<article>a<p>b</p>c</article>") == "a\nb\nc"
