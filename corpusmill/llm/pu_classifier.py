@@ -118,10 +118,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     Where the negative part falls below zero, its gradient is followed upwards instead, as the
     estimator prescribes, so that the fit can't gain by memorising unlabelled rows.
     """
-    x = np.concatenate([positive, unlabelled])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + np.float32(1e-3)
-    p, u = (np.clip((a - mean) / scale, -8, 8).astype(np.float32) for a in (positive, unlabelled))
-    w, bias = np.zeros(x.shape[1], np.float32), float(np.log(prior / (1 - prior)))
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(axis=0, dtype=np.float64) + unlabelled.sum(axis=0, dtype=np.float64)) / n
+    square = sum(np.einsum("ij,ij->j", a, a, dtype=np.float64) for a in (positive, unlabelled)) / n
+    mean, scale = mean.astype(np.float32), (np.sqrt(np.maximum(square - mean**2, 0)) + 1e-3).astype(np.float32)
+    p, u = positive - mean, unlabelled - mean
+    for a in (p, u):  # in place: the sample is the driver's largest object
+        a /= scale
+        np.clip(a, -8, 8, out=a)
+    w, bias = np.zeros(len(mean), np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, rounds + 1):
         zp, zu = p @ w + bias, u @ w + bias
@@ -160,15 +165,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, p_rows: int =
     # both sides are at most p_rows + u_rows ids, so they are broadcast
     chosen = p_ids.select("doc_id", F.lit(True).alias("positive")).union(u_ids.select("doc_id", F.lit(False)))
     rows = mine.join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(_feature_rows, "positive boolean, x binary").toArrow()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
-    is_p = np.array(rows.column("positive").to_pylist(), dtype=bool)
+    held = rows.column("x").chunks
+    x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32, len(c) * N_FEATURES, 4 * N_FEATURES * c.offset).reshape(-1, N_FEATURES) for c in held if len(c)] or [np.zeros((0, N_FEATURES), np.float32)])
+    is_p = rows.column("positive").to_numpy().astype(bool)
+    del rows, held
     if not is_p.any() or is_p.all():
         flat = np.zeros(N_FEATURES)
         return Model(flat, flat + 1, flat, float(np.log(prior / (1 - prior))))
     # a defined order, so that sums and with them the fit don't depend on how tasks ended
     by_value = np.lexsort((x[:, 0], x[:, 1], x[:, CLASSES**3]))
-    x, is_p = x[by_value], is_p[by_value]
-    return fit(x[is_p], x[~is_p], prior)
+    positive, unlabelled = x[by_value[is_p[by_value]]], x[by_value[~is_p[by_value]]]
+    del x
+    return fit(positive, unlabelled, prior)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
