@@ -46,7 +46,7 @@ def mapped(rows: DataFrame, names: dict[str, str], skip: int = 0, order: str | N
 
 def jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> DataFrame:
     """Lines with identity: shard is the rank of the file's name, line counts from 0. Compression goes by suffix."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     lines = files.withColumn("shard", (F.dense_rank().over(Window.orderBy("file")) - 1).cast("long"))
     lines = lines.select("file", "shard", F.posexplode(F.split("value", "\n")).alias("line", "value"))
     return lines.where("value <> ''").withColumn("line", F.col("line").cast("long"))
