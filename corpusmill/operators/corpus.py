@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.storage import stored
+
 
 def first_seen(rows: DataFrame, key: str, order: list[str], flag: str = "dup") -> DataFrame:
     """Adds flag: a row with the same key stands before this one.
@@ -29,6 +31,20 @@ def dedup(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return first_seen(rows, key, order, "_dup").where("NOT _dup").drop("_dup")
 
 
+def global_rank(spark: SparkSession, rows: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """Adds the 1-based place of each row in a total order, without one task that sees all rows.
+
+    Rows are range-partitioned and sorted; a row's place is the number of rows in the partitions before
+    its own, and its place in it. What is broadcast is one row per partition.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = stored(spark, placed, "ranked")  # ranges come from a sample: they must not be drawn twice
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def eval_first_dedup(rows: DataFrame, key: str, split: str, order: list[str]) -> DataFrame:
     """Within each split the first of a key; of train only keys that no evaluation split has."""
     kept = dedup(rows.withColumn("_k", F.concat_ws("|", split, key)), "_k", order).drop("_k")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as C
@@ -70,7 +70,8 @@ def late_materialise(spark, sf):
 def projection_by_index(spark, sf):
     """row_idx is the rank in canonical order; only the asked-for columns are read."""
     rows = table(spark, sf, "documents").select("doc_id", "n_chars")
-    return rows.withColumn("row_idx", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long")).where("row_idx % 5 = 0").select("row_idx", "doc_id", "n_chars")
+    ranked = O.global_rank(spark, rows, ["doc_id"]).withColumn("row_idx", F.col("rank") - 1)
+    return ranked.where("row_idx % 5 = 0").select("row_idx", "doc_id", "n_chars")
 
 
 @query("discovery_grid", """SELECT strftime(d, '%Y-%m-%d') AS start, strftime(d + INTERVAL 20 DAY, '%Y-%m-%d') AS stop, license, lo AS stars_low
@@ -444,13 +445,14 @@ def mixture_draw(spark, sf):
 
 @query("sort_multi_key", f"WITH {BASE} SELECT doc_id, row_number() OVER (ORDER BY pile, ntok DESC, doc_id)::INT AS place FROM base")
 def sort_multi_key(spark, sf):
-    return slim(spark, sf).select("doc_id", F.row_number().over(Window.orderBy("pile", F.desc("ntok"), "doc_id")).alias("place"))
+    rows = slim(spark, sf).select("doc_id", "pile", "ntok")
+    return O.global_rank(spark, rows, ["pile", F.desc("ntok"), "doc_id"]).select("doc_id", F.col("rank").cast("int").alias("place"))
 
 
 @query("length_window", f"WITH {BASE} SELECT doc_id, ntok FROM (SELECT doc_id, ntok, row_number() OVER (ORDER BY ntok, doc_id) AS rn FROM base) WHERE rn BETWEEN 101 AND 132")
 def length_window(spark, sf):
     """A contiguous window of the length-sorted table."""
-    rows = slim(spark, sf).select("doc_id", "ntok", F.row_number().over(Window.orderBy("ntok", "doc_id")).alias("rn"))
+    rows = O.global_rank(spark, slim(spark, sf).select("doc_id", "ntok"), ["ntok", "doc_id"], "rn")
     return rows.where("rn BETWEEN 101 AND 132").select("doc_id", "ntok")
 
 

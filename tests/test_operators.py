@@ -149,3 +149,11 @@ def test_contract(spark):
     frame = spark.createDataFrame(rows, "row_idx long, intent string, held_out boolean, question string, answer string, answer_type string, source string, options array<string>")
     out = {r.row_idx: set(r.v) for r in frame.select("row_idx", E.violations().alias("v")).collect()}
     assert out == {1: set(), 2: {"letter beyond options"}, 3: {"held-out flag"}, 4: {"blank answer"}, 5: {"collapsed names"}, 6: {"yesno answer", "unknown source"}}
+
+
+def test_global_rank_is_the_order(spark):
+    rows = spark.range(1000).select("id", (F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 3).alias("g")).repartition(9)
+    got = {r.id: r.rank for r in O.global_rank(spark, rows, ["g", F.desc("k")]).collect()}
+    want = sorted(range(1000), key=lambda i: (i % 3, -(i * 7919 % 1000)))
+    assert got == {i: n for n, i in enumerate(want, 1)}
+    assert O.global_rank(spark, rows.where("false"), ["k"]).count() == 0
