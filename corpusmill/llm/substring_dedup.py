@@ -111,11 +111,15 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_anchors, "anchor long, doc_id long")
 
 
-def copies_of(docs: DataFrame) -> DataFrame:
+def copies_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id of every document whose text a smaller doc_id has."""
-    digests = docs.where("text IS NOT NULL").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
+    digests = stored(spark, docs.where("text IS NOT NULL").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest")), "digests")
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    return digests.join(firsts, "digest").where("doc_id > low").select("doc_id").distinct()
+    # stored, so that both sides of the join come straight from a shuffle and a text with very many copies can be split
+    firsts = stored(spark, firsts.select("digest", "low"), "copied-digests")
+    copies = stored(spark, digests.join(firsts, "digest").where("doc_id > low").select("doc_id"), "copies")
+    discard(spark, digests, firsts)
+    return copies
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +234,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) ->
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by one space) for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id IS NOT NULL")
-    copies = stored(spark, copies_of(named), "copies")
+    copies = copies_of(spark, named)
     seen = stored(spark, anchors(named).join(copies, "doc_id", "left_anti"), "anchors")
     shared = stored(spark, seen.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared-anchors")
     wanted = stored(spark, seen.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "wanted-anchors")
@@ -252,7 +256,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) ->
     for more in repeated[1:]:
         found = found.union(more)
     starts = found.groupBy("doc_id").agg(F.collect_set("start").alias("starts")).withColumn("copy", F.lit(False))
-    gone = copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
+    gone = copies.distinct().select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
     starts = stored(spark, starts.unionByName(gone), "removed-starts")
     discard(spark, copies, *repeated)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
