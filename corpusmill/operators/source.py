@@ -60,11 +60,14 @@ def extract_functions(files: DataFrame, keep: list[str], content: str = "content
 FACT = "intent string, grp string, seed string, answer string, answer_type string, held_out boolean, needs_phrasing boolean, picked boolean"
 
 
-def extract_facts(rows: DataFrame, keep: list[str], pool: list[str] | None = None) -> DataFrame:
-    """One row per fact of each function: rows has code, qualified, func_name, is_method. seed is JSON with sorted keys."""
+def extract_facts(rows: DataFrame, keep: list[str], pool: list[str] | None = None, intents: tuple[str, ...] = ()) -> DataFrame:
+    """One row per fact of each function: rows has code, qualified, func_name, is_method. seed is JSON with sorted keys.
+
+    intents: only these (none: all registered).
+    """
 
     def make(code: str, qualified: str, name: str, method: bool) -> list[tuple]:
-        found = facts_.extract_facts(code or "", qualified or "", name or "", bool(method), pool)
+        found = facts_.extract_facts(code or "", qualified or "", name or "", bool(method), pool, intents)
         return [(f.intent, facts_.INTENTS[f.intent].group, json.dumps(f.seed, sort_keys=True), f.answer, f.answer_type, f.held_out, f.needs_phrasing, f.picked) for f in found]
 
     return _generated(rows, ["code", "qualified", "func_name", "is_method"], keep, make, FACT)

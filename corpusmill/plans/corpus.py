@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as C
 from corpusmill.operators import corpus as O
+from corpusmill.sources.storage import stored
 
 from .registry import ORACLES, query, table
 
@@ -29,8 +30,12 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def slim(spark: SparkSession, sf: str) -> DataFrame:
-    """Without the text: what dedup, caps and draws carry through shuffles."""
-    return base(spark, sf).select("doc_id", "pile", "source", "lang", "ntok", "n_chars", "h").withColumn("band", C.band("ntok"))
+    """The annotation table, without the text: what dedup, caps and draws carry through shuffles.
+
+    It is written once: a filter on a derived column would else be pushed below it and count tokens again for each use.
+    """
+    rows = base(spark, sf).select("doc_id", "pile", "source", "lang", "ntok", "n_chars", "h")
+    return stored(spark, rows, "annotations").withColumn("band", C.band("ntok"))
 
 
 # --- scans ------------------------------------------------------------------------------------------------------
@@ -299,7 +304,8 @@ FAMILY = rf"""fam AS (SELECT doc_id, source AS repo, ntok, md5(array_to_string(l
 
 def families(spark: SparkSession, sf: str) -> DataFrame:
     """The family of a document is the skeleton of how it opens."""
-    return base(spark, sf).select("doc_id", F.col("source").alias("repo"), "ntok", F.md5(C.skeleton(F.left("text", F.lit(40)), KEYWORDS)).alias("fam"))
+    rows = base(spark, sf).select("doc_id", F.col("source").alias("repo"), "ntok", F.md5(C.skeleton(F.left("text", F.lit(40)), KEYWORDS)).alias("fam"))
+    return stored(spark, rows, "families")
 
 
 @query("family_stats", f"WITH {BASE}, {FAMILY} SELECT fam, count(*) AS size, count(DISTINCT lower(repo)) AS n_repos, count(DISTINCT lower(repo)) >= {FAMILY_REPOS} AS boilerplate FROM fam GROUP BY fam")
@@ -339,8 +345,8 @@ def val_repo_reservation(spark, sf):
 
 
 def drawn(spark: SparkSession, sf: str) -> DataFrame:
-    fams = families(spark, sf).select("doc_id", "fam")
-    stats = O.family_stats(families(spark, sf), FAMILY_REPOS).select("fam", "boilerplate")
+    known = families(spark, sf)
+    fams, stats = known.select("doc_id", "fam"), O.family_stats(known, FAMILY_REPOS).select("fam", "boilerplate")
     rows = slim(spark, sf).where("band IS NOT NULL").withColumnRenamed("source", "repo").join(fams, "doc_id").join(stats, "fam")
     reserved = O.reserve_repos(rows, {1: 20, 2: 30}).select("repo", F.lit(True).alias("reserved"))
     rows = rows.join(reserved, "repo", "left").fillna(False, ["reserved"])
