@@ -21,7 +21,7 @@ doc_id keep their fingerprint and take the component of others with it. Repeated
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -204,12 +204,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shard_rows: int = SHAR
     return marked.join(placed, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id.
+def deduplicated(spark: SparkSession, docs: DataFrame, find: Callable = near_duplicates) -> DataFrame:
+    """The documents that stay: of each component that find gives (doc_id, component_id) the one with the smallest doc_id.
 
     Rows without doc_id stay. Of rows that repeat a doc_id one stays; only those few are shuffled whole.
     """
-    found = stored(spark, near_duplicates(spark, docs), "near-copies")
+    found = stored(spark, find(spark, docs), "near-copies")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     stay = docs.join(gone, "doc_id", "left_anti")
