@@ -10,9 +10,10 @@ host's template; what stands between template tokens are its slots.
 
 A page's text goes to slots: the deepest template element above it. Slots under menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments are dropped, by element, role or class
-name. If the template has an article or main element, slots outside it are dropped too; else the slots
-that hold at least a tenth as much text over the host as its largest do are kept. Pages that their host's
-template doesn't fit (no kept slot with text) are read by their own elements alone.
+name. The template chooses the main nodes of its host: its own article and main elements if they hold
+text, else the lowest container that holds over half of the host's text. All that isn't dropped below a
+main node is kept, but for blocks that repeat on most different pages of the host, which are template
+text. Pages that their host's template doesn't fit (nothing kept) are read by their own elements alone.
 
 Templates are a few dozen hashes a host; they reach pages by a join on host, which Spark broadcasts if it
 is small and may split if it is skewed. Null and empty html give an empty text; null urls share one host.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MOST, MASS = 0.5, 0.1
+MOST, PAGES = 0.5, 3  # text repeats if it stands on most of at least so many different pages
 # Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
@@ -41,6 +42,7 @@ DROPPED = frozenset("nav header footer aside form script style noscript template
 # Words of class, id and role that mark what isn't the article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar aside menu navbar nav navigation breadcrumb breadcrumbs pagination pager header masthead footer comment comments disqus reply replies respond discussion share sharing social related recommended widget toolbar login search skip".split())
 STEMS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb", "sponsor")
+CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar note status".split())
 CLOSES = {  # Fixed values: what an opening tag ends, up to the nearest of the second set
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -56,11 +58,11 @@ _PART = re.compile(r"[a-z]+")
 class Element:
     __slots__ = ("block", "dropped", "inside", "name", "token")
 
-    def __init__(self, name: str, token: int, dropped: bool, inside: bool, block: int):
+    def __init__(self, name: str, token: int, dropped: bool, inside: int, block: int):
         self.name, self.token, self.dropped, self.inside, self.block = name, token, dropped, inside, block
 
 
-def _marked(name: str, attributes: dict[str, str], inside: bool) -> bool:
+def _marked(name: str, attributes: dict[str, str], inside: int) -> bool:
     """The element holds what isn't the article."""
     if name in DROPPED:
         # a header within an article holds its title, not the page's head
@@ -73,19 +75,20 @@ def _marked(name: str, attributes: dict[str, str], inside: bool) -> bool:
         return False
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
     if name in ("main", "article"):  # an article can be a reader's comment, and is seldom anything else
-        return inside and ("comment" in named or "reply" in named)
+        return bool(inside) and ("comment" in named or "reply" in named)
     return any(x in named for x in STEMS) or bool(set(_PART.findall(named)) & MARKS)
 
 
-def parsed(page: str | None) -> tuple[dict[int, tuple[int, int]], list[tuple[tuple[int, ...], bool, bool, int, str]]]:
-    """Tokens with (count, parent token), and text pieces as (tokens above, dropped, inside the article, block, text).
+def parsed(page: str | None) -> tuple[dict[int, tuple[int, int]], list[tuple[tuple[int, ...], bool, int, int, str]], set[int]]:
+    """Tokens with (count, parent token), text pieces as (tokens above, dropped, article, block, text), and the tokens of containers.
 
-    Pieces of one block share its number.
+    Pieces of one block share its number. The article is the token of the outermost article or main element above, or 0.
     """
     page = page or ""
     tokens: dict[int, tuple[int, int]] = {}
-    pieces: list[tuple[tuple[int, ...], bool, bool, int, str]] = []
-    stack = [Element("", 0, False, False, 0)]
+    pieces: list[tuple[tuple[int, ...], bool, int, int, str]] = []
+    containers: set[int] = set()
+    stack = [Element("", 0, False, 0, 0)]
     block, at = 0, 0
 
     def add(text: str) -> None:
@@ -136,12 +139,14 @@ def parsed(page: str | None) -> tuple[dict[int, tuple[int, int]], list[tuple[tup
             close(*CLOSES[name])
         if name in BLOCK:
             block += 1
-        inside = stack[-1].inside or name in ("article", "main") or attributes.get("role") == "main"
         label = re.sub(r"\d+", "0", f"{name}.{attributes.get('class', '')}#{attributes.get('id', '')}")
         parent = stack[-1].token
         token = xxhash.xxh64_intdigest(f"{parent}>{label}".encode("utf-8", "surrogatepass")) >> 1
         count, _ = tokens.get(token, (0, parent))
         tokens[token] = (count + 1, parent)
+        if name in CONTAINERS:
+            containers.add(token)
+        inside = stack[-1].inside or (token if name in ("article", "main") or attributes.get("role") == "main" else 0)
         if name in VOID:
             continue
         if name in RAW:
@@ -151,7 +156,7 @@ def parsed(page: str | None) -> tuple[dict[int, tuple[int, int]], list[tuple[tup
         if (rest or "").rstrip().endswith("/") and name not in BLOCK and name != "a":
             continue
         stack.append(Element(name, token, stack[-1].dropped or _marked(name, attributes, stack[-1].inside), inside, block))
-    return tokens, pieces
+    return tokens, pieces, containers
 
 
 def joined(pieces: list[tuple]) -> str:
@@ -163,24 +168,35 @@ def joined(pieces: list[tuple]) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def slot_of(above: tuple[int, ...], template: set[int]) -> int:
-    """The deepest template element above a text whose own ancestors are all template."""
-    slot = 0
+def path_of(above: tuple[int, ...], template: set[int]) -> list[int]:
+    """The root and the template elements above a text, down to the slot: the last whose own ancestors are all template."""
+    path = [0]
     for token in above:
         if token not in template:
             break
-        slot = token
-    return slot
+        path.append(token)
+    return path
 
 
-def main_text(page: str | None, template: set[int], main: set[int]) -> str:
-    """Text of the kept slots; of the page's own elements if none of them has any."""
-    _, pieces = parsed(page)
+def block_keys(pieces: list[tuple]) -> dict[int, int]:
+    """Block -> hash of its text, white space aside, for blocks with text."""
+    blocks: dict[int, list[str]] = {}
+    for *_, block, text in pieces:
+        blocks.setdefault(block, []).append(text)
+    words = ((block, " ".join("".join(x).split())) for block, x in blocks.items())
+    return {block: xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for block, x in words if x}
+
+
+def main_text(page: str | None, template: set[int], main: set[int], repeated: set[int] | frozenset[int] = frozenset()) -> str:
+    """Text below the main nodes without the host's repeated blocks; of the page's own elements if none is there."""
+    _, pieces, _ = parsed(page)
     good = [p for p in pieces if not p[1]]
-    inside = [p for p in good if p[2]]
-    kept = inside or [p for p in good if slot_of(p[0], template) in main]
+    kept = [p for p in good if not main.isdisjoint(path_of(p[0], template))]
+    if kept and repeated:
+        keys = block_keys(kept)
+        kept = [p for p in kept if keys.get(p[3]) not in repeated]
     text = joined(kept)
-    return text or joined(inside or good)
+    return text or joined([p for p in good if p[2]] or good)
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
@@ -239,27 +255,54 @@ def _with_host(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.regexp_replace(host, r"[\[\]]", ""))
 
 
-def slots(spark: SparkSession, pages: DataFrame, known: DataFrame, mass: float = MASS) -> DataFrame:
-    """host, template, main: the slots to keep, those with enough text over all pages of the host."""
+def _main_nodes(nodes: list[dict]) -> list[int]:
+    """The template's articles if they hold text; else the lowest container with over half of the host's text."""
+    if articles := [n["slot"] for n in nodes if n["article"]]:
+        return articles
+    now, total = 0, max((n["chars"] for n in nodes if n["slot"] == 0), default=0)
+    while below := [n["slot"] for n in nodes if n["slot"] and n["parent"] == now and 2 * n["chars"] > total]:
+        now = below[0]
+    return [now]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def slots(spark: SparkSession, pages: DataFrame, known: DataFrame) -> DataFrame:
+    """host, template, main (its main nodes), repeated (hashes of the blocks on most of the host's different pages)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            rows: dict[tuple[str, int], int] = {}
+            held: dict[tuple[str, int, int, bool], int] = {}
+            rows = []
             for host, page, template in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 known = set(template or ())
-                for above, dropped, _, _, text in parsed(page)[1]:
-                    if not dropped:
-                        key = (host, slot_of(above, known))
-                        rows[key] = rows.get(key, 0) + len(text.strip())
-            kinds = (pa.string(), pa.int64(), pa.int64())
-            columns = list(zip(*[(h, s, n) for (h, s), n in rows.items()])) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "slot", "chars"])
+                _, pieces, containers = parsed(page)
+                good = [p for p in pieces if not p[1]]
+                for above, _, article, _, text in good:
+                    if n := len(text.strip()):
+                        path = path_of(above, known)
+                        at = [t for t in path if not t or t in containers]
+                        nodes = [(t, p, False) for p, t in zip([0, *at], at)]
+                        if article and article in path:
+                            nodes.append((article, 0, True))
+                        for node in nodes:
+                            held[host, *node] = held.get((host, *node), 0) + n
+                same = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass")) >> 1
+                rows += [(host, None, None, None, None, key, same) for key in {0, *block_keys(good).values()}]
+            rows += [(*k, n, None, None) for k, n in held.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["host", "slot", "parent", "article", "chars", "text", "page"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_main_nodes(x) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["host", "main"])
 
     given = pages.join(known, "host", "left").select("host", "html", "template")
-    sums = given.mapInArrow(run, "host string, slot long, chars long").groupBy("host", "slot").agg(F.sum("chars").alias("chars"))
-    most = F.transform(F.filter("all", lambda x: x["chars"] >= mass * F.array_max(F.transform("all", lambda y: y["chars"]))), lambda x: x["slot"])
-    main = sums.groupBy("host").agg(F.collect_list(F.struct("slot", "chars")).alias("all")).select("host", most.alias("main"))
-    return stored(spark, main.join(known, "host", "left").select("host", "template", "main"), "slots")
+    found = stored(spark, given.mapInArrow(read, "host string, slot long, parent long, article boolean, chars long, text long, page long"), "page-slots")
+    sums = found.where("slot IS NOT NULL").groupBy("host", "slot", "parent", "article").agg(F.sum("chars").alias("chars"))
+    main = sums.groupBy("host").agg(F.collect_list(F.struct("slot", "parent", "article", "chars")).alias("all")).mapInArrow(choose, "host string, main array<long>")
+    texts = found.where("text IS NOT NULL").groupBy("host", "text").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= F.lit(MOST * PAGES))
+    hosts = found.where("text = 0").groupBy("host").agg(F.count_distinct("page").alias("host_pages")).where(F.col("host_pages") >= PAGES)
+    often = texts.where("text <> 0").join(hosts, "host").where(F.col("n") > MOST * F.col("host_pages")).groupBy("host").agg(F.collect_list("text").alias("repeated"))
+    return stored(spark, main.join(known, "host", "left").join(often, "host", "left").select("host", "template", "main", "repeated"), "slots")
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -270,9 +313,9 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, set(template or ()), set(main or ())) for page, template, main in zip(*(batch.column(i).to_pylist() for i in range(2, 5)))]
+            texts = [main_text(page, set(template or ()), set(main or ()), set(repeated or ())) for page, template, main, repeated in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    given = hosted.join(found, "host", "left").select("page_id", "url", "html", "template", "main")
+    given = hosted.join(found, "host", "left").select("page_id", "url", "html", "template", "main", "repeated")
     return given.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
