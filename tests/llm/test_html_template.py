@@ -28,3 +28,10 @@ def test_an_article_off_the_template_does_not_choose_for_its_page(spark):
     texts = [prose(rng, 60) for _ in range(20)]
     pages = [f"<body><div class='story'><p>{t}</p></div>" + ("<div><article>teaser</article></div>" if i == 3 else "") + "</body>" for i, t in enumerate(texts)]
     assert extracted(spark, pages) == texts
+
+
+def test_short_slots_beside_the_main_text_stay(spark):
+    rng = random.Random(3)
+    parts = [(f"Title {i}", prose(rng, 3), prose(rng, 200), f"said {i}", f"item {i}") for i in range(20)]
+    pages = [f"<body><div class='top'><p>{prose(rng, 2)}</p></div><div class='story'><h1>{a}</h1><h2>{b}</h2><p>{c}</p><blockquote>{d}</blockquote><ul><li>{e}</li></ul></div></body>" for a, b, c, d, e in parts]
+    assert extracted(spark, pages) == ["\n".join(x) for x in parts]
