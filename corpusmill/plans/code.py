@@ -206,7 +206,7 @@ def coverage_counters(spark, sf):
 
 
 def stacked(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rendered(spark, sf).where("p_partkey <= 400")
+    rows = rendered(spark, sf)
     stacks = O.stacks(rows.select(F.col("p_partkey").alias("id"), F.col("func_name").alias("name")))
     members = stacks.join(rows.withColumnRenamed("p_partkey", "id"), "id").groupBy("stack").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "qualified", "func_name", "code", "is_method"))).alias("m"))
     members = members.select("stack", F.transform("m", lambda x: F.struct(x["id"].alias("id"), x["qualified"].alias("qualified"), x["func_name"].alias("func_name"), x["code"].alias("code"), x["is_method"].alias("is_method"))).alias("members"))
