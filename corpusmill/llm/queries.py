@@ -55,7 +55,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.with_surrogates(spark, documents(spark, sf_dir, "doc_id", "text"), counted=True)
+    return pii.with_surrogates(spark, documents(spark, sf_dir, "doc_id", "text"), pii.session_key(spark), counted=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -32,7 +32,7 @@ def test_surrogates_keep_type_and_format():
         assert new != value and new == I.surrogate(value, kind, 0, keyed) != I.surrogate(value, kind, 0, I.Keyed("other"))
         if kind in ("email", "phone", "card", "ssn"):
             assert shape(new) == shape(value)
-    assert I.surrogate("a.b@x.example.com", "email").endswith(".com")
+    assert I.surrogate("a.b@x.example.com", "email", 0, keyed).endswith(".com")
     assert I.surrogate("+1 (988) 555-2485", "phone").startswith("+1 (")
     valid = "4539578763621486"
     assert int(I.luhn(valid[:-1])) == int(valid[-1])
@@ -56,7 +56,7 @@ def test_permutations_are_one_to_one():
 def test_coreference_and_collisions(spark):
     rows = [(i, f"mail u{i % 40}@a.example.com and {i % 10}{i % 10}5-12-{1000 + i % 40} or Mr. Bob") for i in range(80)] + [(99, "Mr. Bob wrote"), (100, TEXT)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r.text for r in I.with_surrogates(spark, docs).collect()}
+    out = {r.doc_id: r.text for r in I.with_surrogates(spark, docs, "k").collect()}
     real = {v for _, t in rows for v in values(t)}
     new = {}
     for doc_id, text in rows:
@@ -78,15 +78,93 @@ def test_draws_again_until_distinct(spark):
 
 def test_redrawn_values_reach_their_documents(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a one@x.example.com"), (2, "b two@x.example.com one@x.example.com"), (3, "none")], "doc_id long, text string")
-    first = I.surrogate("one@x.example.com", "email")
+    first = I.surrogate("one@x.example.com", "email", 0, I.Keyed("k"))
     clash = spark.createDataFrame([(4, f"c {first}")], "doc_id long, text string")
-    out = {r.doc_id: r.text for r in I.with_surrogates(spark, docs.union(clash)).collect()}
-    again = I.surrogate("one@x.example.com", "email", 1)
+    out = {r.doc_id: r.text for r in I.with_surrogates(spark, docs.union(clash), "k").collect()}
+    again = I.surrogate("one@x.example.com", "email", 1, I.Keyed("k"))
     assert out[1] == f"a {again}" and out[2].endswith(again) and out[3] == "none" and first not in " ".join(out.values())
 
 
 def test_odd_rows(spark, odd, empty):
-    out = I.with_surrogates(spark, odd)
+    out = I.with_surrogates(spark, odd, "k")
     assert out.columns == odd.columns
     assert sorted(map(repr, out.collect())) == sorted(map(repr, odd.collect()))
-    assert I.with_surrogates(spark, empty, counted=True).count() == 0
+    assert I.with_surrogates(spark, empty, "k", counted=True).count() == 0
+
+
+def test_names_are_linked_within_a_document():
+    keyed = I.Keyed("k")
+    given, family = I.surrogate("John Smith", "given_m", 0, keyed), I.surrogate("Smith", "family", 0, keyed)
+    assert given in I.GIVEN["latin", "m"]
+    new, n = I.replaced("Mr. John Smith met Mr. Smith. John Smith left, Smith too, and John. Smithson, Johnny stay. Dr. Smith came.", keyed)
+    assert new == f"Mr. {given} {family} met Mr. {family}. {given} {family} left, {family} too, and {given}. Smithson, Johnny stay. Dr. {family} came." and n == 6
+    assert I.replaced("Smith and John Smith without a title", keyed) == ("Smith and John Smith without a title", 0)
+
+
+def test_notations_of_one_value():
+    keyed = I.Keyed("k")
+    new = I.replaced("A.b@x.com a.b@X.com a.b@x.com", keyed)[0].split()
+    assert new[0].lower() == new[1].lower() == new[2] and new[0][0].isupper() and new[1].split("@")[1][0].isupper()
+    import ipaddress
+
+    found = I.replaced("2001:db8::ff00:42:8329 2001:0db8:0000:0000:0000:ff00:0042:8329 2001:db8::1", keyed)[0].split()
+    assert ipaddress.ip_address(found[0]) == ipaddress.ip_address(found[1]) != ipaddress.ip_address(found[2]) and len(found[1]) == 39
+    assert all(x.startswith("2001:") for x in found) and ipaddress.ip_address("2001:db8::ff00:42:8329") != ipaddress.ip_address(found[0])
+
+
+def test_secrets_go_whole():
+    keyed = I.Keyed("k")
+    for value in ("a1" * 160, "eyJhbGciOi." + "x9Zq" * 90 + ".sig_-1", "correcthorse", "Tr0ub4dor&3", "p\u00e4ss-w0rt!", "abc1" * 20_000):
+        for text in (f"x password: {value} y", f'x token = "{value} and more" y', f"x api_key='{value}' y"):
+            new, n = I.replaced(text, keyed)
+            assert n == 1 and len(new) == len(text) and value not in new
+            same = sum(a == b for a, b in zip(new, text) if b.isalnum() and b not in "xpasswordtokenapikeyandmore")
+            assert same < max(4, 0.3 * len(value)) and not any(c.isalnum() and not c.isascii() for c in new)
+    for text in ("the token: something here", "Secret: nobody", "auth = on"):
+        assert I.replaced(text, keyed) == (text, 0)
+
+
+def test_numbers_that_are_no_cards_stay():
+    assert I.entities("card 4539578763621486 and 4539578763621487 and 9177399536541148") == [(5, 21, "card")]
+
+
+def slow_replacement(rows, key):
+    """Brute force over all documents: every distinct part with its first draw that is no other's surrogate and no real value."""
+    keyed = I.Keyed(key)
+    parts = {(kind, value) for _, text in rows for span in I._spans(text) for _, _, kind, value in I._parts(text, span)}
+    real = {v for k, v in parts if not k.startswith("given")}
+    mark = lambda k, v, new: f"{new} {v.rpartition(' ')[2]}" if k.startswith("given") else new
+    draw = dict.fromkeys(parts, 0)
+    while True:
+        new = {(k, v): I.surrogate(v, k, d, keyed) for (k, v), d in draw.items()}
+        owner = {}
+        for part in sorted(parts):
+            owner.setdefault(mark(*part, new[part]), part)
+        lost = [p for p in parts if owner[mark(*p, new[p])] != p or mark(*p, new[p]) in real]
+        if not lost:
+            break
+        for p in lost:
+            draw[p] += 1
+    out = []
+    for doc_id, text in rows:
+        at, pieces = 0, []
+        for a, b, kind, value in (part for span in I._spans(text) for part in I._parts(text, span)):
+            pieces += [text[at:a], I.dressed(new[kind, value], kind, text[a:b])]
+            at = b
+        out.append((doc_id, "".join(pieces) + text[at:]))
+    return out
+
+
+def test_whole_tables_against_brute_force(spark):
+    rows = [(i if i % 7 else None, f"Mr. {'ABCDE'[i % 5]}dam Wolf{'xyz'[i % 3]} and u{i % 50}@a.com {i % 3}{i % 10}5-1{i % 4}-1000 pwd={i % 90:05d} {10 + i % 9}.0.0.1") for i in range(300)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    out = I.with_surrogates(spark, docs, "key")
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted((d or 0, t) for d, t in slow_replacement(rows + rows[:5], "key"))
+
+
+def test_a_key_is_needed(spark, empty):
+    import pytest
+
+    with pytest.raises(ValueError, match="key"):
+        I.with_surrogates(spark, empty, "")
+    assert len(key := I.session_key(spark)) == 64 and I.session_key(spark) == key
