@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.sources.storage import remove, scratch, shared_dir, stored  # noqa: F401
+from corpusmill.sources.storage import passing, remove, scratch, shared_dir, stored  # noqa: F401
 
 #: A word is a longest run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -67,3 +67,29 @@ def test_rolling_hash_is_a_function_of_the_words():
     h = np.arange(1, 500, dtype=np.uint64) * np.uint64(0x1234567890ABCDEF)
     assert (D.rolling(np.tile(h[:60], 5), 50)[60:71] == D.rolling(h[:60], 50)).all()
     assert len(D.rolling(h[:49], 50)) == 0 and len(np.unique(D.rolling(h, 50))) == 450
+
+
+def test_an_index_that_lasts(spark, tmp_path):
+    """Two calls on two halves give what one call on everything gives, in another object that opens the same folder."""
+    rng = random.Random(4)
+    passages = [[f"p{rng.randrange(10**6)}" for _ in range(60)] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(120))]
+        rows.append((i, " ".join(words[:40] + rng.choice(passages) + words[40:]) if i % 2 else " ".join(words)))
+    rows += [(60, rows[1][1]), (61, rows[59][1])]
+    docs, folder = spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/index"
+    got = {}
+    for part in ("doc_id < 30", "doc_id BETWEEN 30 AND 50", "doc_id > 50"):
+        for r in D.deduplicate(spark, docs.where(part), batches=2, index=D.WindowIndex(spark, folder)).collect():
+            got[r.doc_id] = (r.n_words, r.n_removed, r.kept_sha256)
+    assert got == brute(rows)
+    index = D.WindowIndex(spark, folder)
+    assert index.version > 6 and 1 <= len(index.runs) <= D.FAN_OUT
+    # a batch moves, history doesn't: the only exchange of the plan is the batch's own
+    batch = D.windows(D.keyed_rows(spark, docs.where("doc_id = 1")))
+    owners = index.owners(batch)
+    assert all(r.old for r in owners.collect())
+    plan = owners._jdf.queryExecution().executedPlan().toString().rpartition("== Initial Plan ==")[2]
+    assert plan.count("Exchange ") == 1, plan
+    assert plan.count("Bucketed: true") == len(index.runs), plan
