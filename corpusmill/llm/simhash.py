@@ -7,16 +7,19 @@ Copies collapse first: a fingerprint is indexed once, with its smallest doc_id.
 distance 3 or less agree on one of four 16-bit blocks, so the shards of the index are the
 fingerprints that share (block, value), each with a BK-tree whose children are keyed by their
 Hamming distance to the parent; a search follows only edges within the radius. A shard above
-SHARD_ROWS is dealt again by four 12-bit blocks of its other 48 bits (the same argument), so a value
-that a third of all fingerprints share does not become one task. All trees of a task are built
-and searched together, level by level, in arrays. Broadcasting every shard tree to every task would
-grow with the corpus, so shards travel by hash to the task that owns them instead.
+SHARD_ROWS is dealt again by four blocks of its other bits (the same argument), and again until none is
+above it or seven bits are left, so a value that a third of all fingerprints share does not become one
+task. Trees of several shards are built and searched together, level by level, in arrays, about TREE_ROWS
+rows at a time. Broadcasting every shard tree to every task would grow with the corpus, so shards travel by
+hash to the task that owns them instead.
 
 A task returns a spanning forest of its links (at most one edge a fingerprint), never all pairs.
 Components then come from alternating large-star and small-star rounds over stored edge tables.
 
 Texts without words have fingerprint zero and link like any other; null is such a text. Rows without
-doc_id keep their fingerprint and take the component of others with it. Repeated rows repeat.
+doc_id keep their fingerprint and take the component of others with it. Repeated rows repeat; rows that
+share a doc_id with different texts are different rows with that id. Very long texts are hashed whole, in
+pieces. Empty tables give empty results. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import WORD_RE, stored
 
 SEED, RADIUS, BLOCKS = 42, 3, 4
-SHARD_ROWS = 50_000
+SHARD_ROWS, TREE_ROWS = 50_000, 200_000
 FRONTIER = 400_000
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -141,33 +144,63 @@ def spanning(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[
 
 
 def _shard_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    shard, fps, rep = (table.column(c).to_numpy() for c in ("shard", "fp", "rep"))
-    child, root = spanning(shard, np.ascontiguousarray(fps).view(np.uint64))
-    a, b = rep[child], rep[root]
-    for i in range(0, len(a), 65_536):
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[i : i + 65_536]), pa.array(np.minimum(a, b)[i : i + 65_536])], ["a", "b"])
-
-
-def links(spark: SparkSession, reps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Edges (a, b), a > b, between representatives of (fp, rep): a spanning forest for each shard."""
-    block = lambda x, at, bits: F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << bits) - 1))
-    value = F.expr(f"CASE k {' '.join(f'WHEN {k} THEN shiftrightunsigned(fp, {16 * k}) & 65535L' for k in range(BLOCKS))} END")
-    dealt = reps.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(BLOCKS)]))).withColumn("v", value)
-    shards = dealt.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    dealt = dealt.join(shards, ["k", "v"])
-    # the other 48 bits: a rotation brings the shared block to the top
-    turned = F.expr(f"CASE k {' '.join(f'WHEN {k} THEN shiftleft(fp, {(48 - 16 * k) % 64}) | shiftrightunsigned(fp, {(16 + 16 * k) % 64})' if k < 3 else f'WHEN {k} THEN fp' for k in range(BLOCKS))} END")
-    large = F.col("n") > shard_rows
-    again = F.explode(F.when(large, F.array(*[F.lit(j) for j in range(BLOCKS)])).otherwise(F.array(F.lit(-1))))
-    dealt = dealt.withColumn("turned", turned).withColumn("j", again)
-    inner = F.expr(f"CASE j {' '.join(f'WHEN {j} THEN shiftrightunsigned(turned, {12 * j}) & 4095L' for j in range(BLOCKS))} ELSE 0L END")
-    shard = (F.col("k") * 5 + F.col("j") + 1).cast("long") * F.lit(1 << 28) + F.col("v") * 4096 + inner
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.select(shard.alias("shard"), "fp", "rep").repartition(parts, "shard").mapInArrow(_shard_edges, "a long, b long").distinct()
+    """Rows come sorted by shard; whole shards are searched together, about TREE_ROWS rows at a time."""
+
+    def found(shard: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        child, root = spanning(shard, fps.view(np.uint64))
+        a, b = fps[child], fps[root]
+        for i in range(0, len(a), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[i : i + 65_536]), pa.array(np.minimum(a, b)[i : i + 65_536])], ["a", "b"])
+
+    shards, fps, held = [], [], 0
+    for batch in batches:
+        shards.append(batch.column("shard").to_numpy())
+        fps.append(batch.column("fp").to_numpy())
+        held += batch.num_rows
+        if held >= TREE_ROWS:
+            shard, fp = np.concatenate(shards), np.concatenate(fps)
+            cut = int(np.searchsorted(shard, shard[-1], "left"))  # the last shard may go on
+            if cut:
+                yield from found(shard[:cut], fp[:cut])
+            shards, fps, held = [shard[cut:]], [fp[cut:]], len(shard) - cut
+    if held:
+        yield from found(np.concatenate(shards), np.concatenate(fps))
+
+
+def dealt(rows: DataFrame, width: int) -> DataFrame:
+    """(shard, rest, fp) by the value of each of four blocks of the `width` bits of rest; rest loses that block.
+
+    Two values of rest that differ in three bits or fewer agree on a block, so they share one of the new shards.
+    """
+    cuts = [width * i // BLOCKS for i in range(BLOCKS)] + [width]
+    case = lambda of: F.expr(f"CASE k {' '.join(f'WHEN {k} THEN {of(k)}' for k in range(BLOCKS))} END")
+    bits = lambda n: f"{(1 << n) - 1}L"
+    value = case(lambda k: f"shiftrightunsigned(rest, {cuts[k]}) & {bits(cuts[k + 1] - cuts[k])}")
+    high = lambda k: f"shiftleft(shiftrightunsigned(rest, {cuts[k + 1]}), {cuts[k]})" if k < BLOCKS - 1 else "0L"
+    rest = case(lambda k: f"(rest & {bits(cuts[k])}) | {high(k)}" if k else high(k))
+    spread = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(BLOCKS)])))
+    return spread.select(F.xxhash64("shard", "k", value).alias("shard"), rest.alias("rest"), "fp")
+
+
+def links(spark: SparkSession, fps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Edges (a, b), a > b, between distinct fingerprints (fp): a spanning forest for each shard."""
+    rows, width, parts = fps.select(F.lit(0).cast("long").alias("shard"), F.col("fp").alias("rest"), "fp"), 64, []
+    while True:
+        now = dealt(rows, width)
+        sized = stored(spark, now.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shards")
+        width -= width // BLOCKS
+        last = width < 2 * BLOCKS
+        small = now.join(sized if last else sized.where(F.col("n") <= shard_rows), "shard")
+        parts.append(small.select("shard", "fp"))
+        large = sized.where(F.col("n") > shard_rows).select("shard")
+        if last or large.isEmpty():
+            break
+        rows = stored(spark, now.join(large, "shard"), "large-shards")
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return every.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_shard_edges, "a long, b long").distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame, limit: int = 50) -> DataFrame:
@@ -180,6 +213,8 @@ def components(spark: SparkSession, edges: DataFrame, limit: int = 50) -> DataFr
 
     now = stored(spark, edges, "links")
     was = state(now)
+    if not was[0]:
+        return now.toDF("node", "component")
     for _ in range(limit):
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -199,21 +234,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shard_rows: int = SHAR
     """doc_id, fp, component_id for every row."""
     marked = stored(spark, fingerprints(docs), "fingerprints")
     reps = stored(spark, marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
-    found = components(spark, links(spark, reps, shard_rows))
-    placed = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    found = components(spark, links(spark, reps.select("fp"), shard_rows))
+    grouped = reps.join(found, reps["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
+    placed = stored(spark, grouped.join(least, "group").select("fp", "component_id"), "fingerprint-components")
     return marked.join(placed, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, find: Callable = near_duplicates) -> DataFrame:
     """The documents that stay: of each component that find gives (doc_id, component_id) the one with the smallest doc_id.
 
-    Rows without doc_id stay. Of rows that repeat a doc_id one stays; only those few are shuffled whole.
+    Rows without doc_id stay. Rows that repeat doc_id and text are one document, of which one row stays (the
+    least by a hash of all its columns); rows that repeat a doc_id with different texts are different documents, the smaller
+    hash of a text first.
     """
-    found = stored(spark, find(spark, docs), "near-copies")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    stay = docs.join(gone, "doc_id", "left_anti")
-    twice = stored(spark, twice, "repeated-ids")
+    named = stored(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")).where("doc_id IS NOT NULL"), "text-keys")
+    twice = stored(spark, named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
     if twice.isEmpty():
-        return stay
-    return stay.join(twice, "doc_id", "left_anti").unionByName(stay.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        found = stored(spark, find(spark, docs), "near-copies")
+        gone = found.where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti")
+    # repeated ids get one of their own for each of their texts, below all others, and one row for each
+    own = named.join(twice, "doc_id").distinct().withColumn("_own_id", -F.shiftrightunsigned(F.xxhash64("doc_id", "text_key"), 1) - 1)
+    own = stored(spark, own.withColumnsRenamed({"doc_id": "_own_doc", "text_key": "_own_key"}), "own-ids")
+    given = docs.join(own, (F.col("doc_id").cast("long") == F.col("_own_doc")) & (F.xxhash64("text") == F.col("_own_key")), "left").drop("_own_doc", "_own_key")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = given.where("_own_id IS NOT NULL").groupBy("_own_id").agg(F.min(F.struct(F.xxhash64(*columns).alias("_own_hash"), *columns)).alias("_own_row"))
+    rows = given.where("_own_id IS NULL").withColumn("_own_id", F.col("doc_id").cast("long")).unionByName(least.select(*[F.col("_own_row")[c].alias(c) for c in docs.columns], "_own_id"))
+    rows = stored(spark, rows, "single-rows")
+    found = stored(spark, find(spark, rows.where("_own_id IS NOT NULL").select(F.col("_own_id").alias("doc_id"), "text")), "near-copies")
+    real = found.join(own, found["doc_id"] == own["_own_id"], "left").select(found["doc_id"], "component_id", F.coalesce("_own_doc", found["doc_id"]).alias("real"), F.coalesce("_own_key", F.lit(0)).alias("text_key"))
+    stay = real.groupBy("component_id").agg(F.min(F.struct("real", "text_key", "doc_id"))["doc_id"].alias("_own_id")).select("_own_id")
+    return rows.join(stay, "_own_id", "left_semi").unionByName(rows.where("_own_id IS NULL")).select(*columns)
