@@ -12,7 +12,8 @@ The outcome per source is one cut key, so documents get their decision by a join
 source and are never sorted, collected or shuffled by source.
 
 Null text has size 0 and null source is a source of its own, the last. Sizes of 0 take 0. Rows that
-share a doc_id share a hash key, so they are taken together. Empty tables give empty results.
+share a doc_id share a hash key, so they are taken together. Very long texts are counted whole. Empty tables give
+empty results. The columns that are added replace a caller's of the same name; no other name clashes.
 """
 
 from __future__ import annotations
@@ -83,25 +84,39 @@ def mix_plan(spark: SparkSession, slim: DataFrame, weights: tuple[int, ...], sha
 
 
 def with_taken(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds source_size, target, repeats and taken to rows with doc_key, source and size."""
-    cell = F.substring("doc_key", 1, CELL_DIGITS)
+    """Adds _mix_source_size, _mix_target, _mix_repeats and _mix_taken to rows with source, _mix_size and _mix_key."""
+    plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns])
+    col = lambda name: F.col(f"_mix_{name}")
+    cell = F.substring("_mix_key", 1, CELL_DIGITS)
     # without a last cell the fraction is empty, or it is the whole source by rounding
-    extra = F.when(F.col("last_cell").isNull(), F.col("more") >= F.col("source_size")).otherwise(
-        (cell < F.col("last_cell")) | ((cell == F.col("last_cell")) & F.coalesce(F.col("doc_key") <= F.col("last_key"), F.lit(False)))
+    extra = F.when(col("last_cell").isNull(), col("more") >= col("source_size")).otherwise(
+        (cell < col("last_cell")) | ((cell == col("last_cell")) & F.coalesce(col("key") <= col("last_key"), F.lit(False)))
     )
-    joined = docs.join(plan, docs["source"].eqNullSafe(plan["plan_source"]))
-    repeats = F.col("whole") + F.when((F.col("more") > 0) & extra, 1).otherwise(0)
-    return joined.withColumn("repeats", repeats.cast("long")).withColumn("taken", (F.col("repeats") * F.col("size")).cast("long")).drop("plan_source", "whole", "more", "last_cell", "last_key")
+    joined = docs.join(plan, F.col("source").eqNullSafe(col("plan_source")))
+    repeats = col("whole") + F.when((col("more") > 0) & extra, 1).otherwise(0)
+    return joined.withColumn("_mix_repeats", repeats.cast("long")).withColumn("_mix_taken", (col("repeats") * col("size")).cast("long"))
+
+
+def _named(rows: DataFrame, columns: list[str], added: tuple[str, ...]) -> DataFrame:
+    """Own columns of the rows, then the mix's; of the same name (in any case) the mix's."""
+    own = [c for c in columns if c.lower() not in added]
+    return rows.select(*[F.col(f"`{c}`") for c in own], *[F.col(f"_mix_{c}").alias(c) for c in added])
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, repeats, taken for every document."""
     slim = stored(spark, docs.select("doc_id", "source", word_count().alias("size"), hash_key(seed).alias("doc_key")), "mix-slim")
-    return with_taken(slim, mix_plan(spark, slim, weights, share, epochs)).drop("doc_key")
+    plan = mix_plan(spark, slim, weights, share, epochs)
+    taken = with_taken(slim.withColumnsRenamed({"size": "_mix_size", "doc_key": "_mix_key"}), plan)
+    return _named(taken, ["doc_id", "source"], ("size", "source_size", "target", "repeats", "taken"))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0, seed: str = "mix") -> DataFrame:
-    """The documents the mix takes, whole, each with its repetitions; those it doesn't take are gone."""
-    sized = docs.withColumn("size", word_count()).withColumn("doc_key", hash_key(seed))
-    slim = stored(spark, sized.select("source", "size", "doc_key"), "mix-slim")
-    return with_taken(sized, mix_plan(spark, slim, weights, share, epochs)).where("repeats > 0").drop("doc_key")
+    """The documents the mix takes, whole, each with size, source_size, target, repeats and taken; those it doesn't take are gone.
+
+    Other columns stay as they are; a column of docs with one of those five names is replaced.
+    """
+    sized = docs.withColumn("_mix_size", word_count()).withColumn("_mix_key", hash_key(seed))
+    slim = stored(spark, sized.select("source", F.col("_mix_size").alias("size"), F.col("_mix_key").alias("doc_key")), "mix-slim")
+    taken = with_taken(sized, mix_plan(spark, slim, weights, share, epochs)).where("_mix_repeats > 0")
+    return _named(taken, docs.columns, ("size", "source_size", "target", "repeats", "taken"))
