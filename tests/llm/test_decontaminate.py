@@ -35,14 +35,14 @@ def spoiled(text, n, rng):
 def test_finds_what_brute_force_finds():
     rng = random.Random(2)
     block = C.Block([(1, ITEM)])
-    segments = [s[1] for s in block.segments]
+    segments = [s[0] for s in block.segments]
     letters = "abcdefghij     "
     for trial in range(60):
         around = ["".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(2)]
         text = around[0] + spoiled(ITEM, rng.randrange(0, 30), rng) + around[1]
         codes, _ = C.normal(text)
         plain = "".join(map(chr, codes))
-        want = any(edits("".join(map(chr, s)), plain) <= k for (_, s, k, _) in block.segments)
+        want = any(edits("".join(map(chr, s)), plain) <= k for (s, k, _, _) in block.segments)
         assert bool(block.search([text])[0]) == want, trial
     assert segments
 
@@ -85,10 +85,11 @@ def test_regions_and_case_and_space(spark):
 
 def test_blocks_split_nothing(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    small = list(C.blocks(bench, 3_000))
-    whole = list(C.blocks(bench))
+    small = [items.value for _, items in C.blocks(spark, bench, 3_000)]
+    whole = [items.value for _, items in C.blocks(spark, bench)]
     assert len(small) > 1 and len(whole) == 1
-    assert sorted(i for b in small for i, *_ in b.segments) == sorted(i for i, *_ in whole[0].segments)
+    assert sorted(x for b in small for x in b) == sorted(whole[0])
+    assert all(sum(len(t) for _, t in b) <= 3_000 or len(b) == 1 for b in small)
 
 
 def test_whole_items_in_documents(spark, sf):
@@ -106,3 +107,62 @@ def test_odd_rows(spark, odd, empty):
     assert C.clean(spark, odd, bench).count() == 10
     assert C.clean(spark, empty, bench).count() == 0
     assert C.contamination(spark, odd, bench.where("false")).count() == 0
+
+
+def test_passages_of_95_characters():
+    rng = random.Random(8)
+    item = "".join(rng.choice("abcdefghijklmnop ") for _ in range(600)).replace("  ", " x")
+    block = C.Block([(1, item)])
+    for start in range(0, len(item) - 95, 7):
+        assert block.search([f"zz {item[start : start + 95]} zz"])[0], start
+
+
+def test_short_items():
+    block = C.Block([(1, "Short answer is 42!"), (2, "yes"), (3, "exactly"), (4, "  \n"), (5, "short answer is 42!")])
+    find = lambda t: sorted((i, t[a:b]) for i, a, b, _ in block.search([t])[0])
+    assert find("The SHORT  answer\nis 42! Right") == [(1, "SHORT  answer\nis 42!"), (5, "SHORT  answer\nis 42!")]
+    assert find("ashort answer is 42!") == [] == find("short answer is 43!")
+    assert find(" Yes\n") == [(2, "Yes")] and find("yes indeed") == [] and find("exactly") == [(3, "exactly")] and find("") == [] and find(None) == []
+
+
+def test_a_prompt_that_items_share():
+    """Items of one repeated phrase: memory follows the text and pieces, not items times places, and each item is found."""
+    import tracemalloc
+
+    block = C.Block([(i, "Question: what is it? Answer: " * 6 + str(i)) for i in range(1_500)])
+    text = "question: what is it? answer: " * 40
+    tracemalloc.start()
+    hits = block.search([text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len({i for i, *_ in hits}) == 1_500 and peak < 300e6
+
+
+def slow_hits(text, items):
+    """Items with a segment (or, short, the whole) within its budget anywhere in the text."""
+    plain, found = " ".join(text.lower().split()), set()
+    for item_id, item in items:
+        item = " ".join(item.lower().split())
+        if not item:
+            continue
+        m = min(80, len(item))
+        for s in {*range(0, len(item) - m + 1, 16), len(item) - m}:
+            if edits(item[s : s + m], plain) <= (8 if m == 80 else int(0.1 * m) if m + 1 - 8 - int(0.1 * m) * 8 >= 1 else 0):
+                found.add(item_id)
+    return found
+
+
+def test_the_table_against_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("etaoinsh") for _ in range(rng.randrange(2, 8)))
+    items = [(i, " ".join(word() for _ in range(rng.randrange(8, 40)))) for i in range(12)]
+    rows = []
+    for i in range(60):
+        text = [word() for _ in range(20)]
+        if i % 2:
+            item = rng.choice(items)[1]
+            a = rng.randrange(max(1, len(item) - 60))
+            text.insert(10, spoiled(item[a : a + rng.randrange(40, 200)], rng.randrange(12), rng))
+        rows.append((i, " ".join(text)))
+    hits = C.contamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in hits} == {(i, x) for i, t in rows for x in slow_hits(t, items)}
