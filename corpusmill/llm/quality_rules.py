@@ -9,7 +9,10 @@ There are at most 2 ** len(RULES) patterns, whatever the corpus: those counts al
 where the EM runs; the posterior goes back as one SQL expression. Statistics are per document inside
 one row (arrays in the JVM), so no group of rows is ever gathered and nothing is shuffled but counts.
 
-Null and empty texts have no words and fail the base rules. Repeated rows each get their own result.
+Windows of words and words of a stretch are compared by 64-bit hashes (chained for windows), so of two different ones
+in one text one pair in 10^19 counts as equal. Null and empty texts have no words and fail the base rules. Very long texts are
+read whole, in time in proportion (times a logarithm where windows repeat). Repeated rows each get their own result. An empty
+table gives an empty one. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stored
 
-WINDOW = 8
+WINDOW, STRETCH = 8, 50
 #: name: (vote, when); otherwise the rule abstains. Columns are those of statistics().
 RULES: dict[str, tuple[int, str]] = {
     "symbols": (-1, "n_symbols > 0.1 * n_words"),
@@ -30,11 +33,11 @@ RULES: dict[str, tuple[int, str]] = {
     "capitals": (-1, "n_upper > 0.3 * word_chars"),
     "marks": (-1, "n_marks > 0.15 * n_words"),
     "word_length": (-1, "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    "variety": (-1, "n_words >= 15 AND n_distinct_words < 0.25 * n_words AND n_words < 2000"),
+    "variety": (-1, "n_words >= 15 AND n_local_words < 0.4 * n_words"),
     "stops": (-1, "n_words >= 40 AND n_stops < 0.01 * n_words"),
     "sentences": (1, "n_words >= 10 AND n_stops BETWEEN 0.03 * n_words AND 0.4 * n_words AND n_symbols <= 0.02 * n_words"),
     "calm": (1, "n_upper BETWEEN 0.005 * word_chars AND 0.12 * word_chars AND n_marks <= 0.02 * n_words AND n_symbols <= 0.02 * n_words"),
-    "fresh": (1, "(n_distinct_words >= 0.5 * n_words OR n_words >= 1000) AND n_repeat_words <= 0.05 * n_words AND n_symbols <= 0.02 * n_words AND n_marks <= 0.02 * n_words"),
+    "fresh": (1, "n_local_words >= 0.7 * n_words AND n_repeat_words <= 0.05 * n_words AND n_symbols <= 0.02 * n_words AND n_marks <= 0.02 * n_words"),
 }
 
 
@@ -60,7 +63,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     at = lambda i, j: F.get(F.col("hashes"), i + j)
     starts = F.sequence(F.lit(0), F.size("hashes") - WINDOW)
     windows = F.when(F.size("hashes") >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*[at(i, j) for j in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
-    step = step.withColumn("n_distinct_words", F.size(F.array_distinct("hashes")).cast("long")).withColumn("windows", windows).drop("hashes")
+    # distinct words of each stretch of words, summed: a share of n_words that doesn't fall with a text's length
+    stretches = F.sequence(F.lit(1), F.size("hashes"), F.lit(STRETCH))
+    local = F.aggregate(stretches, F.lit(0).cast("long"), lambda a, i: a + F.size(F.array_distinct(F.slice("hashes", i, STRETCH))))
+    step = step.withColumn("n_local_words", F.when(F.size("hashes") > 0, local).otherwise(F.lit(0).cast("long"))).withColumn("windows", windows).drop("hashes")
     step = step.withColumn("repeated", F.size("windows") > F.size(F.array_distinct("windows")))
     # hash and start, in order: equal windows are neighbours
     pairs = F.when(F.col("repeated"), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
