@@ -3,17 +3,24 @@
 A logistic model is fitted by the non-negative unbiased risk
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 on trusted positives P (labels with quality 1), unlabelled web text U (any documents, labels unread)
-and a class prior, estimated as the share of positives among the labelled rows of the training fold.
+and a class prior, the share of positives in the unlabelled text. Negative labels are never read. The prior is
+estimated from P and U alone: a first model tells P from U on half of the sample; in the scores of the other
+half, the share of U above a threshold divided by the share of P above it is at least the prior, and comes
+down to it where hardly any negative scores so high. The threshold is that with the least upper confidence
+bound of this ratio (best bin estimation).
 Labels are read only from rows whose crc32(doc_id) mod 4 is not 2.
 
-The fit uses a bounded sample, P_ROWS and U_ROWS documents, the first in a hash order of doc_id; the
-bounds are parameters and don't depend on the size of the corpus. Scoring covers every whole text.
+The fit uses a bounded sample, at most P_ROWS and U_ROWS rows, the first in a hash order of doc_id; a row that
+repeats with its text counts once. The bounds are parameters and don't depend on the size of the corpus: at
+most as many feature vectors of 4 kB reach the driver. Scoring covers every whole text.
 Inputs of a score come from the text alone: frequencies of character-class trigrams and a few
 statistics of its words and lines, so a text costs one pass and the model is about a thousand numbers,
 which is all that travels to the executors. Scoring has no shuffle.
 
 Null and empty texts have the feature vector of an empty text. Rows without doc_id are not held out and
-never in the sample. Without positive labels or documents, every score is the prior (0.5 without labels).
+never in the sample. Without positive labels or documents, every score is 0.5. Repeated rows repeat their score; very
+long texts are read whole, one in memory at a time. Empty tables give empty results. Other columns stay as they
+are in accepted, whatever their names; scored replaces a column named score.
 """
 
 from __future__ import annotations
@@ -112,11 +119,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS, decay: float = 1e-3, rate: float = 0.02) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS, decay: float = 1e-3, rate: float = 0.02, plain: bool = False) -> Model:
     """Minimise the non-negative risk by Adam over the whole sample.
 
     Where the negative part falls below zero, its gradient is followed upwards instead, as the
-    estimator prescribes, so that the fit can't gain by memorising unlabelled rows.
+    estimator prescribes, so that the fit can't gain by memorising unlabelled rows. plain: tell P from U instead,
+    with equal weight, as the estimate of the prior needs.
     """
     n = len(positive) + len(unlabelled)
     mean = (positive.sum(axis=0, dtype=np.float64) + unlabelled.sum(axis=0, dtype=np.float64)) / n
@@ -134,7 +142,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
         sp, su = _sigmoid(zp), _sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp_plus, gp_minus, gu_minus = prior * (sp - 1) / len(p), prior * sp / len(p), su / len(u)
-        if negative >= 0:
+        if plain:
+            gp, gu = (sp - 1) / len(p), su / len(u)
+        elif negative >= 0:
             gp, gu = gp_plus - gp_minus, gu_minus
         else:
             gp, gu = gp_minus, -gu_minus
@@ -147,36 +157,63 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return Model(mean, scale, w.astype(np.float64), bias)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Share of positives among unlabelled rows, from the scores of both: best bin estimation."""
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    p, u = np.sort(positive), np.sort(unlabelled)
+    at = np.unique(p)
+    above_p = 1 - np.searchsorted(p, at, "left") / len(p)
+    above_u = 1 - np.searchsorted(u, at, "left") / len(u)
+    slack = np.sqrt(np.log(4 / delta) / (2 * len(u))) + np.sqrt(np.log(4 / delta) / (2 * len(p)))
+    best = np.argmin(above_u / above_p + (1 + gamma) / above_p * slack)
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, p_place: np.ndarray, u_place: np.ndarray, rounds: int = ROUNDS // 4) -> float:
+    """The prior by a model of half of the rows on the other half. A row's place tells its half, so what is in both P and U is in one half."""
+    p_half, u_half = ((place >> 7) & 1 == 1 for place in (p_place, u_place))
+    if min(x.sum() for half in (p_half, u_half) for x in (half, ~half)) < 4:
+        return 0.5
+    model = fit(positive[p_half], unlabelled[u_half], 0.5, rounds, decay=0.03, plain=True)
+    return class_prior(model.scores(positive[~p_half]), model.scores(unlabelled[~u_half]))
+
+
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(rows, pa.binary())], ["positive", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("place"), pa.array(rows, pa.binary())], ["positive", "place", "x"])
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, p_rows: int = P_ROWS, u_rows: int = U_ROWS) -> Model:
-    """Fit on a bounded sample of whole texts."""
-    fold = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    total, good = fold.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
-    prior = min(0.99, max(0.01, good / total)) if total else 0.5
+def sample(docs: DataFrame, labels: DataFrame, p_rows: int, u_rows: int) -> DataFrame:
+    """positive, place (a hash order), text: at most p_rows trusted positives and u_rows unlabelled rows of the training folds."""
     order = F.xxhash64("doc_id")
+    fold = labels.where(~held_out() & (F.col("quality") == 1) & F.col("doc_id").isNotNull())
     mine = docs.select("doc_id", "text").where(~held_out() & F.col("doc_id").isNotNull())
-    p_ids = fold.where("quality = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(p_rows)
-    u_ids = mine.select("doc_id").distinct().orderBy(order, "doc_id").limit(u_rows)
-    # both sides are at most p_rows + u_rows ids, so they are broadcast
-    chosen = p_ids.select("doc_id", F.lit(True).alias("positive")).union(u_ids.select("doc_id", F.lit(False)))
-    rows = mine.join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(_feature_rows, "positive boolean, x binary").toArrow()
+    parts = []
+    for positive, ids, most in ((True, fold, p_rows), (False, mine, u_rows)):
+        first = ids.select("doc_id").distinct().orderBy(order, "doc_id").limit(most)  # bounded, so it may be broadcast
+        rows = mine.join(F.broadcast(first), "doc_id").groupBy("doc_id", F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))
+        parts.append(rows.orderBy(order, "doc_id", "key").limit(most).select(F.lit(positive).alias("positive"), F.xxhash64("doc_id", "key").alias("place"), "text"))
+    return parts[0].unionByName(parts[1])
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, p_rows: int = P_ROWS, u_rows: int = U_ROWS, prior: float | None = None) -> Model:
+    """Fit on a bounded sample of whole texts. prior: where it is known."""
+    rows = sample(docs, labels, p_rows, u_rows).mapInArrow(_feature_rows, "positive boolean, place long, x binary").toArrow()
     held = rows.column("x").chunks
     x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32, len(c) * N_FEATURES, 4 * N_FEATURES * c.offset).reshape(-1, N_FEATURES) for c in held if len(c)] or [np.zeros((0, N_FEATURES), np.float32)])
-    is_p = rows.column("positive").to_numpy().astype(bool)
+    is_p, place = rows.column("positive").to_numpy().astype(bool), rows.column("place").to_numpy()
     del rows, held
     if not is_p.any() or is_p.all():
         flat = np.zeros(N_FEATURES)
-        return Model(flat, flat + 1, flat, float(np.log(prior / (1 - prior))))
+        return Model(flat, flat + 1, flat, 0.0)
     # a defined order, so that sums and with them the fit don't depend on how tasks ended
-    by_value = np.lexsort((x[:, 0], x[:, 1], x[:, CLASSES**3]))
-    positive, unlabelled = x[by_value[is_p[by_value]]], x[by_value[~is_p[by_value]]]
+    order = np.argsort(place, kind="stable")
+    p_at, u_at = order[is_p[order]], order[~is_p[order]]
+    positive, unlabelled = x[p_at], x[u_at]
     del x
-    return fit(positive, unlabelled, prior)
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled, place[p_at], place[u_at]) if prior is None else prior)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
