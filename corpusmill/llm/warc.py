@@ -9,18 +9,24 @@ a second attempt leaves nothing but files that nobody reads.
 Reader: archives are dealt out as byte ranges. A task scans its range for the gzip magic, accepts a
 candidate only if it decodes and begins with a WARC version line, and owns the records that start
 inside its range; the last one is read to its end beyond it. A range is read in pieces, so memory is
-bounded by a piece and one record. Digests of payloads are checked against the record's header.
+bounded by a piece and one record. Archives of other writers are read too: all record types, header names in any
+case, folded header lines, records without digest or HTTP length, chunked bodies; digests that a record gives as SHA-1, SHA-256
+or MD5, in hex or base 32, are checked. Each record must be a gzip member of its own, as the format recommends.
 
 Which payloads repeat is found on (digest, page_id) alone, pre-aggregated before the shuffle; one
 payload in a third of all pages is one key of a join that adaptive execution may split.
 
 Null html is an empty payload; null url leaves the target out; a null page_id never is the smallest.
-Rows that repeat a page_id with its payload are all responses. Empty tables write no file and read none.
+Rows that repeat a page_id with its payload are all responses. Very long payloads are one record, in memory once. Empty tables
+write no file and read none. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,46 +50,126 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
-def _line(value: str) -> str:
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-
-
-def _unline(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-
-
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE, refers_url: str | None = None) -> bytes:
     """One WARC 1.1 record, not compressed. refers_to: the response that a revisit repeats."""
     http = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload), b"", b""]
     block = b"\r\n".join(http) + (payload if refers_to is None else b"")
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}"]
+    target = lambda x: x.replace("\r", "%0D").replace("\n", "%0A").strip(" \t")  # noqa: E731  a header line can't hold line ends
     if url is not None:
-        head.append(f"WARC-Target-URI: {_line(url)}")
+        head.append(f"WARC-Target-URI: {target(url)}")
+        if target(url) != url:
+            head.append(f"X-Target-URI-Encoded: {urllib.parse.quote(url, errors='surrogatepass')}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers_to}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {target(refers_url)}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
+def info(name: str, date: str = DATE) -> bytes:
+    """The warcinfo record that a file begins with."""
+    block = b"software: corpusmill\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_FOLD = re.compile(r"\r?\n[ \t]+")
+
+
+def _headers(data: bytes) -> dict[str, str]:
+    """Header lines behind the first, by lower-case name, the first of each; folded lines are joined."""
+    out: dict[str, str] = {}
+    for line in _FOLD.sub(" ", data.decode("utf-8", "surrogateescape")).splitlines()[1:] if b"\n" in data else []:
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def _split(data: bytes) -> tuple[bytes, bytes]:
+    """A head and what follows the empty line behind it."""
+    at = _HEAD_END.search(data)
+    return (data[: at.start()], data[at.end() :]) if at else (data, b"")
+
+
+def _unchunked(body: bytes) -> bytes:
+    """A chunked body put together; as it is where it isn't chunked after all."""
+    out, at = [], 0
+    while at < len(body):
+        end = body.find(b"\n", at)
+        size = body[at : end if end >= 0 else len(body)].split(b";")[0].strip()
+        if end < 0 or not re.fullmatch(rb"[0-9a-fA-F]+", size):
+            return body
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 1 : end + 1 + n])
+        at = end + 1 + n
+        at += 2 if body[at : at + 2] == b"\r\n" else 1
+    return b"".join(out)
+
+
+def _agrees(digest: str, *payloads: bytes) -> bool:
+    """One of the payloads has the digest; true for kinds of digest that aren't known here."""
+    kind, _, value = digest.partition(":")
+    if kind.lower().replace("-", "") not in ("sha1", "sha256", "md5"):
+        return True
+    for payload in payloads:
+        found = hashlib.new(kind.lower().replace("-", ""), payload)
+        if value.lower() == found.hexdigest() or value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("="):
+            return True
+    return False
+
+
 def parse(data: bytes) -> tuple:
-    """A record's RECORD row; checks lengths and the payload's digest."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
-    length = int(fields["Content-Length"])
-    block = rest[:length]
-    if len(block) != length or rest[length:] != b"\r\n\r\n":
-        raise ValueError("a record's length is wrong")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(dict(line.split(b": ", 1) for line in http.split(b"\r\n")[1:])[b"Content-Length"])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    kind = fields["WARC-Type"]
-    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError("a payload differs from its digest")
-    page, refers, url = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID"), fields.get("WARC-Target-URI")
-    return (int(page) if page else None, None if url is None else _unline(url), size, digest, kind, int(refers) if refers else None, payload if kind == "response" else None)
+    """A record's RECORD row; checks lengths and, where there is one, the payload's digest.
+
+    The payload of HTTP records is the body, of others the block. payload_digest is the payload's SHA-256, or what
+    a record without payload says of it.
+    """
+    head, rest = _split(data)
+    fields = _headers(head)
+    kind = fields.get("warc-type", "").lower()
+    length = fields.get("content-length", "")
+    if length.isdigit():
+        block = rest[: int(length)]
+        if len(block) != int(length) or rest[int(length) :].strip(b"\r\n"):
+            raise ValueError("a record's length is wrong")
+    else:
+        block = rest.removesuffix(b"\r\n\r\n")
+    given = fields.get("warc-payload-digest", "")
+    payload: bytes | None = block
+    size = len(block)
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        top, payload = _split(block)
+        http = _headers(top)
+        raw = payload
+        if "chunked" in http.get("transfer-encoding", "").lower():
+            payload = _unchunked(payload)
+        size = len(payload)
+        if kind == "response" and given.startswith("sha256:") and fields.get("x-page-id") and http.get("content-length", str(size)) != str(size):
+            raise ValueError("a payload's length is wrong")
+        if kind == "revisit":
+            size = int(said) if (said := http.get("content-length", "")).isdigit() else None
+        elif given and not _agrees(given, payload, raw):
+            raise ValueError("a payload differs from its digest")
+    if kind == "revisit":
+        payload, digest = None, given.removeprefix("sha256:") or None
+    else:
+        digest = hashlib.sha256(payload).hexdigest()
+    page, refers, url = fields.get("x-page-id"), fields.get("x-refers-to-page-id"), fields.get("warc-target-uri")
+    if (exact := fields.get("x-target-uri-encoded")) is not None:
+        url = urllib.parse.unquote(exact, errors="surrogatepass")
+    elif url is not None and url.startswith("<") and url.endswith(">"):
+        url = url[1:-1]
+    number = lambda x: int(x) if x is not None and re.fullmatch(r"-?\d+", x) else None
+    return (number(page), url, size, digest, kind, number(refers), payload)
 
 
 def _member(data: bytes) -> bytes:
@@ -95,10 +181,10 @@ def revisited(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """pages with digest and refers_to (null: a response)."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"), F.sha2(payload, 256).alias("digest"))
-    counted = pages.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    firsts = stored(spark, counted.where("n > 1 AND first_id IS NOT NULL").select("digest", "first_id"), "payloads")
+    counted = pages.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n"))
+    firsts = stored(spark, counted.where("n > 1 AND first IS NOT NULL").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "payloads")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(None)).otherwise(F.col("first_id"))
-    return pages.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    return pages.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("first_url")).alias("refers_url"))
 
 
 def write(spark: SparkSession, pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
@@ -119,13 +205,15 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, roll: int = ROLL)
                 out = None
 
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to")]
+            columns = [batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to", "refers_url")]
             for i in range(batch.num_rows):
-                page_id, url, html, digest, refers = (c[i].as_py() for c in columns)
-                member = _member(record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers))
+                page_id, url, html, digest, refers, refers_url = (c[i].as_py() for c in columns)
+                member = _member(record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers, refers_url=refers_url))
                 if out is None:
                     name, size, count = f"pages-{attempt:08d}-{uuid.uuid4().hex[:8]}.warc.gz", 0, 0
                     out = system.open_output_stream(f"{root}/{name}", compression=None)
+                    out.write(first := _member(info(name)))
+                    size = len(first)
                 out.write(member)
                 size, count = size + len(member), count + 1
                 if size >= roll:
@@ -190,8 +278,8 @@ class Range:
                 at = got[1]
 
 
-def read(spark: SparkSession, files: DataFrame, split: int = SPLIT, payloads: bool = True) -> DataFrame:
-    """RECORD rows of all archives in files(file, size)."""
+def read(spark: SparkSession, files: DataFrame, split: int = SPLIT, payloads: bool = True, types: tuple[str, ...] = ("response", "revisit")) -> DataFrame:
+    """RECORD rows of all archives in files(file, size), of these types (none named: of all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,6 +289,8 @@ def read(spark: SparkSession, files: DataFrame, split: int = SPLIT, payloads: bo
                 with system.open_input_file(path) as source:
                     for data in Range(source, start, end):
                         row = parse(data)
+                        if types and row[4] not in types:
+                            continue
                         rows.append(row if payloads else row[:-1])
                         held += len(data) if payloads else 100
                         if held > 4 << 20:
