@@ -16,8 +16,9 @@ main node is kept, but for blocks that repeat on most different pages of the hos
 text. Pages that their host's template doesn't fit (nothing kept) are read by their own elements alone.
 
 Templates are a few dozen hashes a host; they reach pages by a join on host, which Spark broadcasts if it
-is small and may split if it is skewed. Null and empty html give an empty text; null urls share one host.
-Repeated rows count twice in the vectors and repeat their result.
+is small and may split if it is skewed. Very long pages and deep nesting take time in proportion. Null and empty html give an empty text; null urls share one host.
+Repeated rows count twice in the vectors and repeat their result. Empty tables give empty results. Other columns play
+no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +42,10 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 DROPPED = frozenset("nav header footer aside form script style noscript template title head iframe svg math canvas object embed audio video button select option textarea input label fieldset dialog menu textarea xmp".split())
 # Words of class, id and role that mark what isn't the article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar aside menu navbar nav navigation breadcrumb breadcrumbs pagination pager header masthead footer comment comments disqus reply replies respond discussion share sharing social related recommended widget toolbar login search skip".split())
+#: Of these, those that may also name parts of an article: within one they count only where a class has nothing else.
+#: But for FILLER, words of lists and controls.
+FILLER = frozenset("posts articles stories links list box bar button buttons items".split())
+WEAK = frozenset("header masthead search related recommended discussion notice notices alert social skip banner widget overlay modal popup toolbar subscription promotion consent respond".split())
 STEMS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb", "sponsor")
 CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar note status".split())
@@ -56,14 +61,33 @@ _PART = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("block", "dropped", "inside", "name", "token")
+    __slots__ = ("dropped", "inside", "name", "node", "token", "within")
 
-    def __init__(self, name: str, token: int, dropped: bool, inside: int, block: int):
-        self.name, self.token, self.dropped, self.inside, self.block = name, token, dropped, inside, block
+    def __init__(self, name: str, token: int, dropped: bool, inside: int, node: int, within: bool):
+        self.name, self.token, self.dropped, self.inside, self.node, self.within = name, token, dropped, inside, node, within
 
 
-def _marked(name: str, attributes: dict[str, str], inside: int) -> bool:
-    """The element holds what isn't the article."""
+class Page:
+    """What a page says: tokens with (count, parent token); its open elements as nodes (parent node, token), the
+    root first and parents before children; text pieces as (node, dropped, node of the outermost article or main element above
+    or 0, block, text); and the tokens of containers. Pieces of one block share its number."""
+
+    def __init__(self) -> None:
+        self.tokens: dict[int, tuple[int, int]] = {}
+        self.nodes: list[tuple[int, int]] = [(0, 0)]
+        self.pieces: list[tuple[int, bool, int, int, str]] = []
+        self.containers: set[int] = set()
+
+    def slots(self, template: set[int]) -> list[int]:
+        """For each node its slot: the last node on the way down from the root whose way is all template."""
+        out = [0]
+        for i, (parent, token) in enumerate(self.nodes[1:], 1):
+            out.append(i if out[parent] == parent and token in template else out[parent])
+        return out
+
+
+def _marked(name: str, attributes: dict[str, str], inside: int, within: bool) -> bool:
+    """The element holds what isn't the article. inside: below an article or main element; within: below an article."""
     if name in DROPPED:
         # a header within an article holds its title, not the page's head
         return not (name == "header" and inside)
@@ -76,33 +100,38 @@ def _marked(name: str, attributes: dict[str, str], inside: int) -> bool:
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
     if name in ("main", "article"):  # an article can be a reader's comment, and is seldom anything else
         return bool(inside) and ("comment" in named or "reply" in named)
-    return any(x in named for x in STEMS) or bool(set(_PART.findall(named)) & MARKS)
-
+    if any(x in named for x in STEMS):
+        return True
+    if not within:
+        return bool(set(_PART.findall(named)) & MARKS)
+    return any(parts & (MARKS - WEAK) or (parts & MARKS and parts <= (MARKS | FILLER) - {"header", "masthead"}) for x in named.split() if (parts := set(_PART.findall(x))))
 
-def parsed(page: str | None) -> tuple[dict[int, tuple[int, int]], list[tuple[tuple[int, ...], bool, int, int, str]], set[int]]:
-    """Tokens with (count, parent token), text pieces as (tokens above, dropped, article, block, text), and the tokens of containers.
 
-    Pieces of one block share its number. The article is the token of the outermost article or main element above, or 0.
-    """
+def parsed(page: str | None) -> Page:
+    """Read a page in one pass; time and memory are in proportion to its length, however deep it nests."""
     page = page or ""
-    tokens: dict[int, tuple[int, int]] = {}
-    pieces: list[tuple[tuple[int, ...], bool, int, int, str]] = []
-    containers: set[int] = set()
-    stack = [Element("", 0, False, 0, 0)]
+    out = Page()
+    tokens, nodes, pieces, containers = out.tokens, out.nodes, out.pieces, out.containers
+    stack = [Element("", 0, False, 0, 0, False)]
+    standing: dict[str, int] = {}
     block, at = 0, 0
 
     def add(text: str) -> None:
         if text:
             top = stack[-1]
-            pieces.append((tuple(e.token for e in stack[1:]), top.dropped, top.inside, block, text))
+            pieces.append((top.node, top.dropped, top.inside, block, text))
 
     def close(names: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
         """End the innermost of names and what it holds, unless one of until stands before it."""
         nonlocal block
+        if not any(standing.get(x) for x in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
                 if any(e.name in BLOCK for e in stack[i:]):
                     block += 1
+                for e in stack[i:]:
+                    standing[e.name] -= 1
                 del stack[i:]
                 return
             if stack[i].name in until:
@@ -146,7 +175,6 @@ def parsed(page: str | None) -> tuple[dict[int, tuple[int, int]], list[tuple[tup
         tokens[token] = (count + 1, parent)
         if name in CONTAINERS:
             containers.add(token)
-        inside = stack[-1].inside or (token if name in ("article", "main") or attributes.get("role") == "main" else 0)
         if name in VOID:
             continue
         if name in RAW:
@@ -155,8 +183,13 @@ def parsed(page: str | None) -> tuple[dict[int, tuple[int, int]], list[tuple[tup
             continue
         if (rest or "").rstrip().endswith("/") and name not in BLOCK and name != "a":
             continue
-        stack.append(Element(name, token, stack[-1].dropped or _marked(name, attributes, stack[-1].inside), inside, block))
-    return tokens, pieces, containers
+        top = stack[-1]
+        nodes.append((top.node, token))
+        node = len(nodes) - 1
+        inside = top.inside or (node if name in ("article", "main") or attributes.get("role") == "main" else 0)
+        stack.append(Element(name, token, top.dropped or _marked(name, attributes, top.inside, top.within), inside, node, top.within or name == "article"))
+        standing[name] = standing.get(name, 0) + 1
+    return out
 
 
 def joined(pieces: list[tuple]) -> str:
@@ -168,16 +201,6 @@ def joined(pieces: list[tuple]) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def path_of(above: tuple[int, ...], template: set[int]) -> list[int]:
-    """The root and the template elements above a text, down to the slot: the last whose own ancestors are all template."""
-    path = [0]
-    for token in above:
-        if token not in template:
-            break
-        path.append(token)
-    return path
-
-
 def block_keys(pieces: list[tuple]) -> dict[int, int]:
     """Block -> hash of its text, white space aside, for blocks with text."""
     blocks: dict[int, list[str]] = {}
@@ -189,9 +212,13 @@ def block_keys(pieces: list[tuple]) -> dict[int, int]:
 
 def main_text(page: str | None, template: set[int], main: set[int], repeated: set[int] | frozenset[int] = frozenset()) -> str:
     """Text below the main nodes without the host's repeated blocks; of the page's own elements if none is there."""
-    _, pieces, _ = parsed(page)
-    good = [p for p in pieces if not p[1]]
-    kept = [p for p in good if not main.isdisjoint(path_of(p[0], template))]
+    read = parsed(page)
+    good = [p for p in read.pieces if not p[1]]
+    slot = read.slots(template)
+    below = [0 in main]
+    for i, (parent, token) in enumerate(read.nodes[1:], 1):
+        below.append(below[parent] or (slot[i] == i and token in main))
+    kept = [p for p in good if below[slot[p[0]]]]
     if kept and repeated:
         keys = block_keys(kept)
         kept = [p for p in kept if keys.get(p[3]) not in repeated]
@@ -208,7 +235,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             rows = []
             for page_id, host, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 rows.append((host, page_id, 0, 0, 1))  # the root stands on every page once
-                rows += [(host, page_id, token, parent, count) for token, (count, parent) in parsed(page)[0].items()]
+                rows += [(host, page_id, token, parent, count) for token, (count, parent) in parsed(page).tokens.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["host", "page_id", "token", "parent", "n"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "host", "html").mapInArrow(run, "host string, page_id long, token long, parent long, n int")
@@ -274,18 +301,30 @@ def slots(spark: SparkSession, pages: DataFrame, known: DataFrame) -> DataFrame:
             held: dict[tuple[str, int, int, bool], int] = {}
             rows = []
             for host, page, template in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                known = set(template or ())
-                _, pieces, containers = parsed(page)
-                good = [p for p in pieces if not p[1]]
-                for above, _, article, _, text in good:
+                known, read = set(template or ()), parsed(page)
+                nodes, slot = read.nodes, read.slots(known)
+                good = [p for p in read.pieces if not p[1]]
+                # each node's own or next container within the template; texts add up from there to the root
+                home = [0]
+                for i, (parent, token) in enumerate(nodes[1:], 1):
+                    home.append(i if slot[i] == i and token in read.containers else home[parent])
+                chars = [0] * len(nodes)
+                articles: dict[int, int] = {}
+                for node, _, article, _, text in good:
                     if n := len(text.strip()):
-                        path = path_of(above, known)
-                        at = [t for t in path if not t or t in containers]
-                        nodes = [(t, p, False) for p, t in zip([0, *at], at)]
-                        if article and article in path:
-                            nodes.append((article, 0, True))
-                        for node in nodes:
-                            held[host, *node] = held.get((host, *node), 0) + n
+                        chars[home[slot[node]]] += n
+                        if article and slot[article] == article:
+                            articles[article] = articles.get(article, 0) + n
+                for i in range(len(nodes) - 1, -1, -1):
+                    if chars[i]:
+                        above = home[nodes[i][0]]
+                        if i:
+                            chars[above] += chars[i]
+                        key = (host, nodes[i][1], nodes[above][1], False)
+                        held[key] = held.get(key, 0) + chars[i]
+                for node, n in articles.items():
+                    key = (host, nodes[node][1], 0, True)
+                    held[key] = held.get(key, 0) + n
                 same = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass")) >> 1
                 rows += [(host, None, None, None, None, key, same) for key in {0, *block_keys(good).values()}]
             rows += [(*k, n, None, None) for k, n in held.items()]

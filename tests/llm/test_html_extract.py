@@ -50,7 +50,7 @@ def test_invalid_classes_stay_out_of_the_template(spark):
     rows = [(i, "http://h/", "<body><article><p>x</p></article>" + ("<table><tr><td>rare</td></tr></table>" if i == 0 else "") + "</body>") for i in range(10)]
     pages = H._with_host(spark.createDataFrame(rows, "page_id long, url string, html string"))
     template = set(H.templates(spark, pages).collect()[0].template)
-    tokens = H.parsed(rows[0][2])[0]
+    tokens = H.parsed(rows[0][2]).tokens
     assert len(template - {0}) == 3 and len(set(tokens) - template) == 3
 
 
