@@ -9,6 +9,8 @@ from corpusmill.functions import columns as C
 from corpusmill.operators import corpus as O
 from corpusmill.operators import source as S
 
+from corpusmill.sources.storage import stored
+
 from .registry import query, table
 
 
@@ -29,9 +31,28 @@ def rendered(spark: SparkSession, sf: str) -> DataFrame:
     return part.withColumn("qualified", F.concat(F.lit("parts."), name)).withColumn("func_name", name).withColumn("is_method", F.lit(False))
 
 
+def methods(spark: SparkSession, sf: str) -> DataFrame:
+    """A method for every part: a bare (3: 0) or a named (1) except, self (2: 0) or another first name, static (5), exceptions documented rightly (4: 0), wrongly (1), not (2) or without cause (3)."""
+    size = F.col("p_size")
+    code = F.concat(
+        F.when(size % 5 == 0, "@staticmethod\n").otherwise(""), F.lit("def part_"), F.col("p_partkey"), F.when(size % 2 == 0, "(self, x):\n").otherwise("(this, x):\n"),
+        F.lit('    """'), F.col("p_name"), F.when(size % 4 == 2, "").otherwise("\n\n    Raises:\n        KeyError: if it isn't there\n    "), F.lit('"""\n'),
+        F.when(size % 3 == 0, "    try:\n        x = 1\n    except:\n        x = 2\n").when(size % 3 == 1, "    try:\n        x = 1\n    except OSError:\n        x = 2\n").otherwise(""),
+        F.when(size % 4 == 0, "    raise KeyError(x)").when(size % 4 == 1, "    raise ValueError(x)").otherwise("    return x"),
+    )
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_size").repartition(spark.sparkContext.defaultParallelism).select("p_partkey", code.alias("code"))
+    name = F.concat(F.lit("part_"), F.col("p_partkey"))
+    return part.select("p_partkey", "code", F.concat(F.lit("Parts."), name).alias("qualified"), F.concat(F.lit("Parts."), name).alias("func_name"), F.lit(True).alias("is_method"))
+
+
+#: First docstring lines of other functions, for questions with options.
+OTHER_DOCS = [f"Another function's first line, number {i}." for i in range(12)]
+
+
 def facts(spark: SparkSession, sf: str, intent: str) -> DataFrame:
     """(p_partkey, about, answer) of one intent; a lettered answer is shown as its option."""
-    found = S.extract_facts(rendered(spark, sf), ["p_partkey"], intents=(intent,))
+    rows = methods(spark, sf) if intent in ("G2", "G4", "H2") else rendered(spark, sf)
+    found = S.extract_facts(rows, ["p_partkey"], pool=OTHER_DOCS, intents=(intent,))
     value = lambda k: F.get_json_object("seed", f"$.{k}")
     about = F.concat_ws("/", *[value(k) for k in ("param", "feature", "count_of", "callee", "construct", "k", "n", "var", "property", "line", "aspect", "exit_kind")])
     option = F.get(F.from_json(value("options"), "array<string>"), F.ascii("answer") - 65)
@@ -50,13 +71,14 @@ EXPECTED: dict[str, list[tuple[str, str, str]]] = {
     "B2": [("'if/1'", "'not items'", "TRUE")], "B3": [("'1'", "'None'", "p_size % 7 <> 0"), ("CASE WHEN p_size % 7 = 0 THEN '1' ELSE '2' END", "'total + limit'", "TRUE")],
     "B4": [("''", "p_name || ' summary line in plain prose.'", "p_size % 4 = 0")], "B5": [("'for-loop body/1'", f"'L' || (6 + {_DEF}) || '-L' || (6 + {_DEF})", "TRUE")],
     "B6": [(f"'{c}'", "'no'", "p_size % 7 <> 0" if c == "raise statement" else "TRUE") for c in ("with statement", "while loop", "try/except", "lambda", "assert statement", "raise statement", "yield", "list comprehension")],
-    "C1": [("''", "NULL", "TRUE")], "C2": [("'items'", "NULL", "TRUE")], "C3": [("''", "NULL", "TRUE")],
+    "C1": [("''", "NULL", "TRUE")], "C2": [("'items'", "NULL", "p_size % 3 = 0 OR p_size % 5 = 0")], "C3": [("''", "NULL", "TRUE")],
     "C4": [("'mutates an argument'", "'no'", "TRUE"), ("'recursive'", "'no'", "TRUE"), ("'can return None'", "CASE WHEN p_size % 7 = 0 THEN 'no' ELSE 'yes' END", "TRUE")],
     "C6": [("''", "'ValueError'", "p_size % 7 = 0")], "C7": [("'item'", "'loop counter'", "TRUE"), ("'total'", "'accumulator'", "TRUE")],
     "E1": [(_GUARD, "'not items'", "TRUE")], "E2": [("''", "'no'", "TRUE")], "E3": [("''", "'None; total + limit'", "p_size % 7 <> 0")], "F1": [("'item'", f"'L' || (5 + {_DEF})", "TRUE")],
     "F2": [("''", "'items, limit'", "TRUE")], "F3": [("''", "'no'", "TRUE")], "F4": [("''", "'none'", "TRUE")], "G1": [("''", "'no'", "TRUE")], "G3": [("''", "'no'", "TRUE")],
     "H1": [("''", "p_name || ' summary line in plain prose.'", "p_size % 4 = 0")], "H3": [("'present'", "CASE WHEN p_size % 4 = 0 THEN 'yes' ELSE 'no' END", "TRUE"), ("'style'", "'plain prose'", "p_size % 4 = 0 AND length(p_name) + 29 > 30")],
-    "C5": [("''", "NULL", "FALSE")], "G2": [("''", "NULL", "FALSE")], "G4": [("''", "NULL", "FALSE")], "H2": [("''", "NULL", "FALSE")],
+    "C5": [("''", "p_name || ' summary line in plain prose.'", "p_size % 4 = 0")], "G2": [("''", "CASE WHEN p_size % 3 = 0 THEN 'yes' ELSE 'no' END", "p_size % 3 <> 2")],
+    "G4": [("''", "CASE WHEN p_size % 2 = 0 THEN 'no' ELSE 'yes' END", "p_size % 5 <> 0")], "H2": [("''", "CASE WHEN p_size % 4 = 0 THEN 'yes' ELSE 'no' END", "p_size % 4 <> 2")],
 }
 
 
@@ -134,15 +156,12 @@ def stub_flag(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.is_stub(code).alias("stub"))
 
 
-@query("skeleton_family", "SELECT p_size % 2 AS a, p_size % 3 AS d, p_size % 4 AS doc, p_size % 5 AS y, p_size % 7 AS r, count(*) AS n FROM (SELECT p_size % 2 = 0 AS x, * FROM part) GROUP BY ALL HAVING FALSE")
+@query("skeleton_family", "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_size % 2 = 0, p_size % 3 = 0, p_size % 5 = 0, p_size % 7 = 0) AS first_of_family FROM part")
 def skeleton_family(spark, sf):
-    """Renamed copies, other numbers and strings share a family: rows whose family differs from their traits' (none)."""
-    rows = rendered(spark, sf).withColumn("fam", S.family("code"))
-    traits = ["a", "d", "doc", "y", "r"]
-    rows = rows.select(*[(F.col("p_size") % n).alias(t) for t, n in zip(traits, (2, 3, 4, 5, 7))], "fam")
-    keys = rows.select(*[F.when(F.col(t) == 0, 0).otherwise(1).alias(f"k_{t}") for t in traits if t != "doc"], *traits, "fam")
-    bad = keys.groupBy("k_a", "k_d", "k_y", "k_r").agg(F.count_distinct("fam").alias("f"), *[F.first(t).alias(t) for t in traits], F.count("*").alias("n")).where("f > 1")
-    return bad.select(*traits, "n")
+    """Names, numbers, strings and docstrings don't count: functions share a family exactly if they share the traits that do."""
+    rows = rendered(spark, sf).select("p_partkey", S.family("code").alias("fam"))
+    rows = stored(spark, rows, "skeletons")
+    return rows.join(rows.groupBy("fam").agg(F.min("p_partkey").alias("first_of_family")), "fam").select("p_partkey", "first_of_family")
 
 
 @query("style_features", "SELECT p_partkey, p_size % 5 = 0 AS is_async, p_size % 3 = 0 AS decorated, p_size % 4 = 0 AS has_docstring, p_size % 2 = 0 AS typed FROM part")
@@ -272,10 +291,10 @@ def exec_screen(spark, sf):
     return S.run_functions(rows, ["id"]).select("id", "reason")
 
 
-@query("parse_screened_sample", "SELECT p_partkey FROM part WHERE p_size % 7 = 0 AND p_partkey % 5 = 0")
+@query("parse_screened_sample", "SELECT p_partkey FROM part WHERE p_size % 7 = 0")
 def parse_screened_sample(spark, sf):
     """Parse-screened sample: only texts that parse stay."""
-    rows = rendered(spark, sf).where("p_partkey % 5 = 0").withColumn("code", F.when(F.col("p_size") % 7 == 0, F.col("code")).otherwise(F.concat("code", F.lit("("))))
+    rows = rendered(spark, sf).withColumn("code", F.when(F.col("p_size") % 7 == 0, F.col("code")).otherwise(F.concat("code", F.lit("("))))
     return rows.where(S.parses("code")).select("p_partkey")
 
 

@@ -236,10 +236,10 @@ def decontaminate_hash(spark, sf):
     return O.excluded(rows, hashes, repos).select("doc_id", "excl_hash", "excl_repo")
 
 
-@query("decontaminate_substring", "SELECT DISTINCT doc_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))")
+@query("decontaminate_substring", "SELECT DISTINCT doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def decontaminate_substring(spark, sf):
-    """Documents with the first 60 characters of an item."""
-    heads = table(spark, sf, "benchmark").where("text IS NOT NULL").select(F.left("text", F.lit(60)).alias("head")).distinct()
+    """Documents that hold a whole item."""
+    heads = table(spark, sf, "benchmark").where("text IS NOT NULL").select(F.col("text").alias("head")).distinct()
     return O.containing(table(spark, sf, "documents"), heads)
 
 
@@ -252,14 +252,14 @@ def split_leakage(spark, sf):
     return kept.groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("split_overlap", """WITH s AS (SELECT DISTINCT source, CASE WHEN doc_id % 10 = 0 THEN 'validation' WHEN doc_id % 10 = 1 THEN 'test' ELSE 'train' END AS split FROM documents)
-SELECT a.split AS a, b.split AS b, count(*) AS shared FROM s a JOIN s b ON a.source = b.source AND a.split < b.split GROUP BY ALL""")
+@query("split_overlap", """WITH s AS (SELECT DISTINCT lang, CASE WHEN doc_id % 10 = 0 THEN 'validation' WHEN doc_id % 10 = 1 THEN 'test' ELSE 'train' END AS split FROM documents)
+SELECT a.split AS a, b.split AS b, count(*) AS shared FROM s a JOIN s b ON a.lang = b.lang AND a.split < b.split GROUP BY ALL""")
 def split_overlap(spark, sf):
-    """Repos that any two splits share."""
+    """Groups (here languages) that any two splits share."""
     split = F.when(F.col("doc_id") % 10 == 0, "validation").when(F.col("doc_id") % 10 == 1, "test").otherwise("train")
-    s = table(spark, sf, "documents").select("source", split.alias("split")).distinct()
-    a, b = s.toDF("source", "a"), s.toDF("source", "b")
-    return a.join(b, "source").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    s = table(spark, sf, "documents").select("lang", split.alias("split")).distinct()
+    a, b = s.toDF("lang", "a"), s.toDF("lang", "b")
+    return a.join(b, "lang").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 @query("dedup_first_seen", f"WITH {BASE} SELECT doc_id, pile FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY pile, doc_id) AS rn FROM base) WHERE rn = 1")
@@ -298,13 +298,13 @@ def reject_list(spark, sf):
 
 # --- families, caps, draws ----------------------------------------------------------------------------------------------
 
-FAMILY = rf"""fam AS (SELECT doc_id, source AS repo, ntok, md5(array_to_string(list_transform(regexp_extract_all(left(text, 40), '([0-9A-Za-z_]+|[^0-9A-Za-z_\s])'),
+FAMILY = rf"""fam AS (SELECT doc_id, source AS repo, ntok, md5(array_to_string(list_transform(regexp_extract_all(text, '([0-9A-Za-z_]+|[^0-9A-Za-z_\s])'),
   lambda x: CASE WHEN x IN {KEYWORDS} THEN x WHEN regexp_matches(x, '^[0-9]') THEN '0' WHEN regexp_matches(x, '^[A-Za-z_]') THEN 'N' ELSE x END), ' ')) AS fam FROM base)"""
 
 
 def families(spark: SparkSession, sf: str) -> DataFrame:
-    """The family of a document is the skeleton of how it opens."""
-    rows = base(spark, sf).select("doc_id", F.col("source").alias("repo"), "ntok", F.md5(C.skeleton(F.left("text", F.lit(40)), KEYWORDS)).alias("fam"))
+    """The family of a document is the skeleton of its whole text."""
+    rows = base(spark, sf).select("doc_id", F.col("source").alias("repo"), "ntok", F.md5(C.skeleton("text", KEYWORDS)).alias("fam"))
     return stored(spark, rows, "families")
 
 
@@ -398,11 +398,11 @@ def token_stats(spark, sf):
     return slim(spark, sf).groupBy("lang").agg(F.sum("ntok").alias("total"), F.avg("ntok").alias("mean"), F.percentile("ntok", 0.5).alias("median"))
 
 
-@query("parent_roundtrip", """WITH s AS (SELECT doc_id, source, lang, octet_length(encode(text)) AS nb FROM documents WHERE doc_id % 5 = 0)
-SELECT doc_id AS span_id, doc_id % 15 <> 0 AS ok, (SELECT count(*) FROM documents f WHERE f.source = s.source AND f.lang = s.lang AND f.doc_id <= s.doc_id AND f.doc_id % 5 = 0) AS parents FROM s""")
+@query("parent_roundtrip", """WITH s AS (SELECT doc_id, source, lang, octet_length(encode(text)) AS nb FROM documents)
+SELECT doc_id AS span_id, doc_id % 15 <> 0 AS ok, (SELECT count(*) FROM documents f WHERE f.source = s.source AND f.lang = s.lang AND f.doc_id <= s.doc_id) AS parents FROM s""")
 def parent_roundtrip(spark, sf):
     """Byte spans cut from documents against every candidate parent of the same source and language."""
-    docs = table(spark, sf, "documents").where("doc_id % 5 = 0")
+    docs = table(spark, sf, "documents")
     half = F.floor(F.octet_length("text") / 2)
     raw = F.encode("text", "UTF-8")
     code = F.decode(raw.substr(F.lit(1), half.cast("int")), "UTF-8")
@@ -542,9 +542,9 @@ def cyclic_decoy(spark, sf):
     return O.cyclic_next(table(spark, sf, "documents").where("lang = 'es'").select("doc_id", "source"), "source", "doc_id", "decoy").select("doc_id", "decoy")
 
 
-@query("unique_key_join", "WITH u AS (SELECT user_id FROM events GROUP BY user_id HAVING count(*) = 1) SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM u)")
+@query("unique_key_join", "WITH u AS (SELECT n_chars FROM documents GROUP BY n_chars HAVING count(*) = 1) SELECT doc_id, n_chars FROM documents WHERE n_chars IN (SELECT n_chars FROM u)")
 def unique_key_join(spark, sf):
-    return O.unique_only(table(spark, sf, "events").select("event_id", "user_id"), "user_id")
+    return O.unique_only(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars")
 
 
 @query("picker_filter", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 40")

@@ -38,12 +38,12 @@ def battery_summary(spark, sf):
     return rows.agg(F.count("*").alias("n"), F.count_if(C.byte_exact("reference", "gen")).alias("byte"), F.count_if(S.code_exact("reference", "gen")).alias("code"))
 
 
-@query("sibling_grab", "SELECT p_partkey FROM part WHERE p_partkey % 10 = 3 AND p_partkey <= 400 AND p_partkey + 1 <= 400")
+@query("sibling_grab", "SELECT p_partkey FROM part WHERE p_partkey % 10 = 3 AND p_partkey + 1 IN (SELECT p_partkey FROM part)")
 def sibling_grab(spark, sf):
     """A generation that reproduces another member of its group rather than its target."""
-    rows = rendered(spark, sf).where("p_partkey BETWEEN 1 AND 400").select("p_partkey", F.floor(F.col("p_partkey") / 10).alias("grp"), "code")
-    w = Window.orderBy("p_partkey")
-    rows = rows.withColumn("gen", F.when(F.col("p_partkey") % 10 == 3, F.lead("code").over(w)).otherwise(F.col("code")))
+    rows = rendered(spark, sf).select("p_partkey", F.floor(F.col("p_partkey") / 10).alias("grp"), "code")
+    w = Window.partitionBy("grp").orderBy("p_partkey")
+    rows = rows.withColumn("gen", F.when((F.col("p_partkey") % 10 == 3), F.coalesce(F.lead("code").over(w), "code")).otherwise(F.col("code")))
     members = rows.select("grp", F.col("p_partkey").alias("other"), F.col("code").alias("other_code"))
     hits = rows.join(members, "grp").where((F.col("other") != F.col("p_partkey")) & C.byte_exact("other_code", "gen") & ~C.byte_exact("code", "gen"))
     return hits.select("p_partkey").distinct()

@@ -81,7 +81,7 @@ def exact_phrase_cap(spark, sf):
 @query("phrase_clusters")
 def phrase_clusters(spark, sf):
     """The near-duplicate cap with its memory of rejected questions."""
-    rows = table(spark, sf, "conversations").select(F.col("role").alias("intent"), F.concat_ws("-", "conv_id", "turn").alias("pair_id"), C.text_norm(F.left("text", F.lit(300))).alias("question"))
+    rows = table(spark, sf, "conversations").select(F.col("role").alias("intent"), F.concat_ws("-", "conv_id", "turn").alias("pair_id"), C.text_norm("text").alias("question"))
     return O.phrase_clusters(rows, 5)
 
 
@@ -190,11 +190,12 @@ def pool_partition(spark, sf):
     return rows.groupBy(E.pool(conceptual=0.0).alias("pool")).agg(F.count("*").alias("n"))
 
 
-@query("leak_tripwire", f"WITH {PAIRS}, {RECORDS} SELECT row_idx FROM records WHERE FALSE")
+@query("leak_tripwire", f"WITH {PAIRS}, {RECORDS} SELECT row_idx FROM records WHERE held_out AND row_idx % 7 = 0")
 def leak_tripwire(spark, sf):
-    """No held-out row in a trained pool: must be empty."""
+    """Held-out rows in a trained pool. The partition has none, so every seventh row is misplaced here, and those must be found."""
     rows = records(spark, sf).withColumn("stacked", F.col("row_idx") % 5 == 0)
-    return rows.where(F.col("held_out") & (E.pool(conceptual=0.0) != "heldout")).select("row_idx")
+    rows = rows.withColumn("pool", F.when(F.col("row_idx") % 7 == 0, "solo").otherwise(E.pool(conceptual=0.0)))
+    return rows.where(F.col("held_out") & (F.col("pool") != "heldout")).select("row_idx")
 
 
 @query("pool_choice", "SELECT CASE WHEN u < 0.25 THEN 'conceptual' WHEN u < 0.7 THEN 'solo' ELSE 'stack' END AS pool, count(*) AS n FROM (SELECT ('0x' || substr(md5('pool|' || event_id), 1, 12))::BIGINT / 281474976710656.0 AS u FROM events) GROUP BY pool")
@@ -238,11 +239,11 @@ def template_fill(spark, sf):
 
 # --- receipts and statistics -------------------------------------------------------------------------------------------
 
-RECEIPTS = """receipts AS (SELECT doc_id, source, lang, n_chars, left(text, 300) AS reference, CASE doc_id % 4 WHEN 0 THEN left(text, 300) WHEN 1 THEN left(text, 300) || chr(10) || 'more' WHEN 2 THEN left(text, 300) || 'x' ELSE 'y' || left(text, 300) END AS gen FROM documents)"""
+RECEIPTS = """receipts AS (SELECT doc_id, source, lang, n_chars, text AS reference, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || 'more' WHEN 2 THEN text || 'x' ELSE 'y' || text END AS gen FROM documents)"""
 
 
 def receipts(spark: SparkSession, sf: str) -> DataFrame:
-    ref, k = F.left("text", F.lit(300)), F.col("doc_id") % 4
+    ref, k = F.col("text"), F.col("doc_id") % 4
     gen = F.when(k == 0, ref).when(k == 1, F.concat(ref, F.lit("\nmore"))).when(k == 2, F.concat(ref, F.lit("x"))).otherwise(F.concat(F.lit("y"), ref))
     return table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", ref.alias("reference"), gen.alias("gen"))
 
@@ -295,11 +296,11 @@ def length_slices(spark, sf):
     return rows.select("quality", F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"))
 
 
-@query("mcnemar_labels", """WITH RECURSIVE c AS (SELECT count_if(quality = 1 AND toxic = 1)::BIGINT AS "both", count_if(quality = 1 AND toxic = 0)::BIGINT AS left_only, count_if(quality = 0 AND toxic = 1)::BIGINT AS right_only, count_if(quality = 0 AND toxic = 0)::BIGINT AS neither FROM labels WHERE doc_id % 40 = 0),
+@query("mcnemar_labels", """WITH RECURSIVE c AS (SELECT count_if(quality = 1 AND toxic = 1)::BIGINT AS "both", count_if(quality = 1 AND toxic = 0)::BIGINT AS left_only, count_if(quality = 0 AND toxic = 1)::BIGINT AS right_only, count_if(quality = 0 AND toxic = 0)::BIGINT AS neither FROM labels),
 t AS (SELECT left_only + right_only AS n, least(left_only, right_only) AS m FROM c), b AS (SELECT 0::BIGINT AS i, pow(0.5, n) AS p FROM t UNION ALL SELECT i + 1, p * (n - i) / (i + 1) FROM b, t WHERE i < m)
 SELECT "both", left_only, right_only, neither, floor(least(1.0, 2 * (SELECT sum(p) FROM b)) * 1e9 + 0.5) / 1e9 AS p FROM c""")
 def mcnemar_labels(spark, sf):
-    flags = table(spark, sf, "labels").where("doc_id % 40 = 0").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
+    flags = table(spark, sf, "labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
     return E.mcnemar(flags).withColumn("p", F.floor(F.col("p") * 1e9 + 0.5) / 1e9)
 
 
@@ -347,7 +348,7 @@ def line_vote(spark, sf):
     from corpusmill.operators import source as S
 
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf, "conversations").withColumn("rn", F.row_number().over(w)).where("rn <= 3").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.left("text", F.lit(200)).alias("t")))), lambda x: x["t"]).alias("samples"))
+    rows = table(spark, sf, "conversations").withColumn("rn", F.row_number().over(w)).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.col("text").alias("t")))), lambda x: x["t"]).alias("samples"))
     return S.line_votes(rows, ["conv_id"], "samples")
 
 
@@ -355,7 +356,7 @@ def line_vote(spark, sf):
 def side_by_side(spark, sf):
     from corpusmill.operators import source as S
 
-    return S.line_diff(receipts(spark, sf).where("doc_id % 10 = 1"), ["doc_id"], "reference", "gen")
+    return S.line_diff(receipts(spark, sf), ["doc_id"], "reference", "gen")
 
 
 @query("sequence_similarity")

@@ -24,13 +24,13 @@ def rarity_table(spark, sf):
     return out.withColumn("rarity", F.floor(F.col("rarity") * 1e6 + 0.5) / 1e6)
 
 
-@query("topfrac_rare", f"""WITH {TOKENS}, c AS (SELECT token, count(*) AS n FROM tok GROUP BY token), p AS (SELECT doc_id, unnest(list_zip(generate_series(1, len(l)), l)) AS x FROM (SELECT doc_id, regexp_extract_all(lower(text), '([a-z]+)', 1) AS l FROM documents WHERE doc_id % 10 = 0)),
+@query("topfrac_rare", f"""WITH {TOKENS}, c AS (SELECT token, count(*) AS n FROM tok GROUP BY token), p AS (SELECT doc_id, unnest(list_zip(generate_series(1, len(l)), l)) AS x FROM (SELECT doc_id, regexp_extract_all(lower(text), '([a-z]+)', 1) AS l FROM documents)),
 r AS (SELECT doc_id, x[1] AS pos, x[2] AS token, n, row_number() OVER (PARTITION BY doc_id ORDER BY n, x[1] DESC) AS rn, count(*) OVER (PARTITION BY doc_id) AS total FROM p JOIN c ON c.token = x[2])
 SELECT doc_id, pos::INT AS pos, token FROM r WHERE rn <= floor(total * 0.1)""")
 def topfrac_rare(spark, sf):
     """The rarest tenth of each text's tokens, ties to the later one."""
     counts = tokens(spark, sf).groupBy("token").agg(F.count("*").alias("n"))
-    placed = table(spark, sf, "documents").where("doc_id % 10 = 0").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("pos", "token"))
+    placed = table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("pos", "token"))
     placed = placed.withColumn("pos", F.col("pos") + 1).join(counts, "token")
     w = Window.partitionBy("doc_id")
     ranked = placed.withColumn("rn", F.row_number().over(w.orderBy("n", F.desc("pos")))).withColumn("total", F.count("*").over(w))
@@ -52,12 +52,12 @@ def surprisal_lookup(spark, sf):
     return rows.join(known, "k", "left").groupBy(F.coalesce("hit", F.lit(False)).alias("hit")).agg(F.count("*").alias("n"))
 
 
-SPANS = """s AS (SELECT doc_id, unnest([{'k': 'head', 'a': 0, 'b': n_chars // 3}, {'k': 'mid', 'a': n_chars // 3, 'b': 2 * n_chars // 3}, {'k': 'tail', 'a': 2 * n_chars // 3, 'b': n_chars}]) AS x FROM documents WHERE doc_id % 5 = 0),
-t AS (SELECT doc_id, unnest(generate_series(0, n_chars // 50)) AS i FROM documents WHERE doc_id % 5 = 0)"""
+SPANS = """s AS (SELECT doc_id, unnest([{'k': 'head', 'a': 0, 'b': n_chars // 3}, {'k': 'mid', 'a': n_chars // 3, 'b': 2 * n_chars // 3}, {'k': 'tail', 'a': 2 * n_chars // 3, 'b': n_chars}]) AS x FROM documents),
+t AS (SELECT doc_id, unnest(generate_series(0, n_chars // 50)) AS i FROM documents)"""
 
 
 def spans_and_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf, "documents").where("doc_id % 5 = 0").select("doc_id", "n_chars")
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
     third = lambda k: F.floor(F.col("n_chars") * k / 3).cast("long")
     spans = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), third(i).alias("start"), third(i + 1).alias("end")) for i, n in enumerate(("head", "mid", "tail"))])).alias("x")).select("doc_id", "x.*")
     toks = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_chars") / 50))).alias("i")).select("doc_id", (F.col("i") * 50).alias("a"), (F.col("i") * 50 + 50).alias("b"), (F.col("i") % 7 + 1).alias("mass"))
@@ -107,11 +107,11 @@ def telemetry_trim(spark, sf):
     return T.telemetry_trim(table(spark, sf, "events").select("event_id", torn.alias("value")), 600).select("event_id")
 
 
-@query("ema_fold", """WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id % 10 = 0),
+@query("ema_fold", """WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 f AS (SELECT user_id, rn, value AS ema FROM o WHERE rn = 1 UNION ALL SELECT o.user_id, o.rn, 0.98 * f.ema + 0.02 * o.value FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1)
 SELECT user_id, floor(ema * 1e6 + 0.5) / 1e6 AS ema FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS k FROM f) WHERE k = 1""")
 def ema_fold(spark, sf):
-    rows = table(spark, sf, "events").where("user_id % 10 = 0")
+    rows = table(spark, sf, "events")
     return T.ema(rows, "user_id", "value", ["ts", "event_id"], 0.98).select("user_id", (F.floor(F.col("ema") * 1e6 + 0.5) / 1e6).alias("ema"))
 
 
