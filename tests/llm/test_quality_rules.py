@@ -79,3 +79,71 @@ def test_one_sign_of_junk_is_enough(spark, sf):
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     bad = [r.kept for r in Q.judge(spark, docs).collect() if label.get(r.doc_id) == 0]
     assert sum(bad) <= 0.4 * len(bad)
+
+
+def slow_votes(text):
+    """Which rules fire, from their meaning, on a text with words."""
+    import re
+    import unicodedata
+
+    words, lines = words_of(text), [x for x in text.split("\n") if words_of(x)]
+    n, base = len(words), brute(text)
+    letters, symbols, repeats = base["word_chars"], base["n_symbols"], base["n_repeat_words"]
+    upper = sum(unicodedata.category(c) == "Lu" for c in text)
+    marks, stops = text.count("!"), len(re.findall(r"[.,;:?](?=[\x20\x09-\x0D]|$)", text))
+    local = sum(len(set(words[i : i + 50])) for i in range(0, n, 50))
+    return {
+        "symbols": symbols > 0.1 * n, "repeats": repeats > 0.3 * n, "lines": len(lines) >= 4 and base["n_dup_lines"] > 0.3 * len(lines), "capitals": upper > 0.3 * letters,
+        "marks": marks > 0.15 * n, "word_length": letters < 2 * n or letters > 15 * n, "variety": n >= 15 and local < 0.4 * n, "stops": n >= 40 and stops < 0.01 * n,
+        "sentences": n >= 10 and 0.03 * n <= stops <= 0.4 * n and symbols <= 0.02 * n, "calm": 0.005 * letters <= upper <= 0.12 * letters and marks <= 0.02 * n and symbols <= 0.02 * n,
+        "fresh": local >= 0.7 * n and repeats <= 0.05 * n and symbols <= 0.02 * n and marks <= 0.02 * n,
+    }
+
+
+def slow_posteriors(fired):
+    """Expectation-maximisation document by document, two classes, each rule fires or not; Beta priors as documented."""
+    good_rules = {"sentences", "calm", "fresh"}
+    start = {r: (0.7, 0.3) if r in good_rules else (0.01, 0.3) for r in fired[0]}
+    rates, prior = dict(start), 0.8
+    clip = lambda x: min(0.9999, max(0.0001, x))
+    for _ in range(200):
+        p = []
+        for doc in fired:
+            g, b = prior, 1 - prior
+            for r, hit in doc.items():
+                g *= rates[r][0] if hit else 1 - rates[r][0]
+                b *= rates[r][1] if hit else 1 - rates[r][1]
+            p.append(g / (g + b))
+        good, bad, old = sum(p), sum(1 - x for x in p), rates
+        rates = {}
+        for r in start:
+            g = clip((20 * start[r][0] + sum(x for x, d in zip(p, fired) if d[r])) / (good + 20))
+            b = clip((20 * start[r][1] + sum(1 - x for x, d in zip(p, fired) if d[r])) / (bad + 20))
+            rates[r] = (max(g, b) if r in good_rules else min(g, b), b)
+        prior = min(0.99, max(0.01, good / (good + bad)))
+        if max(abs(x - y) for r in rates for x, y in zip(rates[r], old[r])) < 1e-9:
+            break
+    out = []
+    for doc in fired:
+        g, b = prior, 1 - prior
+        for r, hit in doc.items():
+            g *= rates[r][0] if hit else 1 - rates[r][0]
+            b *= rates[r][1] if hit else 1 - rates[r][1]
+        out.append(g / (g + b))
+    return out
+
+
+def test_the_verdict_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect() if words_of(r.text)}
+    want = dict(zip(texts, slow_posteriors([slow_votes(t) for t in texts.values()])))
+    rows = {r.doc_id: r for r in Q.judge(spark, docs).collect()}
+    for doc_id, p in want.items():
+        assert abs(rows[doc_id].quality - p) < 1e-6 and rows[doc_id].kept == (not rows[doc_id].base_failed and p >= 0.5)
+    assert 0 < sum(r.kept for r in rows.values()) < len(rows)
+
+
+def test_a_text_votes_alike_at_every_length(spark):
+    words = [f"w{i % 45}a" for i in range(3000)]
+    docs = spark.createDataFrame([(n, " ".join(words[:n])) for n in (450, 990, 999, 1000, 1001, 1999, 2000, 2990)], "doc_id long, text string")
+    assert len({(r.vote_variety, r.vote_fresh) for r in Q.votes(Q.statistics(docs)).collect()}) == 1
