@@ -150,6 +150,7 @@ class Block:
         found, times = np.unique(slots, return_counts=True)
         self.crowded[found[times > 1]] = True
         self.need = np.array([s[2] for s in self.segments], np.int64)
+        self.least = int(self.need.min()) if len(self.need) else 0
         self.band = np.array([s[1] + 1 for s in self.segments], np.int64)
 
     def _postings(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -177,14 +178,18 @@ class Block:
         if not len(at):
             return []
         # a band can't have more of a segment's q-grams than the whole text: each q-gram of the text is looked at once here
+        if len(at) < self.least:
+            return []
         distinct, times = np.unique(at, return_counts=True)
-        counts, pairs = np.zeros(len(self.segments), np.int64), np.zeros(len(self.segments))
-        for which, posting in self._postings(distinct):
+        counts = np.zeros(len(self.segments), np.int64)
+        for _, posting in self._postings(distinct):
             counts += np.bincount(self.owner[posting], minlength=len(self.segments))
-            pairs += np.bincount(self.owner[posting], times[which], minlength=len(self.segments))
         able = counts >= self.need
         if not able.any():
             return []
+        pairs = np.zeros(len(self.segments))
+        for which, posting in self._postings(distinct):
+            pairs += np.bincount(self.owner[posting], times[which], minlength=len(self.segments))
         # segments in groups of bounded pairs of a place and a posting
         group = np.where(able, np.cumsum(np.where(able, pairs, 0)) // PIECE, -1)
         out: list[tuple[int, int]] = []
@@ -206,7 +211,8 @@ class Block:
             key = (segment * span + band + SEGMENT + 2) * SEGMENT + offset
             held += [key, key - SEGMENT]
         # a q-gram of the segment counts once in a band, however often a repetitive text has it
-        keys = np.unique(np.concatenate(held)) // SEGMENT
+        keys = np.sort(np.concatenate(held))
+        keys = keys[np.append(True, keys[1:] != keys[:-1])] // SEGMENT
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         counts = np.diff(np.append(first, len(keys)))
         keys = keys[first]
