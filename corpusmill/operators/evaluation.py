@@ -8,6 +8,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import columns as C
+
 #: Fixed values of the record contract.
 HELD_OUT = ("F2", "D7")
 SOURCES = ("ast", "exec", "phrased", "stack")
@@ -36,6 +38,19 @@ def violations() -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(n)) for n, r in rules.items()]), lambda x: x.isNotNull())
 
 
+def drop_reason(extra: Column | None = None) -> Column:
+    """Why the filters drop a record, by the first stage that does: format:<reason> of the repaired question, leak, contract:<rule>; null if it stays.
+
+    extra: more terms (array of strings) that the question must not show.
+    """
+    question, none = C.question_repair("question"), F.array().cast("array<string>")
+    terms = C.leak_terms(F.col("answer"), F.col("answer_type"), none if extra is None else extra)
+    return (
+        F.when(C.format_reject(question).isNotNull(), F.concat(F.lit("format:"), C.format_reject(question)))
+        .when(C.leaks(question, terms), "leak").when(F.size(violations()) > 0, F.concat(F.lit("contract:"), F.get(violations(), F.lit(0))))
+    )
+
+
 def narrowed(kind: Column) -> Column:
     """Upstream answer kinds to those of the contract."""
     return F.when(kind.isin("line_ref_text", "quote"), "substring").otherwise(kind)
@@ -101,3 +116,25 @@ def mcnemar(flags: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     counts = flags.agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("left_only"), F.count_if(~a & b).alias("right_only"), F.count_if(~a & ~b).alias("neither"))
     return counts.withColumn("p", F.udf(exact_p, "double", useArrow=True)("left_only", "right_only"))
+
+
+def heldout_arms(rows: DataFrame, trained_sample: int, seed: str = "0") -> DataFrame:
+    """Rows of an evaluation with their arm: held-out pairs that pass the round trip, held-out ones that don't (advisory), and a sample of trained pairs.
+
+    rows: a record's columns, context (solo or stack) and rt (round trip: true, false, or null for not run, which isn't
+    a pass). Records that break the contract are in no arm. The sample is of trained pairs with a passed round trip and
+    a context of their own, the least by a hash of seed and row_idx. Raises ValueError where a held-out flag doesn't fit its intent, where a
+    held-out record stands in a stack, and where no held-out record passes.
+    """
+    if not rows.where(F.col("held_out").isNull() | (F.col("held_out") != F.col("intent").isin(*HELD_OUT))).isEmpty():
+        raise ValueError("a held-out flag does not fit its intent")
+    valid = rows.where(F.size(violations()) == 0)
+    held, solo, passed = F.col("held_out"), F.col("context").eqNullSafe("solo"), F.coalesce("rt", F.lit(False))
+    if not valid.where(held & ~solo).isEmpty():
+        raise ValueError("a held-out record has a stack for context")
+    if valid.where(held & passed).isEmpty():
+        raise ValueError("no held-out record passes the round trip")
+    tested = valid.where(held).withColumn("arm", F.when(passed, "heldout").otherwise("advisory"))
+    order = F.md5(F.concat_ws("|", F.lit("trained"), F.lit(seed), F.col("row_idx")))
+    trained = valid.where(~held & solo & passed).orderBy(order, "row_idx").limit(trained_sample)
+    return tested.unionByName(trained.withColumn("arm", F.lit("trained")))

@@ -73,6 +73,14 @@ def extract_facts(rows: DataFrame, keep: list[str], pool: list[str] | None = Non
     return _generated(rows, ["code", "qualified", "func_name", "is_method"], keep, make, FACT)
 
 
+def coverage(rows: DataFrame, keep: list[str], pool: list[str] | None = None) -> DataFrame:
+    """intent, emitted (facts), applicable (functions with at least one) for every registered intent, those with none included. keep: the key of a function."""
+    each = extract_facts(rows, keep, pool).groupBy(*keep, "intent").agg(F.count("*").alias("n"))
+    found = each.groupBy("intent").agg(F.sum("n").alias("emitted"), F.count("*").alias("applicable"))
+    known = rows.sparkSession.createDataFrame([(i,) for i in facts_.INTENTS], "intent string")
+    return known.join(found, "intent", "left").select("intent", F.coalesce("emitted", F.lit(0)).alias("emitted"), F.coalesce("applicable", F.lit(0)).alias("applicable"))
+
+
 def extract_stack_facts(stacks: DataFrame) -> DataFrame:
     """stacks: stack, decoy, members (array of id, qualified, func_name, code, is_method in order)."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import columns as C
 from corpusmill.operators import corpus as O
 from corpusmill.operators import source as S
+from corpusmill.operators import twins
 
 from corpusmill.sources.storage import stored
 
@@ -217,11 +218,13 @@ def content_tokens(spark, sf):
     return rows.select("p_partkey", F.get("t", F.lit(0)).alias("own"), F.element_at(F.filter("t", lambda x: x.rlike("^[0-9]+$")), 1).alias("fallback"))
 
 
-@query("coverage_counters", """SELECT 'A1' AS intent, count(*) AS emitted FROM part UNION ALL SELECT 'A8', count_if(p_size % 3 = 0)::BIGINT FROM part UNION ALL SELECT 'C6', count_if(p_size % 7 = 0)::BIGINT FROM part UNION ALL SELECT 'H1', count_if(p_size % 4 = 0)::BIGINT FROM part""")
+#: What the rendered functions hold by construction; the other intents' counts are tests of their own.
+@query("coverage_counters", """SELECT 'A1' AS intent, count(*) AS emitted, count(*) AS applicable FROM part UNION ALL SELECT 'A8', count_if(p_size % 3 = 0)::BIGINT, count_if(p_size % 3 = 0)::BIGINT FROM part UNION ALL SELECT 'C6', count_if(p_size % 7 = 0)::BIGINT, count_if(p_size % 7 = 0)::BIGINT FROM part
+UNION ALL SELECT 'H1', count_if(p_size % 4 = 0)::BIGINT, count_if(p_size % 4 = 0)::BIGINT FROM part""")
 def coverage_counters(spark, sf):
-    """Emitted facts per intent over all functions."""
-    found = S.extract_facts(rendered(spark, sf), ["p_partkey"], intents=("A1", "A8", "C6", "H1"))
-    return found.groupBy("intent").agg(F.count("*").alias("emitted"))
+    """Emitted facts, and functions with any, per intent over all functions."""
+    found = S.coverage(rendered(spark, sf), ["p_partkey"])
+    return found.where(F.col("intent").isin("A1", "A8", "C6", "H1"))
 
 
 def stacked(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,14 +256,41 @@ def multi_match(spark, sf):
     return out.select("fam", "a", "b", F.array_join(F.array_sort(F.array("na", "nb")), ", ").alias("answer"), F.transform("fillers", lambda x: x["id"]).alias("fillers"))
 
 
-@query("multi_match_violations", "SELECT 0::BIGINT AS a WHERE FALSE")
+@query("multi_match_violations", "SELECT 0::BIGINT AS question, '' AS problem WHERE FALSE")
 def multi_match_violations(spark, sf):
-    """The verifier: no pair that shares a name, repeats a member, or has a filler of its own family."""
-    m = multi_match(spark, sf)
-    rows = rendered(spark, sf).select(F.col("p_partkey").alias("id"), S.family("code").alias("ffam"))
-    own = m.select("a", "fam", F.explode("fillers").alias("id")).join(rows, "id").where("fam = ffam").select("a")
-    twice = m.select("a", F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("a").alias("a")).where("n > 1").select("a")
-    return own.union(twice).union(m.where("a = b OR NOT contains(answer, ', ')").select("a"))
+    """The verifier over the questions of multi_match: all are sound. multi_match_rules shows that each rule can fire."""
+    rows = rendered(spark, sf).select(F.col("p_partkey").alias("id"), "code", F.col("func_name").alias("name"), F.concat(F.lit("r"), F.col("p_partkey") % 9).alias("repo"), S.family("code").alias("fam"))
+    asked = stored(spark, multi_match(spark, sf), "asked").select(F.col("a").cast("long").alias("question"), "a", "b", F.concat(F.array("a", "b"), "fillers").alias("stack"), F.col("a").alias("described"), F.col("a").alias("target"), "answer", F.array("fam").alias("told"))
+    return twins.problems(asked, rows)
+
+
+TWIN = "def {}(items, limit):\n    total = 0\n    for item in items:\n        if item > limit:\n            total += item * {}\n    return total"
+#: id, name, repository, code, and whose family it is filed under (none: its own).
+TWINS = [
+    (1, "alpha", "r1", TWIN.format("alpha", 2), None), (2, "beta", "r2", TWIN.format("beta", 3), None), (3, "gamma", "r1", TWIN.format("gamma", 3), None), (4, "ALPHA", "r4", TWIN.format("ALPHA", 3), None),
+    (5, "delta", "r5", TWIN.format("delta", 3).replace("total = 0", "total = -1"), 1), (6, "eps", "r6", TWIN.format("eps", 3), 11),
+    (7, "zeta", "r7", "def zeta(rows, bound):\n    count = 9\n    for row in rows:\n        if row > bound:\n            count += row * 7\n    return count", None),
+    *[(10 + k, f"fill{k}", f"r{k}", f"def fill{k}(x):\n" + "    x = x + 1\n" * k + "    return x", None) for k in range(1, 8)], (18, "other", "r8", "def other(x):\n    x = x + 1\n    return x", None), (19, "FILL1", "r9", "def FILL1(x):\n    while x:\n        x = x - 1\n    return x", None),
+]
+_FILL = [11, 12, 13, 14, 15, 16]
+#: question, a, b, fillers, described, target, answer, told, and the rules it breaks.
+ASKED = [
+    (0, 1, 2, _FILL, 1, 1, "alpha, beta", "doubles", []), (1, 1, 2, [*_FILL[1:], 99], 1, 1, "alpha, beta", "doubles", ["unknown member"]), (2, 1, 5, _FILL, 1, 1, "alpha, delta", "doubles", ["shapes differ"]),
+    (3, 1, 6, _FILL[1:], 1, 1, "alpha, eps", "doubles", ["families differ"]), (4, 1, 7, _FILL, 7, 7, "alpha, zeta", "doubles", ["too little alike"]), (5, 1, 4, _FILL, 1, 1, "ALPHA, alpha", "doubles", ["names agree", "stack names agree"]),
+    (6, 1, 3, _FILL, 1, 1, "alpha, gamma", "doubles", ["one repository"]), (7, 1, 2, _FILL, 1, 1, "beta, alpha", "doubles", ["answer"]), (8, 1, 2, _FILL, 11, 11, "alpha, beta", "doubles", ["described"]), (9, 1, 2, _FILL, 1, 2, "alpha, beta", "doubles", ["described"]),
+    (10, 1, 2, [*_FILL[1:], 3], 1, 1, "alpha, beta", "doubles", ["filler is a match"]), (11, 1, 2, [*_FILL[:5], 18], 1, 1, "alpha, beta", "doubles", ["fillers agree"]), (12, 1, 2, [*_FILL[:5], 19], 1, 1, "alpha, beta", "doubles", ["stack names agree"]),
+    (13, 1, 2, _FILL, 1, 1, "alpha, beta", "what alpha does", ["name is told"]),
+]
+
+
+@query("multi_match_rules", "SELECT * FROM (VALUES " + ", ".join(f"({q[0]}::BIGINT, '{rule}')" for q in ASKED for rule in q[-1]) + ") t(question, problem)")
+def multi_match_rules(spark, sf):
+    """The verifier over a sound question and damaged ones, at least one for each of its rules."""
+    functions = spark.createDataFrame(TWINS, "id long, name string, repo string, code string, as_ long").withColumn("shape", S.family("code"))
+    filed = functions.select(F.col("id").alias("as_"), F.col("shape").alias("filed"))
+    functions = functions.join(filed, "as_", "left").withColumn("fam", F.coalesce("filed", "shape"))
+    asked = spark.createDataFrame([q[:-1] for q in ASKED], "question long, a long, b long, fillers array<long>, described long, target long, answer string, told string")
+    return twins.problems(asked.withColumn("stack", F.concat(F.array("a", "b"), "fillers")).withColumn("told", F.array("told")), functions)
 
 
 RUNNABLE = "def calc_{k}(n: int, items: list):\n    total = {s}\n    for i in items:\n        total = total + n\n    if n > 2:\n        return total\n    return [total]"

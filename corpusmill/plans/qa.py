@@ -168,20 +168,32 @@ def contract_validate(spark, sf):
     return records(spark, sf).select(F.explode(E.violations()).alias("violation")).groupBy("violation").agg(F.count("*").alias("n"))
 
 
-@query("stage_drop_matrix", f"""WITH {PAIRS}, {RECORDS}, d AS (SELECT intent, CASE WHEN length(question) > 500 THEN 'format' WHEN trim(answer) = '' THEN 'contract' WHEN length(answer) >= 3 AND contains(question, answer) THEN 'leak' ELSE 'kept' END AS stage FROM records)
-SELECT intent, count_if(stage = 'format')::BIGINT AS format, count_if(stage = 'leak')::BIGINT AS leak, count_if(stage = 'contract')::BIGINT AS contract, count_if(stage = 'kept')::BIGINT AS kept FROM d GROUP BY intent""")
+@query("stage_drop_matrix", rf"""WITH {PAIRS}, {RECORDS}, t AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN row_idx % 9 = 0 THEN question || ' ' || answer WHEN row_idx % 17 = 0 THEN left(question, 5) ELSE question END, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS t FROM records),
+ u AS (SELECT *, {NORM.format('t')} AS q, {NORM.format('answer')} AS n FROM t), v AS (SELECT *, trim(trim(n, chr(34))) AS term FROM u), d AS (SELECT intent, CASE
+ WHEN length(t) = 0 THEN 'format:empty' WHEN length(t) < 8 THEN 'format:too_short' WHEN length(t) > 500 THEN 'format:too_long' WHEN NOT regexp_matches(t, '[A-Za-z]') THEN 'format:no_letters' WHEN contains(t, '```') THEN 'format:code_fence'
+ WHEN regexp_matches(t, '(?i)fact card|ground.truth|style directive|as an ai|i cannot|the answer is') THEN 'format:meta_reference' WHEN answer_type <> 'letter' AND length(term) >= 3 AND contains(q, term) THEN 'leak'
+ WHEN trim(answer) = '' THEN 'contract:blank answer' WHEN held_out <> (intent IN ('F2', 'D7')) THEN 'contract:held-out flag' WHEN answer_type = 'letter' THEN 'contract:letter answer' WHEN NOT known_source THEN 'contract:unknown source' ELSE 'kept' END AS reason FROM v)
+SELECT intent, split_part(reason, ':', 1) AS stage, reason, count(*) AS n FROM d GROUP BY intent, reason""")
 def stage_drop_matrix(spark, sf):
-    stage = F.when(F.length("question") > 500, "format").when(F.trim("answer") == "", "contract").when((F.length("answer") >= 3) & F.contains("question", "answer"), "leak").otherwise("kept")
-    return records(spark, sf).withColumn("stage", stage).groupBy("intent").pivot("stage", ["format", "leak", "contract", "kept"]).agg(F.count(F.lit(1))).fillna(0)
+    """Drops by intent, stage and reason; every ninth question shows its answer, every seventeenth is cut short."""
+    worse = F.when(F.col("row_idx") % 9 == 0, F.concat_ws(" ", "question", "answer")).when(F.col("row_idx") % 17 == 0, F.left("question", F.lit(5))).otherwise(F.col("question"))
+    reason = F.coalesce(E.drop_reason(), F.lit("kept"))
+    counted = records(spark, sf).withColumn("question", worse).groupBy("intent", reason.alias("reason")).agg(F.count("*").alias("n"))
+    return counted.select("intent", F.split_part("reason", F.lit(":"), F.lit(1)).alias("stage"), "reason", "n")
 
 
-@query("heldout_select", f"""WITH {PAIRS}, {RECORDS} SELECT CASE WHEN rt THEN 'pass' WHEN NOT rt THEN 'fail' ELSE 'unknown' END AS part, count(*) AS n FROM (SELECT *, CASE row_idx % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS rt FROM records) WHERE held_out AND trim(answer) <> '' GROUP BY part""")
+ROUND_TRIPS = "held AS (SELECT row_idx, intent, intent IN ('F2', 'D7') AS held_out, intent NOT IN ('F2', 'D7') AND row_idx % 5 = 0 AS stacked, CASE row_idx % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS rt FROM records WHERE trim(answer) <> '' AND trim(question) <> '' AND answer_type <> 'letter' AND known_source)"
+
+
+@query("heldout_select", f"""WITH {PAIRS}, {RECORDS}, {ROUND_TRIPS} SELECT row_idx, CASE WHEN rt THEN 'heldout' ELSE 'advisory' END AS arm FROM held WHERE held_out
+UNION ALL SELECT row_idx, 'trained' FROM (SELECT row_idx FROM held WHERE NOT held_out AND NOT stacked AND rt ORDER BY md5('trained|0|' || row_idx) LIMIT 50)""")
 def heldout_select(spark, sf):
-    """Pairs and their metadata in torn-checked shards; held-out ones by round-trip outcome, where null isn't pass."""
-    rows = records(spark, sf).withColumn("line", F.row_number().over(Window.partitionBy("intent").orderBy("row_idx")))
+    """Pairs and their metadata in torn-checked shards; arms of the evaluation by contract and round trip, with 50 trained pairs."""
+    held = F.col("intent").isin(*E.HELD_OUT)
+    context = F.when(~held & (F.col("row_idx") % 5 == 0), "stack").otherwise("solo")
+    rows = records(spark, sf).withColumn("held_out", held).withColumn("context", context).withColumn("line", F.row_number().over(Window.partitionBy("intent").orderBy("row_idx")))
     meta = rows.select("intent", "line", F.when(F.col("row_idx") % 3 == 0, True).when(F.col("row_idx") % 3 == 1, False).alias("rt"))
-    both = O.aligned(rows, meta, ["intent", "line"]).where(F.col("held_out") & (F.trim("answer") != ""))
-    return both.groupBy(F.when(F.col("rt"), "pass").when(~F.col("rt"), "fail").otherwise("unknown").alias("part")).agg(F.count("*").alias("n"))
+    return E.heldout_arms(O.aligned(rows, meta, ["intent", "line"]), 50).select("row_idx", "arm")
 
 
 @query("pool_partition", f"""WITH {PAIRS}, {RECORDS} SELECT CASE WHEN held_out THEN 'heldout' WHEN intent LIKE 'I%' THEN 'retr' WHEN row_idx % 5 = 0 THEN 'stack' WHEN intent LIKE 'B%' AND answer_type = 'substring' THEN 'span' ELSE 'solo' END AS pool, count(*) AS n FROM records GROUP BY pool""")

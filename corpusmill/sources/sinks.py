@@ -48,8 +48,17 @@ def rejects(rows: DataFrame, path: str, kept: tuple[str, ...]) -> None:
 
 
 def publish(spark: SparkSession, rows: DataFrame, path: str, checks: dict[str, Callable[[DataFrame], DataFrame]]) -> None:
-    """Write aside, run checks that must find no violating row, then rename into place; a failure leaves nothing."""
-    aside = f"{path}.new"
+    """Write aside, run checks that must find no violating row, then rename into place.
+
+    What was published before steps aside by a rename and goes only when the new one is in place; a failure brings it back and
+    leaves nothing else. A former publisher that died between its two renames is put right first.
+    """
+    aside, before = f"{path}.new", f"{path}.old"
+    system, target = file_system(spark, path)
+    old = file_system(spark, before)[1]
+    if system.exists(old) and not system.exists(target):
+        system.rename(old, target)
+    remove(spark, before)
     remove(spark, aside)
     try:
         rows.write.parquet(aside)
@@ -58,9 +67,12 @@ def publish(spark: SparkSession, rows: DataFrame, path: str, checks: dict[str, C
             raise ValueError("nothing to publish")
         if bad := [name for name, check in checks.items() if not check(written).isEmpty()]:
             raise ValueError(f"checks failed: {bad}")
-        system, target = file_system(spark, path)
-        system.delete(target, True)
-        system.rename(file_system(spark, aside)[1], target)
+        if system.exists(target) and not system.rename(target, old):
+            raise OSError(f"cannot move {path} aside")
+        if not system.rename(file_system(spark, aside)[1], target):
+            system.rename(old, target)
+            raise OSError(f"cannot rename {aside}")
+        remove(spark, before)
     except Exception:
         remove(spark, aside)
         raise

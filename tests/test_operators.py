@@ -157,3 +157,47 @@ def test_global_rank_is_the_order(spark):
     want = sorted(range(1000), key=lambda i: (i % 3, -(i * 7919 % 1000)))
     assert got == {i: n for n, i in enumerate(want, 1)}
     assert O.global_rank(spark, rows.where("false"), ["k"]).count() == 0
+
+
+def _heldout_row(intent, rt, held_out=None, context="solo", answer="x1", at=0):
+    return (at, intent, intent in E.HELD_OUT if held_out is None else held_out, "What is returned here?", answer, "substring", "ast", None, context, rt)
+
+
+HELDOUT = "row_idx long, intent string, held_out boolean, question string, answer string, answer_type string, source string, options array<string>, context string, rt boolean"
+
+
+def test_heldout_arms(spark):
+    cases = [("F2", True), ("F2", False), ("D7", True), ("D7", None), ("G4", True), ("G4", False)]
+    rows = [_heldout_row(i, rt, at=k) for k, (i, rt) in enumerate(cases)] + [_heldout_row("I1", True, context="stack", at=6), _heldout_row("G4", True, answer="  ", at=7)]
+    arms = {r.row_idx: r.arm for r in E.heldout_arms(spark.createDataFrame(rows, HELDOUT), 10).collect()}
+    assert arms == {0: "heldout", 1: "advisory", 2: "heldout", 3: "advisory", 4: "trained"}
+    many = [_heldout_row("F2", True)] + [_heldout_row("G4", True, at=k) for k in range(1, 40)]
+    drawn = [{r.row_idx for r in E.heldout_arms(spark.createDataFrame(x, HELDOUT), 7).where("arm = 'trained'").collect()} for x in (many, many[::-1])]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 7
+
+
+@pytest.mark.parametrize("rows", [[_heldout_row("F2", True), _heldout_row("F2", True, held_out=False)], [_heldout_row("F2", True), _heldout_row("D7", True, context="stack")], [_heldout_row("F2", False)], []])
+def test_heldout_arms_refuse(spark, rows):
+    with pytest.raises(ValueError):
+        E.heldout_arms(spark.createDataFrame(rows, HELDOUT), 10)
+
+
+def test_verifier_refuses_an_empty_set(spark):
+    from corpusmill.operators import twins
+
+    asked = spark.createDataFrame([], "question long, a long, b long, stack array<long>, described long, target long, answer string, told array<string>")
+    with pytest.raises(ValueError):
+        twins.problems(asked, spark.createDataFrame([], "id long, code string, name string, repo string, fam string"))
+
+
+def test_coverage_lists_every_intent(spark):
+    from corpusmill.functions import facts
+    from corpusmill.operators import source as S
+
+    code = "def f(a, b=1):\n    if a:\n        return b\n    return a"
+    rows = spark.createDataFrame([(k, code, "m.f", "f", False) for k in range(3)] + [(3, "def (", "m.g", "g", False)], "id long, code string, qualified string, func_name string, is_method boolean")
+    found = {r.intent: r for r in S.coverage(rows, ["id"]).collect()}
+    assert set(found) == set(facts.INTENTS) and found["A1"].applicable == 3
+    for intent, r in found.items():
+        facts_of = [len([f for f in facts.extract_facts(code, "m.f", "f", False) if f.intent == intent])]
+        assert (r.emitted, r.applicable) == (3 * facts_of[0], 3 * (facts_of[0] > 0))

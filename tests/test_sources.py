@@ -99,6 +99,12 @@ def test_publish_is_atomic(spark, tmp_path):
     with pytest.raises(ValueError):
         K.publish(spark, spark.range(0), path, {})
     assert spark.read.parquet(path).count() == 5 and not (tmp_path / "out.new").exists()
+    (tmp_path / "out").rename(tmp_path / "out.old")  # as after a publisher that died between its renames
+    with pytest.raises(ValueError):
+        K.publish(spark, spark.range(9), path, {"none": lambda d: d.where("id > 3")})
+    assert spark.read.parquet(path).count() == 5
+    K.publish(spark, spark.range(7), path, {})
+    assert spark.read.parquet(path).count() == 7 and sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["out"]
 
 
 def test_freeze(spark, tmp_path):
