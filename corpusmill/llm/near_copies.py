@@ -1,20 +1,26 @@
 """Near copies for the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-SimHash does not find these: at 0.8 two fingerprints differ in about ten of 64 bits with a deviation of
-three, and no blocks index a radius that wide. So candidates come from MinHash: 160 minima of a
-document's shingle hashes in 32 bands of five; two documents at 0.8 share no band with probability
-(1 - 0.8^5)^32 < 4e-6, less above it. Equal sets collapse before.
-
-Each document of a bucket (those that share a band) is compared with the smallest of its bucket, exactly; that
-joins nearly all of a group of near copies in as many comparisons as it has documents. Buckets in which
-more than one component is left are compared in full: the documents of such buckets, linked through them,
-are clusters, dealt into blocks of about BLOCK by a hash, and each two blocks meet in one group, so
-a large cluster is many tasks. A group counts common shingles by products of incidence matrices, links only
+Candidates come from SimHash fingerprints through BK-trees, as in simhash. At 0.8 two fingerprints of a set differ
+in about ten of 64 bits with a deviation of three, and no blocks index a radius that wide. So a set has WORDS
+fingerprints of 64 bits, each from hashes of its own, and each is indexed by its four 16-bit blocks: the shards of the index
+are the fingerprints with one value in one block, each with a BK-tree, searched with radius RADIUS. A pair
+that differs in a share p of its bits meets in one shard with probability (1 - p)^16 * P(Bin(48, p) <= 10).
+p is about 0.15 at 0.8 (up to 0.19 for a few shingles, so sets of up to SMALL shingles have SMALL_WORDS), and a
+pair at 0.8 meets in no shard with probability below 4e-6, less above it. Equal sets collapse before; a set of
+fewer than four shingles has no other partner.
+
+What a BK-tree joins in a shard is a bucket. Shards above SHARD_ROWS (judged by a sample of one document in SAMPLE, which decides
+only on the split) are dealt into blocks of which each two meet in one group. The index is built for a few words at a
+time, so that shuffle files stay small.
+
+Each document is compared, exactly, with the smallest document of its buckets, then with the smallest of each bucket that holds
+it and is not joined to it yet; that joins nearly all of a group of near copies in about as many comparisons as it has
+documents. Buckets of more than two in which more than one component is left are compared in full: the documents of such
+buckets, linked through them, are clusters, dealt into blocks of about BLOCK by a hash, and each two blocks meet in
+one group, so a large cluster is many tasks. A group counts common shingles by products of incidence matrices, links only
 pairs whose exact similarity reaches the threshold, and returns a spanning forest of its links. Components of
 all links share the smallest doc_id.
 
-Joins that carry a row for each band are sort-merge joins at every size, whose hot keys adaptive execution may split.
-
 Texts without words (null, empty) are equal; one with fewer than five words is one shingle. Rows without doc_id
 have no component. A doc_id stands for one text (deduplicated sees to that); repeated rows repeat. Very long texts
 are read whole, their hashes in pieces. Empty tables give empty results. Other columns play no part, whatever their names.
@@ -23,6 +29,7 @@ are read whole, their hashes in pieces. Empty tables give empty results. Other c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_RE, discard, release, stored
-from .simhash import _LOWER, SEED, _roots, components
+from .simhash import _LOWER, SEED, SHARD_ROWS, TREE_ROWS, _roots, components, spanning
 
-SHINGLE, BANDS, ROWS, BLOCK = 5, 32, 5, 512
+SHINGLE, RADIUS, BLOCK = 5, 10, 512
+WORDS, SMALL, SMALL_WORDS = 52, 36, 128
+#: Words of the index that are built in one go, and the share of documents that large shards are judged by.
+PIECES, SAMPLE = [*range(0, WORDS, 13), WORDS, SMALL_WORDS], 16
 #: The threshold as a fraction, so that comparisons are exact.
 LEAST, OF = 4, 5
-_ODD = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALT = np.random.default_rng(SEED).integers(0, 1 << 63, SMALL_WORDS, dtype=np.uint64)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -52,23 +62,35 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], dtype=np.uint64))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least hash under each of the permutations (an empty set: all bits)."""
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[None, at : at + 1024] * _ODD[:, None]).min(axis=1), out=least)
-    return least
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Other 64-bit hashes, bijectively (the finisher of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash words of a set of shingle hashes: a bit is 1 if set in over half of the hashes of its word."""
+    n = len(hashes)
+    if n < LEAST:
+        return np.zeros(0, np.uint64)
+    salt = _SALT[: SMALL_WORDS if n <= SMALL else WORDS]
+    ones = np.zeros(64 * len(salt), dtype=np.int64)
+    for at in range(0, n, 255):
+        words = mixed(hashes[at : at + 255, None] ^ salt)
+        bits = np.unpackbits(words.view(np.uint8).ravel(), bitorder="little").reshape(len(words), -1)
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, bands = [], []
+        keys, words = [], []
         for text in batch.column("text").to_pylist():
             found = shingle_set(text)
             keys.append(xxhash.xxh128_digest(found.tobytes()))
-            least = minima(found).reshape(BANDS, ROWS)
-            bands.append(np.array([xxhash.xxh64_intdigest(least[k].tobytes(), k) for k in range(BANDS)], dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
+            words.append(fingerprints(found).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "same", "words"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +152,76 @@ def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges()
 
 
-def bucketed(spark: SparkSession, reps: DataFrame) -> DataFrame:
-    """(rep, band, first) of every band that several representatives share; first is the smallest of them. Stored."""
-    dealt = reps.select("rep", F.explode("bands").alias("band"))
-    firsts = dealt.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("band", "first")
-    firsts = stored(spark, firsts, "band-firsts")
-    members = stored(spark, dealt.join(firsts.hint("merge"), "band").select("rep", "band", "first"), "band-members")
-    discard(spark, firsts)
-    return members
+def bucket_rows(shard: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """rep, band, first, n of rows sorted by (shard, fp): what a shard's BK-tree joins is a bucket with n rows, the smallest of them first."""
+    same = shard[1:] == shard[:-1]
+    several = np.append(False, same) | np.append(same, False)
+    shard, rep, fp = shard[several], rep[several], fp[several]
+    if not len(rep):
+        return rep, rep, rep, rep
+    new = np.append(True, (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1]))  # equal fingerprints are one node
+    node = np.cumsum(new) - 1
+    label = np.arange(node[-1] + 1)
+    child, root = spanning(shard[new], fp[new].view(np.uint64), RADIUS, star=True)
+    label[child] = root
+    label = label[node]
+    n = np.bincount(label)[label]
+    first = np.full(node[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, label, rep)
+    first = first[label]
+    band = mixed(mixed(shard.view(np.uint64)) ^ first.view(np.uint64)).view(np.int64)
+    return tuple(x[n > 1] for x in (rep, band, first, n))
+
+
+def _shard_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard and fingerprint; whole shards are searched together, about TREE_ROWS rows at a time."""
+
+    def found(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out = bucket_rows(*columns)
+        for i in range(0, len(out[0]), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65_536]) for x in out], ["rep", "band", "first", "n"])
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in ("shard", "rep", "fp")])
+        rows += batch.num_rows
+        if rows >= TREE_ROWS:
+            shard, rep, fp = (np.concatenate(x) for x in zip(*held))
+            cut = int(np.searchsorted(shard, shard[-1], "left"))  # the last shard may go on
+            if cut:
+                yield from found(shard[:cut], rep[:cut], fp[:cut])
+            held, rows = [[shard[cut:], rep[cut:], fp[cut:]]], len(shard) - cut
+    if rows:
+        yield from found(*(np.concatenate(x) for x in zip(*held)))
+
+
+def shards(reps: DataFrame, low: int, high: int) -> DataFrame:
+    """(shard, rep, fp): each of the words from low to high by the value of each of its four blocks."""
+    words = reps.select("rep", F.posexplode(F.slice("words", low + 1, high - low)).alias("word", "fp"))
+    blocks = words.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+    value = "shiftleft(cast((word + %d) * 4 + k AS long), 16) | (shiftrightunsigned(fp, 16 * k) & 65535L)"
+    return blocks.select(F.expr(value % low).alias("shard"), "rep", "fp")
+
+
+def bucketed(spark: SparkSession, reps: DataFrame, shard_rows: int = SHARD_ROWS) -> list[DataFrame]:
+    """(rep, band, first, n) of every bucket of the index, in stored pieces."""
+    some = shards(reps.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLE)) == 0), 0, SMALL_WORDS)
+    large = some.groupBy("shard").agg(F.ceil(F.count("*") * SAMPLE / shard_rows).cast("long").alias("blocks")).where("blocks > 1")
+    large = stored(spark, large, "large-shards")
+    split = not large.isEmpty()
+    parts, out = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), []
+    for low, high in zip(PIECES, PIECES[1:]):
+        rows = shards(reps, low, high)
+        if split:
+            own = rows.join(large, "shard", "left").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+            own = own.withColumn("other", F.explode(F.expr("CASE WHEN blocks IS NULL THEN array(-1L) ELSE filter(sequence(0L, blocks - 1), x -> x <> own) END")))
+            shard = F.when(F.col("other") < 0, F.col("shard")).otherwise(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")))
+            rows = own.select(shard.alias("shard"), "rep", "fp")
+        dealt = rows.repartition(parts, "shard").sortWithinPartitions("shard", "fp")
+        out.append(stored(spark, dealt.mapInArrow(_shard_buckets, "rep long, band long, first long, n long"), "buckets"))
+        release(spark)
+    discard(spark, large)
+    return out
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -171,25 +255,36 @@ def links(spark: SparkSession, sets: DataFrame, found: DataFrame, block: int = B
     return dealt.select("cluster", "low", "high", "doc_id", "shingles").mapInArrow(_group_edges, "a long, b long").distinct()
 
 
-def groups(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def apart(members: DataFrame, tried: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a document and the first of a bucket, in two components of joined (node, component), but for those tried."""
+    pairs = members.where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    of = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b")
+
+
+def groups(spark: SparkSession, docs: DataFrame, block: int = BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, component_id for every row with a doc_id."""
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = stored(spark, texts.mapInArrow(_sketches, "doc_id long, same binary, bands array<long>"), "sketches")
+    marked = stored(spark, texts.mapInArrow(_sketches, "doc_id long, same binary, words array<long>"), "sketches")
     firsts = stored(spark, marked.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sketch-firsts")
     copies = stored(spark, marked.select("same", "doc_id").join(firsts.where("n > 1"), "same").where("doc_id > rep").select("doc_id", "rep").distinct(), "sketch-copies")
-    reps = marked.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "bands")
-    members = bucketed(spark, reps)
+    reps = marked.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "words")
+    reps = stored(spark, reps, "sketch-reps")
+    pieces = bucketed(spark, reps, shard_rows)
+    members = reduce(DataFrame.union, pieces)
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(spark, texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "shingle-sets")
     release(spark)
-    star = members.where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    star = members.where("rep > first").groupBy(F.col("rep").alias("a")).agg(F.min("first").alias("b"))
+    star = stored(spark, star, "star-pairs")
     near = stored(spark, compared(star, sets), "star-links")
-    rest = clusters(spark, members, components(spark, near))
+    again = stored(spark, compared(apart(members, star, components(spark, near)), sets), "star-links")
+    rest = clusters(spark, members.where("n > 2"), components(spark, near.union(again)))
     more = stored(spark, links(spark, sets, rest, block), "cluster-links")
-    discard(spark, members, sets)
+    discard(spark, reps, *pieces, star, sets)
     release(spark)
-    found = components(spark, near.union(more).distinct())
+    found = components(spark, near.union(again).union(more).distinct())
     own = marked.select("doc_id").join(copies, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     out = stored(spark, own.join(found, own["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")), "near-groups")
-    discard(spark, marked, firsts, copies, near, more)
+    discard(spark, marked, firsts, copies, near, again, more)
     return out

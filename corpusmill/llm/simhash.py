@@ -81,13 +81,14 @@ class BKForest:
         self.root = first[self.shard]
         waiting = np.setdiff1d(np.arange(len(fps)), first)
         at = self.root[waiting]
-        keys, children = [], []
+        keys, children, self.levels = [], [], []
         while len(waiting):
             key = at * 65 + np.bitwise_count(fps[waiting] ^ fps[at]).astype(np.int64)
             edge, index, which = np.unique(key, return_index=True, return_inverse=True)
             child = waiting[index]
             keys.append(edge)
             children.append(child)
+            self.levels.append((edge // 65, child))
             rest = np.ones(len(waiting), dtype=bool)
             rest[index] = False
             waiting, at = waiting[rest], child[which][rest]
@@ -96,19 +97,28 @@ class BKForest:
         self.keys = key[order]
         self.children = (np.concatenate(children) if children else np.zeros(0, np.int64))[order]
 
-    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (row, earlier row) within the radius, in pieces of bounded size."""
+    def links(self, radius: int, joined: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (row, earlier row) within the radius, in pieces of bounded size.
+
+        joined: labels of rows known to be joined; a search then leaves out subtrees that wholly have its own row's label.
+        """
         everything = np.arange(len(self.fps))
-        todo = [(everything[i : i + 65_536], self.root[i : i + 65_536]) for i in range(0, len(everything), 65_536)]
+        if joined is not None:
+            low, high = joined.copy(), joined.copy()
+            for parents, below in reversed(self.levels):
+                np.minimum.at(low, parents, low[below])
+                np.maximum.at(high, parents, high[below])
+            only = np.where(low == high, low, -1)
+            everything = everything[only[self.root] < 0]
+        todo = [(rows, self.root[rows]) for rows in (everything[i : i + 65_536] for i in range(0, len(everything), 65_536))]
         while todo:
             query, node = todo.pop()
             d = np.bitwise_count(self.fps[query] ^ self.fps[node]).astype(np.int64)
             hit = (d <= radius) & (node < query)
             if hit.any():
                 yield query[hit], node[hit]
-            low = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0), "left")
-            high = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), "right")
-            n = high - low
+            first = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0), "left")
+            n = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), "right") - first
             if not (total := int(n.sum())):
                 continue
             cuts = np.searchsorted(np.cumsum(n), np.arange(FRONTIER, total + FRONTIER, FRONTIER), "left") + 1
@@ -116,7 +126,11 @@ class BKForest:
                 m = n[a:b]
                 if size := int(m.sum()):
                     step = np.arange(size) - np.repeat(np.cumsum(m) - m, m)
-                    todo.append((np.repeat(query[a:b], m), self.children[np.repeat(low[a:b], m) + step]))
+                    queries, nodes = np.repeat(query[a:b], m), self.children[np.repeat(first[a:b], m) + step]
+                    if joined is not None:
+                        apart = only[nodes] != joined[queries]
+                        queries, nodes = queries[apart], nodes[apart]
+                    todo.append((queries, nodes))
 
 
 def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -127,10 +141,29 @@ def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
         x = up
 
 
-def spanning(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row, root) that join exactly what links within each shard join."""
-    parent = np.arange(len(fps))
-    for a, b in BKForest(shard, fps).links(radius):
+def _starred(forest: BKForest, radius: int, rounds: int = 16, few: int = 64) -> np.ndarray:
+    """Labels that join, in shards with many rows left, all rows within the radius of one of them, a few times over."""
+    label, free = np.arange(len(forest.fps)), np.arange(len(forest.fps))
+    for _ in range(rounds):
+        _, first, which, n = np.unique(forest.shard[free], return_index=True, return_inverse=True, return_counts=True)
+        many = n[which] >= few
+        if not many.any():
+            break
+        lead = free[(first + n // 2)[which]]
+        near = many & (np.bitwise_count(forest.fps[free] ^ forest.fps[lead]) <= radius)
+        label[free[near]] = lead[near]
+        free = free[many & ~near]
+    return label
+
+
+def spanning(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS, star: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, root) that join exactly what links within each shard join.
+
+    star: join many rows of a shard first, where much of it lies within the radius of one row.
+    """
+    forest = BKForest(shard, fps)
+    parent = _starred(forest, radius) if star else np.arange(len(fps))
+    for a, b in forest.links(radius, parent.copy() if star else None):
         while True:
             ra, rb = _roots(parent, a), _roots(parent, b)
             apart = ra != rb
