@@ -255,9 +255,9 @@ def links(spark: SparkSession, sets: DataFrame, found: DataFrame, block: int = B
     return dealt.select("cluster", "low", "high", "doc_id", "shingles").mapInArrow(_group_edges, "a long, b long").distinct()
 
 
-def apart(members: DataFrame, tried: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a document and the first of a bucket, in two components of joined (node, component), but for those tried."""
-    pairs = members.where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+def apart(pairs: DataFrame, tried: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (a, b) in two components of joined (node, component), but for those tried."""
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")
     of = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in"))
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b")
 
@@ -275,15 +275,19 @@ def groups(spark: SparkSession, docs: DataFrame, block: int = BLOCK, shard_rows:
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(spark, texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "shingle-sets")
     release(spark)
-    star = members.where("rep > first").groupBy(F.col("rep").alias("a")).agg(F.min("first").alias("b"))
-    star = stored(spark, star, "star-pairs")
+    # a document meets the same first in many buckets: stored, so that joins see each pair once
+    pairs = stored(spark, members.where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "bucket-pairs")
+    star = stored(spark, pairs.groupBy("a").agg(F.min("b").alias("b")), "star-pairs")
     near = stored(spark, compared(star, sets), "star-links")
-    again = stored(spark, compared(apart(members, star, components(spark, near)), sets), "star-links")
-    rest = clusters(spark, members.where("n > 2"), components(spark, near.union(again)))
+    joined = components(spark, near)
+    again = stored(spark, compared(apart(pairs, star, joined), sets), "star-links")
+    release(spark)
+    joined = components(spark, joined.union(again))  # stars instead of the links they came from: fewer rounds
+    rest = clusters(spark, members.where("n > 2"), joined)
     more = stored(spark, links(spark, sets, rest, block), "cluster-links")
-    discard(spark, reps, *pieces, star, sets)
+    discard(spark, reps, *pieces, pairs, star, sets)
     release(spark)
-    found = components(spark, near.union(again).union(more).distinct())
+    found = components(spark, joined.union(more))
     own = marked.select("doc_id").join(copies, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     out = stored(spark, own.join(found, own["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")), "near-groups")
     discard(spark, marked, firsts, copies, near, again, more)

@@ -11,8 +11,8 @@ bound of this ratio (best bin estimation).
 Labels are read only from rows whose crc32(doc_id) mod 4 is not 2.
 
 The fit uses a bounded sample, at most P_ROWS and U_ROWS rows, the first in a hash order of doc_id; a row that
-repeats with its text counts once. The bounds are parameters and don't depend on the size of the corpus: at
-most as many feature vectors of 4 kB reach the driver. Scoring covers every whole text.
+repeats with its text counts once. The bounds are parameters and don't depend on the size of the corpus: one
+task holds as many feature vectors of 4 kB and fits, and the driver gets the model. Scoring covers every whole text.
 Inputs of a score come from the text alone: frequencies of character-class trigrams and a few
 statistics of its words and lines, so a text costs one pass and the model is about a thousand numbers,
 which is all that travels to the executors. Scoring has no shuffle.
@@ -131,7 +131,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     square = sum(np.einsum("ij,ij->j", a, a, dtype=np.float64) for a in (positive, unlabelled)) / n
     mean, scale = mean.astype(np.float32), (np.sqrt(np.maximum(square - mean**2, 0)) + 1e-3).astype(np.float32)
     p, u = positive - mean, unlabelled - mean
-    for a in (p, u):  # in place: the sample is the driver's largest object
+    for a in (p, u):  # in place: the sample is large
         a /= scale
         np.clip(a, -8, 8, out=a)
     w, bias = np.zeros(len(mean), np.float32), float(np.log(prior / (1 - prior)))
@@ -179,10 +179,28 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, p_place: np.nd
     return class_prior(model.scores(positive[~p_half]), model.scores(unlabelled[~u_half]))
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fitted(x: np.ndarray, is_p: np.ndarray, place: np.ndarray, prior: float | None) -> Model | None:
+    """The model of a sample of feature vectors; none without positives or without unlabelled rows."""
+    if not is_p.any() or is_p.all():
+        return None
+    # a defined order, so that sums and with them the fit don't depend on how tasks ended
+    order = np.argsort(place, kind="stable")
+    p_at, u_at = order[is_p[order]], order[~is_p[order]]
+    positive, unlabelled = x[p_at], x[u_at]
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled, place[p_at], place[u_at]) if prior is None else prior)
+
+
+def _models(batches: Iterator[pa.RecordBatch], prior: float | None) -> Iterator[pa.RecordBatch]:
+    """The one model of all rows of the sample."""
+    held = []
     for batch in batches:
-        rows = [features(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("place"), pa.array(rows, pa.binary())], ["positive", "place", "x"])
+        x = np.zeros((batch.num_rows, N_FEATURES), np.float32)
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            x[i] = features(text)
+        held.append((x, batch.column("positive").to_numpy(zero_copy_only=False), batch.column("place").to_numpy()))
+    if held and (model := fitted(*(np.concatenate(c) for c in zip(*held)), prior)):
+        parts = [pa.array([a.tobytes()], pa.binary()) for a in (model.mean, model.scale, model.weights)]
+        yield pa.RecordBatch.from_arrays([*parts, pa.array([model.bias], pa.float64())], ["mean", "scale", "weights", "bias"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, p_rows: int, u_rows: int) -> DataFrame:
@@ -199,21 +217,14 @@ def sample(docs: DataFrame, labels: DataFrame, p_rows: int, u_rows: int) -> Data
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, p_rows: int = P_ROWS, u_rows: int = U_ROWS, prior: float | None = None) -> Model:
-    """Fit on a bounded sample of whole texts. prior: where it is known."""
-    rows = sample(docs, labels, p_rows, u_rows).mapInArrow(_feature_rows, "positive boolean, place long, x binary").toArrow()
-    held = rows.column("x").chunks
-    x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32, len(c) * N_FEATURES, 4 * N_FEATURES * c.offset).reshape(-1, N_FEATURES) for c in held if len(c)] or [np.zeros((0, N_FEATURES), np.float32)])
-    is_p, place = rows.column("positive").to_numpy().astype(bool), rows.column("place").to_numpy()
-    del rows, held
-    if not is_p.any() or is_p.all():
+    """Fit on a bounded sample of whole texts, in one task; only the model reaches the driver. prior: where it is known."""
+    rows = sample(docs, labels, p_rows, u_rows).coalesce(1)
+    found = rows.mapInArrow(lambda batches: _models(batches, prior), "mean binary, scale binary, weights binary, bias double").collect()
+    if not found:
         flat = np.zeros(N_FEATURES)
         return Model(flat, flat + 1, flat, 0.0)
-    # a defined order, so that sums and with them the fit don't depend on how tasks ended
-    order = np.argsort(place, kind="stable")
-    p_at, u_at = order[is_p[order]], order[~is_p[order]]
-    positive, unlabelled = x[p_at], x[u_at]
-    del x
-    return fit(positive, unlabelled, estimated_prior(positive, unlabelled, place[p_at], place[u_at]) if prior is None else prior)
+    mean, scale, weights, bias = found[0]
+    return Model(np.frombuffer(mean, np.float32), np.frombuffer(scale, np.float32), np.frombuffer(weights, np.float64), bias)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, stored
+from .common import WORD_RE, release, stored
 
 SEED, RADIUS, BLOCKS = 42, 3, 4
 SHARD_ROWS, TREE_ROWS = 50_000, 200_000
@@ -236,30 +236,30 @@ def links(spark: SparkSession, fps: DataFrame, shard_rows: int = SHARD_ROWS) ->
     return every.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_shard_edges, "a long, b long").distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether the edges (a > b) are stars: no node has two smaller neighbours, or a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("node"), "b").union(edges.select("b", F.lit(None).cast("long")))
+    nodes = ends.groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max(F.col("b").isNull()).alias("above"))
+    return not nodes.where("low IS NOT NULL AND (low < high OR above)").agg(F.count("*")).first()[0]
+
+
 def components(spark: SparkSession, edges: DataFrame, limit: int = 50) -> DataFrame:
     """(node, component) for every node of the edges (a > b); nodes alone in theirs aren't listed.
 
-    Each round is a large-star and a small-star step; rounds grow as the logarithm of the longest path.
+    Each round is a large-star and a small-star step; rounds grow as the logarithm of the longest path. They end when all
+    edges are stars, whose centres are their smallest nodes. What a round leaves with the driver goes before the next.
     """
-    def state(frame: DataFrame):
-        return tuple(frame.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    now = stored(spark, edges, "links")
-    was = state(now)
-    if not was[0]:
-        return now.toDF("node", "component")
+    now = stored(spark, edges.toDF("a", "b").distinct(), "links")
     for _ in range(limit):
+        if settled(now):
+            return now.toDF("node", "component")
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(spark, small.union(least.select("u", "m")).distinct().toDF("a", "b"), "links")
-        seen = state(after)
-        now = after
-        if seen == was:
-            return now.toDF("node", "component")
-        was = seen
+        now = stored(spark, small.union(least.select("u", "m")).distinct().toDF("a", "b"), "links")
+        release(spark)
     raise RuntimeError(f"components did not settle in {limit} rounds")
 
 

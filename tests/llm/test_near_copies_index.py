@@ -81,3 +81,15 @@ def test_large_shards_are_dealt(spark):
     rows = [(i + 1, edited(base, rng.randrange(6), rng)) for i in range(150)]
     found = N.groups(spark, spark.createDataFrame(rows, "doc_id long, text string"), shard_rows=24).collect()
     assert {r.doc_id: r.component_id for r in found} == slow_groups(rows)
+
+
+def test_joins_see_each_pair_of_a_document_and_a_first_once(spark, monkeypatch):
+    """A large group of near copies shares many buckets with the same first documents."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = [(i + 1, edited(base, rng.randrange(4), rng)) for i in range(60)]
+    seen = []
+    monkeypatch.setattr(N, "apart", lambda pairs, *a, f=N.apart: (seen.extend(map(tuple, pairs.collect())), f(pairs, *a))[1])
+    found = N.groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == slow_groups(rows)
+    assert seen and len(seen) == len(set(seen)) and all(a > b for a, b in seen)

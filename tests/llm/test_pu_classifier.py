@@ -86,3 +86,19 @@ def test_the_fit_has_the_least_risk():
     for _ in range(200):
         step = rng.normal(0, 0.1, 5)
         assert slow_risk(model.weights + step[:4], model.bias + step[4], to(p), to(u), 0.4, 1e-3) > best - 1e-3
+
+
+def test_the_driver_gets_the_model_only(spark, sf, monkeypatch):
+    """Vectors are made and fitted in a task, to the model that their sample gives."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = sorted(P.sample(docs, labels, 300, 400).collect(), key=lambda r: r.place)
+    x, place = ({p: np.array([of(r) for r in rows if r.positive == p]) for p in (True, False)} for of in (lambda r: P.features(r.text), lambda r: r.place))
+    want = P.fit(x[True], x[False], P.estimated_prior(x[True], x[False], place[True], place[False]))
+
+    def never(*_a, **_k):
+        raise AssertionError("on the driver")
+
+    for name in ("fit", "features", "estimated_prior"):
+        monkeypatch.setattr(P, name, never)
+    got = P.train(spark, docs, labels, 300, 400)
+    assert np.allclose(got.weights, want.weights) and np.isclose(got.bias, want.bias) and np.array_equal(got.mean, want.mean) and np.array_equal(got.scale, want.scale)

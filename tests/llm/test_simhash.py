@@ -86,3 +86,22 @@ def test_odd_rows(spark, odd, empty):
 def test_whole_last_word_and_long_link(spark):
     docs = spark.createDataFrame([(5, "One two"), (9, "one TWO"), (7, "other")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in check(spark, docs)} == {5: 5, 9: 5, 7: 7}
+
+
+def test_components_run_no_round_more_than_needed(spark, monkeypatch):
+    """Stars are taken as they are, and each round's leavings are released before the next."""
+    wrote, freed = [], []
+    monkeypatch.setattr(S, "stored", lambda *a, f=S.stored: (wrote.append(1), f(*a))[1])
+    monkeypatch.setattr(S, "release", lambda *a, f=S.release: (freed.append(1), f(*a))[1])
+    path = [(i + 1, i) for i in range(40)]
+    cases = [([], 0), ([(2, 1), (3, 1), (3, 1), (9, 4)], 0), ([(2, 1), (3, 2)], 1), ([(3, 1), (3, 2)], 1), (path, None), ([(max(x), min(x)) for x in ((i * 17 % 41, (i + 1) * 17 % 41) for i in range(40))], None)]
+    for edges, rounds in cases:
+        wrote.clear(), freed.clear()
+        got = sorted(map(tuple, S.components(spark, spark.createDataFrame(edges, "a long, b long")).collect()))
+        label = {x: x for e in edges for x in e}
+        for _ in label:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        assert got == sorted((x, c) for x, c in label.items() if x != c)
+        assert len(freed) == len(wrote) - 1
+        assert rounds is None or len(wrote) - 1 == rounds
