@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, mixing, pii, pu_classifier, quality_rules, simhash, substring_dedup, token_counts, warc
+from . import decontaminate, html_extract, mixing, pii, pu_classifier, quality_rules, secret_scan, simhash, spelling, substring_dedup, token_counts, warc
 from .common import documents
 
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -58,6 +58,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_surrogates(spark, documents(spark, sf_dir, "doc_id", "text"), pii.session_key(spark), counted=True)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spark, documents(spark, sf_dir, "doc_id", "text"), noise=199)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(spark, documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -69,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_secret_scan": op12_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
