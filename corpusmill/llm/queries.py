@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, mixing, pii, pu_classifier, quality_rules, secret_scan, simhash, spelling, substring_dedup, token_counts, warc
+from . import decontaminate, hard_negatives, html_extract, mixing, pii, pu_classifier, quality_rules, secret_scan, simhash, spelling, substring_dedup, token_counts, warc
 from .common import documents
 
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -66,6 +66,14 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(spark, documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(finite).select(F.col("vec_id").alias("id"), label.alias("label"), vector.alias("vector"))
+    return hard_negatives.mine(spark, rows, rows.where("id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -79,9 +87,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_secret_scan": op12_secret_scan,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
+#: crc32 of UTF-8 text as SQL: its 256-entry table from the polynomial, then one step for each byte.
+CRC_STEP = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+CRC_TABLE = f"SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: {CRC_STEP}, i) AS c FROM (SELECT unnest(range(256)) AS i))"
+
 ORACLES: dict[str, str] = {
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS x FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM each, crc),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+          FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+cut AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS m FROM near GROUP BY word),
+form AS (SELECT word, min(other) AS form, other_n FROM near JOIN best USING (word) WHERE other_n = m GROUP BY word, other_n),
+named AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 5 * w.n THEN form END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+          FROM words w LEFT JOIN best USING (word) LEFT JOIN form USING (word)),
+up AS (SELECT word, word AS root FROM words UNION ALL SELECT u.word, f.form FROM up u JOIN named f ON u.root = f.word WHERE f.form IS NOT NULL)
+SELECT n.word, n.form, u.root, n.n, n.n_near, n.form_n FROM named n JOIN up u USING (word) JOIN named last ON u.root = last.word AND last.form IS NULL
+""",
+    "op13_hard_negatives": """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), FALSE))) = len(embedding)),
+s AS (SELECT a.id AS anchor_id, a.label AS own, b.id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT * FROM s WHERE own = label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER w)::INTEGER AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND n.label <> p.own AND 100 * n.score BETWEEN 80 * p.score AND 100 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 5
+""",
     "op9_mixing": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len({WORDS_SQL.format('text')}), 0)::BIGINT AS size,
                   md5('mix|' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
