@@ -9,15 +9,18 @@ p is about 0.15 at 0.8 (up to 0.19 for a few shingles, so sets of up to SMALL sh
 pair at 0.8 meets in no shard with probability below 4e-6, less above it. Equal sets collapse before; a set of
 fewer than four shingles has no other partner.
 
-What a BK-tree joins in a shard is a bucket. Shards above SHARD_ROWS (judged by a sample of one document in SAMPLE, which decides
-only on the split) are dealt into blocks of which each two meet in one group. The index is built for a few words at a
-time, so that shuffle files stay small.
-
-Each document is compared, exactly, with the smallest document of its buckets, then with the smallest of each bucket that holds
-it and is not joined to it yet; that joins nearly all of a group of near copies in about as many comparisons as it has
-documents. Buckets of more than two in which more than one component is left are compared in full: the documents of such
-buckets, linked through them, are clusters, dealt into blocks of about BLOCK by a hash, and each two blocks meet in
-one group, so a large cluster is many tasks. A group counts common shingles by products of incidence matrices, links only
+A pair within the radius counts only if a second word of both, the other of a pair of words, differs in at most PROOF of its 64 bits. That keeps 99.8 %
+of pairs at 0.8 (97 % of small sets, and other words are other tries) and one random pair in 2,700, so that what
+a shard joins are near documents even where it holds many thousands of unrelated ones. What pairs that count join in a shard is a bucket.
+Shards above SHARD_ROWS (judged by a sample of one document in SAMPLE, which decides only on the split) are dealt into blocks of which
+each two meet in one group. The index is built for a few words at a time, so that shuffle files stay small.
+
+The first few words give first components: each document is compared, exactly, with the smallest document of its largest bucket, then
+with the smallest of each other bucket that holds it and is not joined to it yet; that joins most of a group of near copies. Components that
+buckets still join are clusters. In the shards of all other words documents of one cluster count as joined, and a bucket yields
+one pair for each further cluster in it, never one for each document, so edges grow with the documents and not with
+their buckets; such pairs make clusters of clusters. All clusters are compared in full, dealt into blocks of about BLOCK documents by a hash, and each
+two blocks meet in one group, so a large cluster is many tasks. A group counts common shingles by products of incidence matrices, links only
 pairs whose exact similarity reaches the threshold, and returns a spanning forest of its links. Components of
 all links share the smallest doc_id.
 
@@ -38,12 +41,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_RE, discard, release, stored
-from .simhash import _LOWER, SEED, SHARD_ROWS, TREE_ROWS, _roots, components, spanning
+from .simhash import _LOWER, SEED, SHARD_ROWS, TREE_ROWS, BKForest, _roots, components
 
-SHINGLE, RADIUS, BLOCK = 5, 10, 512
+SHINGLE, RADIUS, PROOF, BLOCK = 5, 10, 18, 512
 WORDS, SMALL, SMALL_WORDS = 52, 36, 128
-#: Words of the index that are built in one go, and the share of documents that large shards are judged by.
-PIECES, SAMPLE = [*range(0, WORDS, 13), WORDS, SMALL_WORDS], 16
+#: Words of the first components, words of the index that are built in one go after them, and the share of documents that large shards are judged by.
+FIRST, PIECES, SAMPLE = 4, [4, 16, 28, 40, WORDS, SMALL_WORDS], 16
 #: The threshold as a fraction, so that comparisons are exact.
 LEAST, OF = 4, 5
 _SALT = np.random.default_rng(SEED).integers(0, 1 << 63, SMALL_WORDS, dtype=np.uint64)
@@ -152,76 +155,132 @@ def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges()
 
 
-def bucket_rows(shard: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """rep, band, first, n of rows sorted by (shard, fp): what a shard's BK-tree joins is a bucket with n rows, the smallest of them first."""
+def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unite the trees of each a and b, under the smaller root."""
+    while True:
+        ra, rb = _roots(parent, a), _roots(parent, b)
+        apart = ra != rb
+        if not apart.any():
+            return
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+
+
+def _differ(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x[i] ^ x[j])
+
+
+def _starred(parent: np.ndarray, shard: np.ndarray, fp: np.ndarray, proof: np.ndarray, free: np.ndarray, rounds: int = 16, few: int = 64) -> None:
+    """Join, in shards with many free rows, all that count as near to one of them, a few times over."""
+    for _ in range(rounds):
+        _, first, which, n = np.unique(shard[free], return_index=True, return_inverse=True, return_counts=True)
+        many = n[which] >= few
+        if not many.any():
+            return
+        lead = free[(first + n // 2)[which]]
+        near = many & (_differ(fp, free, lead) <= RADIUS) & (_differ(proof, free, lead) <= PROOF)
+        _join(parent, free[near], lead[near])
+        free = free[many & ~near]
+
+
+def bucket_pairs(shard: np.ndarray, fp: np.ndarray, rep: np.ndarray, label: np.ndarray, proof: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, n for rows sorted by (shard, fp): b is the smallest row of a bucket with n labels, a the smallest of each other label in it."""
     same = shard[1:] == shard[:-1]
     several = np.append(False, same) | np.append(same, False)
-    shard, rep, fp = shard[several], rep[several], fp[several]
+    shard, fp, rep, label, proof = (x[several] for x in (shard, fp, rep, label, proof))
     if not len(rep):
-        return rep, rep, rep, rep
-    new = np.append(True, (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1]))  # equal fingerprints are one node
-    node = np.cumsum(new) - 1
-    label = np.arange(node[-1] + 1)
-    child, root = spanning(shard[new], fp[new].view(np.uint64), RADIUS, star=True)
-    label[child] = root
-    label = label[node]
-    n = np.bincount(label)[label]
-    first = np.full(node[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, label, rep)
-    first = first[label]
-    band = mixed(mixed(shard.view(np.uint64)) ^ first.view(np.uint64)).view(np.int64)
-    return tuple(x[n > 1] for x in (rep, band, first, n))
-
-
-def _shard_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return rep, rep, rep
+    fp, proof, rows = fp.view(np.uint64), proof.view(np.uint64), np.arange(len(rep))
+    parent = rows.copy()
+    new = np.append(True, (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1]))
+    lead = rows[new][np.cumsum(new) - 1]
+    equal = _differ(proof, rows, lead) <= PROOF  # equal fingerprints that count are one node of the tree
+    _join(parent, rows[equal], lead[equal])
+    order = np.lexsort((label, shard))
+    again = (shard[order][1:] == shard[order][:-1]) & (label[order][1:] == label[order][:-1])
+    _join(parent, order[1:][again], order[:-1][again])
+    nodes = rows[new | ~equal]
+    _starred(parent, shard, fp, proof, nodes)
+    forest = BKForest(shard[nodes], fp[nodes])
+    for x, y in forest.links(RADIUS, _roots(parent, nodes)):
+        x, y = nodes[x], nodes[y]
+        near = _differ(proof, x, y) <= PROOF
+        _join(parent, x[near], y[near])
+    bucket = _roots(parent, rows)
+    order = np.lexsort((rep, label, bucket))
+    bucket, label, rep = bucket[order], label[order], rep[order]
+    least = np.append(True, (bucket[1:] != bucket[:-1]) | (label[1:] != label[:-1]))  # the smallest row of each label in a bucket
+    bucket, rep = bucket[least], rep[least]
+    order = np.lexsort((rep, bucket))
+    bucket, rep = bucket[order], rep[order]
+    start = np.append(True, bucket[1:] != bucket[:-1])
+    which = np.cumsum(start) - 1
+    first, n = rep[start][which], np.bincount(which)[which]
+    return rep[~start], first[~start], n[~start]
+
+
+def _shard_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by shard and fingerprint; whole shards are searched together, about TREE_ROWS rows at a time."""
 
-    def found(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        out = bucket_rows(*columns)
+    def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        out = bucket_pairs(*columns)
         for i in range(0, len(out[0]), 65_536):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65_536]) for x in out], ["rep", "band", "first", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65_536]) for x in out], ["a", "b", "n"])
 
     held, rows = [], 0
     for batch in batches:
-        held.append([batch.column(c).to_numpy() for c in ("shard", "rep", "fp")])
+        held.append([batch.column(c).to_numpy() for c in ("shard", "fp", "rep", "label", "proof")])
         rows += batch.num_rows
         if rows >= TREE_ROWS:
-            shard, rep, fp = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.searchsorted(shard, shard[-1], "left"))  # the last shard may go on
+            columns = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))  # the last shard may go on
             if cut:
-                yield from found(shard[:cut], rep[:cut], fp[:cut])
-            held, rows = [[shard[cut:], rep[cut:], fp[cut:]]], len(shard) - cut
+                yield from found([x[:cut] for x in columns])
+            held, rows = [[x[cut:] for x in columns]], len(columns[0]) - cut
     if rows:
-        yield from found(*(np.concatenate(x) for x in zip(*held)))
+        yield from found([np.concatenate(x) for x in zip(*held)])
 
 
 def shards(reps: DataFrame, low: int, high: int) -> DataFrame:
-    """(shard, rep, fp): each of the words from low to high by the value of each of its four blocks."""
-    words = reps.select("rep", F.posexplode(F.slice("words", low + 1, high - low)).alias("word", "fp"))
+    """(shard, fp, rep, label, proof): each of the words from low to high by the value of each of its four blocks. proof: the other word of its pair."""
+    words = reps.select("rep", "label", "words", F.posexplode(F.slice("words", low + 1, high - low)).alias("word", "fp"))
+    words = words.select("rep", "label", (F.col("word") + low).alias("word"), "fp", F.get("words", (F.col("word") + low).bitwiseXOR(F.lit(1))).alias("proof"))
     blocks = words.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
-    value = "shiftleft(cast((word + %d) * 4 + k AS long), 16) | (shiftrightunsigned(fp, 16 * k) & 65535L)"
-    return blocks.select(F.expr(value % low).alias("shard"), "rep", "fp")
+    value = "shiftleft(cast(word * 4 + k AS long), 16) | (shiftrightunsigned(fp, 16 * k) & 65535L)"
+    return blocks.select(F.expr(value).alias("shard"), "fp", "rep", "label", "proof")
 
 
-def bucketed(spark: SparkSession, reps: DataFrame, shard_rows: int = SHARD_ROWS) -> list[DataFrame]:
-    """(rep, band, first, n) of every bucket of the index, in stored pieces."""
+def large_shards(spark: SparkSession, reps: DataFrame, shard_rows: int) -> DataFrame | None:
+    """shard, blocks of the shards above shard_rows, by a sample of the documents; none if there are none."""
     some = shards(reps.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLE)) == 0), 0, SMALL_WORDS)
     large = some.groupBy("shard").agg(F.ceil(F.count("*") * SAMPLE / shard_rows).cast("long").alias("blocks")).where("blocks > 1")
     large = stored(spark, large, "large-shards")
-    split = not large.isEmpty()
-    parts, out = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), []
-    for low, high in zip(PIECES, PIECES[1:]):
-        rows = shards(reps, low, high)
-        if split:
-            own = rows.join(large, "shard", "left").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
-            own = own.withColumn("other", F.explode(F.expr("CASE WHEN blocks IS NULL THEN array(-1L) ELSE filter(sequence(0L, blocks - 1), x -> x <> own) END")))
-            shard = F.when(F.col("other") < 0, F.col("shard")).otherwise(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")))
-            rows = own.select(shard.alias("shard"), "rep", "fp")
-        dealt = rows.repartition(parts, "shard").sortWithinPartitions("shard", "fp")
-        out.append(stored(spark, dealt.mapInArrow(_shard_buckets, "rep long, band long, first long, n long"), "buckets"))
-        release(spark)
-    discard(spark, large)
-    return out
+    return None if large.isEmpty() else large
+
+
+def bucketed(spark: SparkSession, reps: DataFrame, low: int, high: int, large: DataFrame | None) -> DataFrame:
+    """(a, b, n) of every bucket of the index for the words from low to high; reps: rep, label, words."""
+    rows = shards(reps, low, high)
+    if large is not None:
+        own = rows.join(large, "shard", "left").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+        own = own.withColumn("other", F.explode(F.expr("CASE WHEN blocks IS NULL THEN array(-1L) ELSE filter(sequence(0L, blocks - 1), x -> x <> own) END")))
+        shard = F.when(F.col("other") < 0, F.col("shard")).otherwise(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")))
+        rows = own.select(shard.alias("shard"), "fp", "rep", "label", "proof")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = rows.repartition(parts, "shard").sortWithinPartitions("shard", "fp")
+    found = stored(spark, dealt.mapInArrow(_shard_pairs, "a long, b long, n long"), "buckets")
+    release(spark)
+    return found
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """The documents of pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
+def shingle_sets(spark: SparkSession, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, shingles of the wanted documents."""
+    return stored(spark, texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "shingle-sets")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -232,16 +291,34 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(OF * common >= LEAST * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def clusters(spark: SparkSession, members: DataFrame, joined: DataFrame) -> DataFrame:
-    """(node, component) over the buckets that still hold several components of joined (node, component)."""
-    own = members.join(joined, members["rep"] == joined["node"], "left").select("rep", "band", F.coalesce("component", "rep").alias("component"))
-    own = stored(spark, own, "band-components")
-    open_ = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("first")).where("low < high").select("band", "first")
-    open_ = stored(spark, open_, "open-bands")
-    edges = own.join(open_, "band").where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+def labelled(rows: DataFrame, joined: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the component that joined (node, component) gives a column, that itself where it has none."""
+    of = joined.select(F.col("node").alias(column), F.col("component").alias("_component"))
+    return rows.join(of, column, "left").withColumn(name, F.coalesce("_component", column)).drop("_component")
+
+
+def clusters(spark: SparkSession, pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, component) of the documents whose component in joined is one of several that pairs (a, b) join to a cluster; component is the cluster."""
+    ends = labelled(labelled(pairs, joined, "a", "x"), joined, "b", "y").where("x <> y")
+    edges = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     found = components(spark, edges)
-    discard(spark, own, open_)
-    return found.union(found.select("component", "component")).distinct()
+    found = found.union(found.select("component", "component")).distinct().toDF("of", "component")
+    nodes = joined.union(joined.select("component", "component")).distinct().toDF("node", "of")
+    single = found.select(F.col("of").alias("node"), "component")  # components of one document aren't in joined
+    return nodes.join(found, "of").select("node", "component").union(single).distinct()
+
+
+def widened(spark: SparkSession, known: DataFrame, first: DataFrame, later: DataFrame) -> DataFrame:
+    """(node, component) of the documents of all clusters: the first ones (node, component), and those that later pairs (a, b) join out of labels.
+
+    known: rep, label; a label is a first cluster, a component or a document.
+    """
+    named = lambda x, y: known.select(F.col("rep").alias(x), F.col("label").alias(y))
+    ends = later.join(named("a", "x"), "a").join(named("b", "y"), "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    found = components(spark, ends.where("a > b").distinct())
+    found = found.union(found.select("component", "component")).distinct().toDF("label", "component")
+    alone = first.select(F.col("component").alias("label")).distinct().join(found, "label", "left_anti").select("label", F.col("label").alias("component"))
+    return known.join(found.union(alone), "label").select(F.col("rep").alias("node"), "component")
 
 
 def links(spark: SparkSession, sets: DataFrame, found: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -258,8 +335,7 @@ def links(spark: SparkSession, sets: DataFrame, found: DataFrame, block: int = B
 def apart(pairs: DataFrame, tried: DataFrame, joined: DataFrame) -> DataFrame:
     """The pairs (a, b) in two components of joined (node, component), but for those tried."""
     pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    of = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in"))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b")
+    return labelled(labelled(pairs, joined, "a", "x"), joined, "b", "y").where("x <> y").select("a", "b")
 
 
 def groups(spark: SparkSession, docs: DataFrame, block: int = BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -268,27 +344,33 @@ def groups(spark: SparkSession, docs: DataFrame, block: int = BLOCK, shard_rows:
     marked = stored(spark, texts.mapInArrow(_sketches, "doc_id long, same binary, words array<long>"), "sketches")
     firsts = stored(spark, marked.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sketch-firsts")
     copies = stored(spark, marked.select("same", "doc_id").join(firsts.where("n > 1"), "same").where("doc_id > rep").select("doc_id", "rep").distinct(), "sketch-copies")
-    reps = marked.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "words")
+    reps = marked.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("label"), "words")
     reps = stored(spark, reps, "sketch-reps")
-    pieces = bucketed(spark, reps, shard_rows)
-    members = reduce(DataFrame.union, pieces)
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(spark, texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "shingle-sets")
-    release(spark)
+    large = large_shards(spark, reps, shard_rows)
+    pieces = [bucketed(spark, reps, 0, FIRST, large)]
     # a document meets the same first in many buckets: stored, so that joins see each pair once
-    pairs = stored(spark, members.where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "bucket-pairs")
-    star = stored(spark, pairs.groupBy("a").agg(F.min("b").alias("b")), "star-pairs")
-    near = stored(spark, compared(star, sets), "star-links")
-    joined = components(spark, near)
-    again = stored(spark, compared(apart(pairs, star, joined), sets), "star-links")
-    release(spark)
+    pairs = stored(spark, pieces[0].groupBy("a", "b").agg(F.max("n").alias("n")), "bucket-pairs")
+    sets = shingle_sets(spark, texts, ends(pairs))
+    star = stored(spark, pairs.groupBy("a").agg((-F.max(F.struct("n", (-F.col("b")).alias("least")))["least"]).alias("b")), "star-pairs")
+    joined = components(spark, compared(star, sets))
+    again = stored(spark, compared(apart(pairs.select("a", "b"), star, joined), sets), "star-links")
     joined = components(spark, joined.union(again))  # stars instead of the links they came from: fewer rounds
-    rest = clusters(spark, members.where("n > 2"), joined)
-    more = stored(spark, links(spark, sets, rest, block), "cluster-links")
-    discard(spark, reps, *pieces, pairs, star, sets)
+    release(spark)
+    # the other words, where documents of one cluster count as joined
+    first = clusters(spark, pairs.select("a", "b"), joined)
+    placed = joined.join(first, "node", "left_anti").union(first)
+    known = stored(spark, labelled(reps.drop("label"), placed, "rep", "label").select("rep", "label", "words"), "sketch-labels")
+    pieces += [bucketed(spark, known, low, high, large) for low, high in zip(PIECES, PIECES[1:])]
+    later = stored(spark, reduce(DataFrame.union, pieces[1:]).select("a", "b").distinct(), "bucket-pairs")
+    discard(spark, reps, *pieces)
+    other = shingle_sets(spark, texts, ends(later).join(ends(pairs), "doc_id", "left_anti"))
+    every = sets.union(other)
+    rest = widened(spark, known, first, later)
+    more = stored(spark, links(spark, every, rest, block), "cluster-links")
+    discard(spark, known, pairs, later, star, again, sets, other)
     release(spark)
     found = components(spark, joined.union(more))
     own = marked.select("doc_id").join(copies, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     out = stored(spark, own.join(found, own["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")), "near-groups")
-    discard(spark, marked, firsts, copies, near, again, more)
+    discard(spark, marked, firsts, copies, more)
     return out

@@ -141,29 +141,11 @@ def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
         x = up
 
 
-def _starred(forest: BKForest, radius: int, rounds: int = 16, few: int = 64) -> np.ndarray:
-    """Labels that join, in shards with many rows left, all rows within the radius of one of them, a few times over."""
-    label, free = np.arange(len(forest.fps)), np.arange(len(forest.fps))
-    for _ in range(rounds):
-        _, first, which, n = np.unique(forest.shard[free], return_index=True, return_inverse=True, return_counts=True)
-        many = n[which] >= few
-        if not many.any():
-            break
-        lead = free[(first + n // 2)[which]]
-        near = many & (np.bitwise_count(forest.fps[free] ^ forest.fps[lead]) <= radius)
-        label[free[near]] = lead[near]
-        free = free[many & ~near]
-    return label
-
-
-def spanning(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS, star: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row, root) that join exactly what links within each shard join.
-
-    star: join many rows of a shard first, where much of it lies within the radius of one row.
-    """
+def spanning(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, root) that join exactly what links within each shard join."""
     forest = BKForest(shard, fps)
-    parent = _starred(forest, radius) if star else np.arange(len(fps))
-    for a, b in forest.links(radius, parent.copy() if star else None):
+    parent = np.arange(len(fps))
+    for a, b in forest.links(radius):
         while True:
             ra, rb = _roots(parent, a), _roots(parent, b)
             apart = ra != rb
