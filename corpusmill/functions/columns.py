@@ -319,20 +319,6 @@ def rouge_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit(r"([a-z0-9_]+)"), F.lit(1))
 
 
-def rouge_l(a: Column, b: Column) -> Column:
-    """F1 of the longest common subsequence of two token arrays (0 if either is empty), a fold in the JVM."""
-    row0 = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
-    row = F.aggregate(
-        a, row0,
-        lambda prev, x: F.aggregate(
-            F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)),
-            lambda acc, j: F.concat(acc, F.array(F.when(F.get(b, j - 1) == x, F.get(prev, j - 1) + 1).otherwise(F.greatest(F.get(prev, j), F.get(acc, j - 1))))),
-        ),
-    )
-    common = F.get(row, F.size(b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0) | (common == 0), F.lit(0.0)).otherwise(2.0 * common / (F.size(a) + F.size(b)))
-
-
 def mod_of_md5(text: Column | str, n: int) -> Column:
     """MD5 as a 128-bit number modulo n, from its four 32-bit parts."""
     out = F.lit(0).cast("long")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions import facts as facts_
-from corpusmill.functions import pysource, sandbox
+from corpusmill.functions import pysource, sandbox, sequences
 
 
 def _generated(rows: DataFrame, columns: list[str], keep: list[str], make: Callable[..., list[tuple]], schema: str) -> DataFrame:
@@ -130,7 +130,8 @@ verdict = _scalar(pysource.verdict, "string")
 code_exact = _scalar(pysource.code_exact, "boolean")
 code_normal = _scalar(pysource.code_normal, "string")
 content_tokens = _scalar(pysource.content_tokens, "array<string>")
-similarity = _scalar(pysource.similarity, "double")
+similarity = _scalar(sequences.ratio, "double")
+rouge_l = _scalar(sequences.rouge_l, "double")
 aligned_f1 = _scalar(pysource.aligned_f1, "double")
 function_facts = _scalar(pysource.function_facts, "struct<name:string,params:array<string>,calls:array<string>,strings:array<string>>")
 parses = _scalar(pysource.parses, "boolean")

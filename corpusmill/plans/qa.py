@@ -85,14 +85,16 @@ def phrase_clusters(spark, sf):
     return O.phrase_clusters(rows, 5)
 
 
-@query("rouge_l_pairs", f"""WITH RECURSIVE {PAIRS}, t AS (SELECT conv_id, turn, list_slice(regexp_extract_all(lower(question), '([a-z0-9_]+)', 1), 1, 12) AS a, list_slice(regexp_extract_all(lower(answer), '([a-z0-9_]+)', 1), 1, 12) AS b FROM pairs),
+@query("rouge_l_pairs", f"""WITH RECURSIVE {PAIRS}, t AS (SELECT conv_id, turn, regexp_extract_all(lower(question), '([a-z0-9_]+)', 1) AS a, regexp_extract_all(lower(answer), '([a-z0-9_]+)', 1) AS b FROM pairs),
 f AS (SELECT conv_id, turn, a, b, 0 AS i, list_transform(generate_series(0, len(b)), lambda x: 0) AS row FROM t
  UNION ALL SELECT conv_id, turn, a, b, i + 1, list_reduce(list_transform(generate_series(1, len(b)), lambda j: [CASE WHEN b[j] = a[i + 1] THEN row[j] + 1 ELSE row[j + 1] END, (b[j] = a[i + 1])::INT]),
   lambda acc, x: list_append(acc, CASE WHEN x[2] = 1 THEN x[1] ELSE greatest(x[1], acc[-1]) END), [0]) FROM f WHERE i < len(a) AND len(b) > 0)
 SELECT conv_id, turn, CASE WHEN len(a) = 0 OR len(b) = 0 OR row[-1] = 0 THEN 0.0 ELSE 2.0 * row[-1] / (len(a) + len(b)) END AS f1 FROM f WHERE i = len(a) OR len(b) = 0""")
 def rouge_l_pairs(spark, sf):
-    rows = pairs(spark, sf).select("conv_id", "turn", F.slice(C.rouge_tokens("question"), 1, 12).alias("a"), F.slice(C.rouge_tokens("answer"), 1, 12).alias("b"))
-    return rows.select("conv_id", "turn", C.rouge_l(F.col("a"), F.col("b")).alias("f1"))
+    """Longest common subsequence of whole questions and answers."""
+    from corpusmill.operators import source as S
+
+    return pairs(spark, sf).select("conv_id", "turn", S.rouge_l(C.rouge_tokens("question"), C.rouge_tokens("answer")).alias("f1"))
 
 
 @query("mock_judge", "SELECT conv_id, turn, (('0x' || substr(h, 1, 8))::BIGINT * 79228162514264337593543950336 % 100 + ('0x' || substr(h, 9, 8))::BIGINT * 18446744073709551616 % 100 + ('0x' || substr(h, 17, 8))::BIGINT * 4294967296 % 100 + ('0x' || substr(h, 25, 8))::BIGINT % 100) % 100 < 95 AS ok FROM (SELECT conv_id, turn, md5('judge|' || conv_id || '-' || turn) AS h FROM conversations)".replace("* 79228162514264337593543950336 % 100", "% 100 * 36 % 100").replace("* 18446744073709551616 % 100", "% 100 * 16 % 100").replace("* 4294967296 % 100", "% 100 * 96 % 100"))
@@ -373,7 +375,11 @@ def side_by_side(spark, sf):
 
 @query("sequence_similarity")
 def sequence_similarity(spark, sf):
+    """Whole texts against edited ones: words replaced, halves in the other order, letters in lower case, a letter more at the end."""
     from corpusmill.operators import source as S
 
-    short = lambda c: F.left(c, F.lit(120))
-    return receipts(spark, sf).select("doc_id", S.similarity(short("reference"), short("gen")).alias("sim"))
+    text, k = F.col("text"), F.col("doc_id") % 4
+    half = F.floor(F.length(text) / 2).cast("int")
+    turned = F.concat(F.substring(text, half + 1, F.length(text)), F.substring(text, F.lit(1), half))
+    edited = F.when(k == 0, F.regexp_replace(text, r"( |\n)t[a-z]+", "$1that")).when(k == 1, turned).when(k == 2, F.lower(text)).otherwise(F.concat(text, F.lit("x")))
+    return table(spark, sf, "documents").select("doc_id", S.similarity(text, edited).alias("sim"))
