@@ -99,48 +99,6 @@ def cap_cascade(rows: DataFrame, caps: list[tuple[str, int, str]], order: list[s
     return out
 
 
-def greedy_draw(rows: DataFrame, targets: dict[int, int], repo_cap: int, family_cap: int, stub_share: float, val_targets: dict[int, int] | None = None) -> DataFrame:
-    """The exact sequential draw: validation from reserved repos, then train, counters advancing only on acceptance.
-
-    rows: ord, repo, fam, boilerplate, stub, band, reserved. Each accept depends on all before it, so the
-    fold runs over these slim columns in one ordered pass (one task: the operator is sequential by
-    definition; cap_cascade is the parallel form). Adds status.
-    """
-    val_targets = val_targets or {}
-    schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ") + ", status string"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repos: dict[str, int] = {}
-        families: dict[str, int] = {}
-        pairs: set[tuple[str, str]] = set()
-        got: dict[tuple[str, int], int] = {}
-        stubs = total = 0
-        for frame in batches:
-            labels = []
-            for r in frame.itertuples():
-                aim, name = (val_targets, "validation") if r.reserved else (targets, "train")
-                if got.get((name, r.band), 0) >= aim.get(r.band, 0):
-                    labels.append("reserved" if r.reserved else "not_drawn")
-                elif repos.get(r.repo, 0) >= repo_cap:
-                    labels.append("cap_repo")
-                elif r.boilerplate and (families.get(r.fam, 0) >= family_cap or (r.fam, r.repo) in pairs):
-                    labels.append("cap_family")
-                elif r.stub and stubs + 1 > stub_share * (total + 1):
-                    labels.append("cap_stub")
-                else:
-                    labels.append(name)
-                    repos[r.repo] = repos.get(r.repo, 0) + 1
-                    if r.boilerplate:
-                        families[r.fam] = families.get(r.fam, 0) + 1
-                        pairs.add((r.fam, r.repo))
-                    stubs += bool(r.stub)
-                    total += 1
-                    got[name, r.band] = got.get((name, r.band), 0) + 1
-            yield frame.assign(status=labels)
-
-    return rows.repartition(1).sortWithinPartitions("ord").mapInPandas(fold, schema)
-
-
 def reserve_repos(rows: DataFrame, needs: dict[int, int], seed: str = "val") -> DataFrame:
     """repo, place: the shortest prefix of a shuffled repo order whose supply meets every band's need.
 
@@ -336,55 +294,6 @@ def stacks(rows: DataFrame, size: int = 8) -> DataFrame:
     return rows.select("id", F.col("name")).mapInPandas(lambda b: fold(f.rename(columns={"name": "name"}) for f in b), "stack long, pos long, id long")
 
 
-def phrase_clusters(rows: DataFrame, cap: int = 25, floor: float = 0.85) -> DataFrame:
-    """At most cap questions of each phrasing cluster per intent, in md5(pair_id) order; rejected ones are remembered too.
-
-    rows: intent, pair_id, question (normalised). A question joins the cluster of an equal earlier one, else
-    that of the earlier one with most common tokens (at least half, 50 tried) whose ROUGE-L F1 exceeds the floor.
-    """
-    import re
-
-    def lcs(a: list[str], b: list[str]) -> int:
-        row = [0] * (len(b) + 1)
-        for x in a:
-            diagonal = 0
-            for j, y in enumerate(b, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-        return row[-1]
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(_k=frame["k"]).sort_values(["_k", "pair_id"]).drop(columns="_k")
-        exact: dict[str, int] = {}
-        tokens: list[list[str]] = []
-        cluster_of: list[int] = []
-        index: dict[str, list[int]] = {}
-        sizes: dict[int, int] = {}
-        clusters, keeps = [], []
-        for q in frame["question"]:
-            c = exact.get(q)
-            if c is None:
-                own = re.findall(r"[a-z0-9_]+", q.lower())
-                shared: dict[int, int] = {}
-                for t in set(own):
-                    for i in index.get(t, ()):
-                        shared[i] = shared.get(i, 0) + 1
-                best = [i for i, n in sorted(shared.items(), key=lambda x: (-x[1], x[0]))[:50] if 2 * n >= len(set(own))]
-                c = next((cluster_of[i] for i in best if 2.0 * lcs(own, tokens[i]) / max(1, len(own) + len(tokens[i])) > floor), len(sizes))
-                exact[q] = c
-                sizes.setdefault(c, 0)
-                for t in set(own):
-                    index.setdefault(t, []).append(len(tokens))
-                tokens.append(own)
-                cluster_of.append(c)
-            sizes[c] += 1
-            clusters.append(c)
-            keeps.append(sizes[c] <= cap)
-        return frame.assign(cluster=clusters, kept=keeps)
-
-    rows = rows.select("intent", "pair_id", "question", F.md5(F.col("pair_id").cast("string")).alias("k"))
-    return rows.groupBy("intent").applyInPandas(fold, "intent string, pair_id string, question string, k string, cluster long, kept boolean").drop("k")
-
-
 def containing(docs: DataFrame, patterns: DataFrame, id_: str = "doc_id", text: str = "text", block: int = 50_000) -> DataFrame:
     """Ids of texts that contain a pattern (one string column), each once.
 

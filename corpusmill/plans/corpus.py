@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as C
 from corpusmill.operators import corpus as O
+from corpusmill.operators import draw, similar
 from corpusmill.sources.storage import stored
 
 from .registry import ORACLES, query, table
@@ -344,19 +345,24 @@ def val_repo_reservation(spark, sf):
     return O.reserve_repos(slim(spark, sf).withColumnRenamed("source", "repo"), {0: 5, 1: 40, 2: 60})
 
 
+VAL_TARGETS, TARGETS = {1: 10, 2: 15}, {0: 200, 1: 400, 2: 400, 3: 50, 4: 50}
+
+
 def drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """What the draw reads; reserved: the repositories whose supply outside the first pile is twice the targets of validation."""
     known = families(spark, sf)
     fams, stats = known.select("doc_id", "fam"), O.family_stats(known, FAMILY_REPOS).select("fam", "boilerplate")
     rows = slim(spark, sf).where("band IS NOT NULL").withColumnRenamed("source", "repo").join(fams, "doc_id").join(stats, "fam")
-    reserved = O.reserve_repos(rows, {1: 20, 2: 30}).select("repo", F.lit(True).alias("reserved"))
+    reserved = O.reserve_repos(rows.where("pile <> 0"), {b: 2 * n for b, n in VAL_TARGETS.items()}).select("repo", F.lit(True).alias("reserved"))
     rows = rows.join(reserved, "repo", "left").fillna(False, ["reserved"])
-    return rows.select(F.col("doc_id").alias("ord"), "repo", "fam", "boilerplate", (F.col("ntok") < 40).alias("stub"), "band", "reserved")
+    return stored(spark, rows.select(F.col("doc_id").alias("id"), "repo", "fam", "boilerplate", (F.col("ntok") < 40).alias("stub"), "band", "reserved", "pile"), "draw-input")
 
 
 @query("draw_exact")
 def draw_exact(spark, sf):
-    """The sequential draw with interacting caps; held by invariants in tests."""
-    return O.greedy_draw(drawn(spark, sf), {0: 200, 1: 400, 2: 400, 3: 50, 4: 50}, 40, 20, 0.2, {1: 10, 2: 15}).select(F.col("ord").alias("doc_id"), "repo", "band", "status")
+    """The sequential draw with its phases and interacting caps."""
+    rows = draw.draw(spark, drawn(spark, sf), TARGETS, VAL_TARGETS, 40, 20, 0.2)
+    return rows.select(F.col("id").alias("doc_id"), "repo", "band", "phase", "status")
 
 
 @query("style_means", """SELECT lang, count(*) AS n, sum(quality)::BIGINT AS quality, sum(toxic)::BIGINT AS toxic, floor(10000.0 * sum(quality) / count(*) + 0.5) / 10000 AS quality_mean FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
@@ -552,31 +558,61 @@ def picker_filter(spark, sf):
     return table(spark, sf, "documents").where(F.contains(F.lower("text"), F.lit("license"))).select("doc_id").orderBy("doc_id").limit(40)
 
 
-@query("family_pairs", f"""WITH {BASE}, {FAMILY} SELECT a.fam AS fam, a.doc_id AS a, b.doc_id AS b FROM fam a JOIN fam b ON a.fam = b.fam AND a.doc_id < b.doc_id AND a.repo <> b.repo""")
+#: A class: rows of one family that agree on where they come from; its representative is the smallest of them.
+CLASSES = f"""{FAMILY}, c AS (SELECT fam, repo, doc_id % 7 AS name, min(doc_id) AS id, count(*) AS n FROM fam GROUP BY ALL)"""
+
+
+@query("family_pairs", f"""WITH {BASE}, {CLASSES} SELECT a.fam AS fam, least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, CASE WHEN a.id < b.id THEN a.n ELSE b.n END AS n_a, CASE WHEN a.id < b.id THEN b.n ELSE a.n END AS n_b
+FROM c a JOIN c b ON a.fam = b.fam AND a.id < b.id AND a.repo <> b.repo AND a.name <> b.name""")
 def family_pairs(spark, sf):
-    """Twin candidates: pairs are this operator's result; families are small or capped before."""
-    rows = families(spark, sf).withColumnRenamed("doc_id", "id").withColumn("name", F.concat(F.lit("n"), F.col("id")))
-    return O.same_family_pairs(rows)
+    """Twin candidates of one family, different repositories and different names (here: by doc_id modulo 7), as pairs of class representatives with the rows of each."""
+    rows = families(spark, sf).withColumn("name", F.concat(F.lit("n"), F.col("doc_id") % 7))
+    reps = rows.groupBy("fam", "repo", "name").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    pairs = O.same_family_pairs(reps)
+    counts = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
+    return pairs.join(counts("a"), "a").join(counts("b"), "b").select("fam", "a", "b", "n_a", "n_b")
+
+
+#: Documents with their token sets; those of a family and a repository that agree on the set and on how alike a partner must be are one class.
+SETS = f"""{FAMILY}, t AS (SELECT fam, repo, doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1))) AS toks, CASE WHEN ntok < 8 THEN 0.90 WHEN ntok < 20 THEN 0.75 ELSE 0.65 END AS floor FROM fam JOIN documents USING (doc_id)),
+c AS (SELECT fam, repo, toks, floor, min(doc_id) AS id, count(*) AS n FROM t GROUP BY ALL)"""
 
 
-@query("jaccard_pairs", f"""WITH {BASE}, {FAMILY}, t AS (SELECT f.*, list_distinct(regexp_extract_all(lower(d.text), '([a-z0-9_]+)', 1)) AS toks FROM fam f JOIN documents d USING (doc_id)),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN len(a.toks) = 0 OR len(b.toks) = 0 THEN 0.0 ELSE len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks))) END AS sim,
- CASE WHEN least(a.ntok, b.ntok) < 8 THEN 0.90 WHEN least(a.ntok, b.ntok) < 20 THEN 0.75 ELSE 0.65 END AS floor FROM t a JOIN t b ON a.fam = b.fam AND a.doc_id < b.doc_id AND a.repo <> b.repo)
-SELECT a, b, sim FROM p WHERE sim >= floor""")
+def token_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, fam, repo, elements, floor, class."""
+    texts = table(spark, sf, "documents").select("doc_id", F.array_sort(F.array_distinct(C.rouge_tokens("text"))).alias("elements"))
+    rows = families(spark, sf).join(texts, "doc_id").withColumn("floor", C.similarity_floor("ntok")).withColumnRenamed("doc_id", "id")
+    return stored(spark, similar.classes(rows, ["fam", "repo", "elements", "floor"]), "token-classes")
+
+
+def similar_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """fam, a, b, sim, n_a, n_b: pairs of classes by their representatives."""
+    rows = token_classes(spark, sf)
+    reps = rows.where("id = class").select(F.col("fam").alias("grp"), "id", F.col("repo").alias("side"), "elements", "floor")
+    counts = rows.groupBy("class").agg(F.count("*").alias("n"))
+    n = lambda x: counts.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"))
+    return similar.similar_sets(spark, reps).withColumnRenamed("grp", "fam").join(n("a"), "a").join(n("b"), "b")
+
+
+@query("jaccard_pairs", f"""WITH {BASE}, {SETS},
+p AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, CASE WHEN a.id < b.id THEN a.n ELSE b.n END AS n_a, CASE WHEN a.id < b.id THEN b.n ELSE a.n END AS n_b, greatest(a.floor, b.floor) AS floor,
+ CASE WHEN len(a.toks) = 0 OR len(b.toks) = 0 THEN 0.0 ELSE len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks))) END AS sim FROM c a JOIN c b ON a.fam = b.fam AND a.id < b.id AND a.repo <> b.repo)
+SELECT a, b, sim, n_a, n_b FROM p WHERE sim >= floor""")
 def jaccard_pairs(spark, sf):
-    texts = table(spark, sf, "documents").select(F.col("doc_id"), F.array_distinct(C.rouge_tokens("text")).alias("toks"))
-    rows = families(spark, sf).join(texts, "doc_id")
-    pairs = O.same_family_pairs(rows.withColumnRenamed("doc_id", "id").withColumn("name", F.concat(F.lit("n"), F.col("id"))))
-    side = lambda x: rows.select(F.col("doc_id").alias(x), F.col("toks").alias(f"t{x}"), F.col("ntok").alias(f"n{x}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("sim", C.jaccard(F.col("ta"), F.col("tb")))
-    return scored.where(F.col("sim") >= C.similarity_floor(F.least("na", "nb"))).select("a", "b", "sim")
+    """Similar documents of a family from different repositories, as pairs of class representatives with the rows of each; jaccard_classes has the members."""
+    return similar_classes(spark, sf).select("a", "b", "sim", "n_a", "n_b")
+
+
+@query("jaccard_classes", f"WITH {BASE}, {SETS} SELECT doc_id, c.id AS class FROM t JOIN c ON t.fam = c.fam AND t.repo IS NOT DISTINCT FROM c.repo AND t.toks = c.toks AND t.floor = c.floor")
+def jaccard_classes(spark, sf):
+    """The class of every document of jaccard_pairs."""
+    return token_classes(spark, sf).select(F.col("id").alias("doc_id"), "class")
 
 
 @query("twins_greedy")
 def twins_greedy(spark, sf):
-    """Best-first disjoint pairs per family."""
-    near = jaccard_pairs(spark, sf).join(families(spark, sf).select(F.col("doc_id").alias("a"), "fam"), "a")
-    return O.disjoint_pairs(near.select("fam", "a", "b", "sim"))
+    """Best-first disjoint pairs of representatives per family."""
+    return O.disjoint_pairs(similar_classes(spark, sf).select("fam", "a", "b", "sim"))
 
 
 @query("similarity_percentiles", f"WITH p AS ({ORACLES['jaccard_pairs']}) SELECT count(*) AS n, quantile_cont(sim, 0.1) AS p10, quantile_cont(sim, 0.5) AS p50, quantile_cont(sim, 0.9) AS p90 FROM p")

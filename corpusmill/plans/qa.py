@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import columns as C
 from corpusmill.operators import corpus as O
 from corpusmill.operators import evaluation as E
+from corpusmill.operators import similar
 
 from .registry import query, table
 
@@ -82,7 +83,7 @@ def exact_phrase_cap(spark, sf):
 def phrase_clusters(spark, sf):
     """The near-duplicate cap with its memory of rejected questions."""
     rows = table(spark, sf, "conversations").select(F.col("role").alias("intent"), F.concat_ws("-", "conv_id", "turn").alias("pair_id"), C.text_norm("text").alias("question"))
-    return O.phrase_clusters(rows, 5)
+    return similar.phrase_clusters(spark, rows, 5)
 
 
 @query("rouge_l_pairs", f"""WITH RECURSIVE {PAIRS}, t AS (SELECT conv_id, turn, regexp_extract_all(lower(question), '([a-z0-9_]+)', 1) AS a, regexp_extract_all(lower(answer), '([a-z0-9_]+)', 1) AS b FROM pairs),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import columns as C
 from corpusmill.operators import corpus as O
 from corpusmill.operators import evaluation as E
+from corpusmill.operators import similar
 
 
 def test_status_is_total_and_exclusive(spark):
@@ -32,41 +33,6 @@ def test_first_seen_counts_excluded_copies(spark):
     assert {r.id: r.dup for r in O.first_seen(rows, "h", ["pile", "id"]).collect()} == {5: False, 7: True, 1: True, 2: False}
 
 
-def draw(rows, targets, repo_cap, family_cap, stub_share, val):
-    """The sequential draw written down plainly."""
-    repos, fams, pairs, got, stubs, total, out = {}, {}, set(), {}, 0, 0, {}
-    for r in sorted(rows):
-        ord_, repo, fam, boiler, stub, band, reserved = r
-        aim, name = (val, "validation") if reserved else (targets, "train")
-        if got.get((name, band), 0) >= aim.get(band, 0):
-            out[ord_] = "reserved" if reserved else "not_drawn"
-        elif repos.get(repo, 0) >= repo_cap:
-            out[ord_] = "cap_repo"
-        elif boiler and (fams.get(fam, 0) >= family_cap or (fam, repo) in pairs):
-            out[ord_] = "cap_family"
-        elif stub and stubs + 1 > stub_share * (total + 1):
-            out[ord_] = "cap_stub"
-        else:
-            out[ord_], total, stubs = name, total + 1, stubs + stub
-            repos[repo] = repos.get(repo, 0) + 1
-            got[name, band] = got.get((name, band), 0) + 1
-            if boiler:
-                fams[fam] = fams.get(fam, 0) + 1
-                pairs.add((fam, repo))
-    return out
-
-
-def test_greedy_draw_holds_every_cap(spark):
-    rng = random.Random(4)
-    rows = [(i, f"r{rng.randrange(9)}", f"f{rng.randrange(12)}", rng.random() < 0.5, rng.random() < 0.3, rng.randrange(3), rng.random() < 0.2) for i in range(500)]
-    frame = spark.createDataFrame(rows, "ord long, repo string, fam string, boilerplate boolean, stub boolean, band int, reserved boolean")
-    args = ({0: 40, 1: 60, 2: 30}, 15, 4, 0.1, {0: 5, 1: 5, 2: 5})
-    got = {r.ord: r.status for r in O.greedy_draw(frame.repartition(7), *args).collect()}
-    assert got == draw(rows, *args)
-    kept = [r for r in rows if got[r[0]] in ("train", "validation")]
-    assert max(sum(k[1] == repo for k in kept) for repo in {k[1] for k in kept}) <= 15
-
-
 @given(st.dictionaries(st.text("abc", min_size=1, max_size=2), st.integers(0, 50), min_size=1, max_size=6), st.integers(0, 200))
 @settings(max_examples=80, deadline=None)
 def test_water_fill(supply, total):
@@ -95,7 +61,7 @@ def test_disjoint_pairs_and_stacks(spark):
 
 def test_phrase_clusters_remember_rejected(spark):
     rows = [("A", f"p{i}", "what does the function return when the list is empty") for i in range(6)] + [("A", "q", "what does the function return when the list is blank"), ("A", "z", "an entirely different question")]
-    out = {r.pair_id: (r.cluster, r.kept) for r in O.phrase_clusters(spark.createDataFrame(rows, "intent string, pair_id string, question string"), cap=3).collect()}
+    out = {r.pair_id: (r.cluster, r.kept) for r in similar.phrase_clusters(spark, spark.createDataFrame(rows, "intent string, pair_id string, question string"), cap=3).collect()}
     assert sum(k for p, (_, k) in out.items() if p != "z") == 3 and out["z"][1] and len({c for c, _ in out.values()}) == 2
 
 
