@@ -47,6 +47,8 @@ SHINGLE, RADIUS, PROOF, BLOCK = 5, 10, 18, 512
 WORDS, SMALL, SMALL_WORDS = 52, 36, 128
 #: Words of the first components, words of the index that are built in one go after them, and the share of documents that large shards are judged by.
 FIRST, PIECES, SAMPLE = 4, [4, 16, 28, 40, WORDS, SMALL_WORDS], 16
+#: Edges that one task unites (16 bytes each).
+FEW = 1_000_000
 #: The threshold as a fraction, so that comparisons are exact.
 LEAST, OF = 4, 5
 _SALT = np.random.default_rng(SEED).integers(0, 1 << 63, SMALL_WORDS, dtype=np.uint64)
@@ -273,6 +275,27 @@ def bucketed(spark: SparkSession, reps: DataFrame, low: int, high: int, large: D
     return found
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of all edges (a, b) of the task."""
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if held:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        parent = np.arange(len(nodes))
+        _join(parent, at[: len(a)], at[len(a) :])
+        root = _roots(parent, np.arange(len(nodes)))
+        child = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], ["node", "component"])
+
+
+def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """As components, of which the rounds are for more than FEW edges; as many as that are united in one task."""
+    edges = stored(spark, edges.toDF("a", "b").distinct(), "links")
+    if edges.count() > FEW:
+        return components(spark, edges)
+    return stored(spark, edges.repartition(1).mapInArrow(_united, "node long, component long"), "components")
+
+
 def ends(pairs: DataFrame) -> DataFrame:
     """The documents of pairs (a, b)."""
     return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -301,7 +324,7 @@ def clusters(spark: SparkSession, pairs: DataFrame, joined: DataFrame) -> DataFr
     """(node, component) of the documents whose component in joined is one of several that pairs (a, b) join to a cluster; component is the cluster."""
     ends = labelled(labelled(pairs, joined, "a", "x"), joined, "b", "y").where("x <> y")
     edges = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    found = components(spark, edges)
+    found = connected(spark, edges)
     found = found.union(found.select("component", "component")).distinct().toDF("of", "component")
     nodes = joined.union(joined.select("component", "component")).distinct().toDF("node", "of")
     single = found.select(F.col("of").alias("node"), "component")  # components of one document aren't in joined
@@ -315,7 +338,7 @@ def widened(spark: SparkSession, known: DataFrame, first: DataFrame, later: Data
     """
     named = lambda x, y: known.select(F.col("rep").alias(x), F.col("label").alias(y))
     ends = later.join(named("a", "x"), "a").join(named("b", "y"), "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    found = components(spark, ends.where("a > b").distinct())
+    found = connected(spark, ends.where("a > b").distinct())
     found = found.union(found.select("component", "component")).distinct().toDF("label", "component")
     alone = first.select(F.col("component").alias("label")).distinct().join(found, "label", "left_anti").select("label", F.col("label").alias("component"))
     return known.join(found.union(alone), "label").select(F.col("rep").alias("node"), "component")
@@ -352,9 +375,9 @@ def groups(spark: SparkSession, docs: DataFrame, block: int = BLOCK, shard_rows:
     pairs = stored(spark, pieces[0].groupBy("a", "b").agg(F.max("n").alias("n")), "bucket-pairs")
     sets = shingle_sets(spark, texts, ends(pairs))
     star = stored(spark, pairs.groupBy("a").agg((-F.max(F.struct("n", (-F.col("b")).alias("least")))["least"]).alias("b")), "star-pairs")
-    joined = components(spark, compared(star, sets))
+    joined = connected(spark, compared(star, sets))
     again = stored(spark, compared(apart(pairs.select("a", "b"), star, joined), sets), "star-links")
-    joined = components(spark, joined.union(again))  # stars instead of the links they came from: fewer rounds
+    joined = connected(spark, joined.union(again))  # stars instead of the links they came from: fewer rounds
     release(spark)
     # the other words, where documents of one cluster count as joined
     first = clusters(spark, pairs.select("a", "b"), joined)
@@ -369,7 +392,7 @@ def groups(spark: SparkSession, docs: DataFrame, block: int = BLOCK, shard_rows:
     more = stored(spark, links(spark, every, rest, block), "cluster-links")
     discard(spark, known, pairs, later, star, again, sets, other)
     release(spark)
-    found = components(spark, joined.union(more))
+    found = connected(spark, joined.union(more))
     own = marked.select("doc_id").join(copies, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     out = stored(spark, own.join(found, own["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")), "near-groups")
     discard(spark, marked, firsts, copies, more)

@@ -121,7 +121,7 @@ def test_joins_see_each_pair_of_a_document_and_a_first_once(spark, monkeypatch):
 def test_edges_grow_with_the_group(spark, monkeypatch):
     """Edges over all components of a group of near copies among other documents: fewer than four for each document, at any size of the group."""
     seen = []
-    monkeypatch.setattr(N, "components", lambda spark, edges, f=N.components: (seen.append(edges.distinct().count()), f(spark, edges))[1])
+    monkeypatch.setattr(N, "connected", lambda spark, edges, f=N.connected: (seen.append(edges.distinct().count()), f(spark, edges))[1])
     for n in (300, 1_200):
         rng = random.Random(n)
         base = [f"w{rng.randrange(500)}" for _ in range(120)]
@@ -130,5 +130,18 @@ def test_edges_grow_with_the_group(spark, monkeypatch):
         seen.clear()
         found = N.groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert {r.doc_id: r.component_id for r in found} == slow_groups(rows)
-        print(n, seen)
         assert sum(seen) < 4 * len(rows), seen
+
+
+@pytest.mark.parametrize("few", [N.FEW, 0])
+def test_both_ways_give_the_same_components(spark, monkeypatch, few):
+    monkeypatch.setattr(N, "FEW", few)
+    rng = random.Random(1)
+    edges = {tuple(sorted(rng.sample(range(400), 2), reverse=True)) for _ in range(260)}
+    label = {x: x for e in edges for x in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame([*edges, *edges], "a long, b long")
+    assert {(r.node, r.component) for r in N.connected(spark, frame).collect()} == {(x, c) for x, c in label.items() if x != c}
+    assert N.connected(spark, frame.limit(0)).count() == 0
