@@ -8,6 +8,7 @@ done on slim columns and joined back by the caller.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -234,10 +235,13 @@ def same_family_pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.col("a.fam").alias("fam"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def cyclic_next(rows: DataFrame, value: str, order: str, name: str) -> DataFrame:
-    """The next row's value, the last row's being the first's."""
-    w = Window.orderBy(order)
-    return rows.withColumn(name, F.coalesce(F.lead(value).over(w), F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+def cyclic_next(spark: SparkSession, rows: DataFrame, value: str, order: str, name: str) -> DataFrame:
+    """The next row's value, the last row's being the first's. The order is a global rank, and a row meets the next by it."""
+    ranked = stored(spark, global_rank(spark, rows, [order], "_rank"), "cyclic")
+    last = ranked.agg(F.max("_rank")).first()[0]
+    before = F.when(F.col("_rank") == 1, F.lit(last)).otherwise(F.col("_rank") - 1)
+    following = ranked.select(before.alias("_rank"), F.col(value).alias(name))
+    return ranked.join(following, "_rank").drop("_rank")
 
 
 def disjoint_pairs(pairs: DataFrame, most: int = 16) -> DataFrame:
@@ -259,39 +263,54 @@ def disjoint_pairs(pairs: DataFrame, most: int = 16) -> DataFrame:
     return pairs.groupBy("fam").applyInPandas(pick, pairs.schema).drop("tie")
 
 
-def stacks(rows: DataFrame, size: int = 8) -> DataFrame:
-    """Greedy stacks of `size` rows with unique short names, in md5 order, one pass over the overflow; a short tail goes.
+def _packed(size: int, level: int):
+    """Packs one range: its stacks, and what goes on to the next level as stack -1."""
 
-    rows: id, name. Sequential by definition, over two slim columns. Returns stack, pos, id.
-    """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stacks_: list[list[int]] = []
-        now: list[int] = []
-        names: set[str] = set()
-        late: list[tuple[int, str]] = []
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["k", "id"], ignore_index=True)
+        names, made, now, held = frame["name"].tolist(), [], [], set()
 
-        def offer(id_: int, name: str) -> bool:
-            nonlocal now, names
-            if name in names:
+        def offer(i: int) -> bool:
+            if names[i] in held:
                 return False
-            now.append(id_)
-            names.add(name)
+            now.append(i)
+            held.add(names[i])
             if len(now) == size:
-                stacks_.append(now)
-                now, names = [], set()
+                made.append(list(now))
+                now.clear()
+                held.clear()
             return True
 
-        for frame in batches:
-            for r in frame.itertuples():
-                if not offer(r.id, r.name):
-                    late.append((r.id, r.name))
-        for id_, name in late:
-            offer(id_, name)
-        yield pd.DataFrame([(s, p, i) for s, x in enumerate(stacks_) for p, i in enumerate(x)], columns=["stack", "pos", "id"])
+        late = [i for i in range(len(names)) if not offer(i)]
+        late = [i for i in late if not offer(i)]
+        at = (level << 52) + (int(frame["range"][0]) << 20)
+        stack = [(at + s, p, i) for s, x in enumerate(made) for p, i in enumerate(x)]
+        left = frame.loc[sorted(now + late)].groupby("name", sort=False, dropna=False).head(size).index
+        found = pd.DataFrame([*stack, *((-1, -1, i) for i in left)], columns=["stack", "pos", "i"])
+        return found.join(frame, on="i")[["stack", "pos", "id", "name", "k", "range"]]
+
+    return pack
 
-    rows = rows.select("id", "name", F.md5(F.col("id").cast("string")).alias("k")).repartition(1).sortWithinPartitions("k", "id")
-    return rows.select("id", F.col("name")).mapInPandas(lambda b: fold(f.rename(columns={"name": "name"}) for f in b), "stack long, pos long, id long")
+
+def stacks(spark: SparkSession, rows: DataFrame, size: int = 8, width: int = 8_192, fan: int = 64) -> DataFrame:
+    """Greedy stacks of `size` rows with unique names, in md5 order, one pass over the overflow. Returns stack, pos, id.
+
+    rows: id, name. The order is cut into ranges of the hash, about `width` rows each, which pack by themselves. What a range leaves over
+    (its open stack, and of the rows that no stack took at most `size` of each name) is packed again with that of `fan` ranges
+    together, and so on; a tail that is short in the end goes. Ranges come from the number of rows, so partitions don't matter, and
+    up to `width` rows are one range: the plain pass.
+    """
+    rows = stored(spark, rows.select(F.col("id").cast("long").alias("id"), "name", F.md5(F.col("id").cast("string")).alias("k")), "stack-rows")
+    ranges, level, out = max(1, -(-rows.count() // width)), 0, []
+    left = rows.withColumn("range", F.shiftright(F.conv(F.substring("k", 1, 8), 16, 10).cast("long") * ranges, 32))
+    while True:
+        packed = left.groupBy("range").applyInPandas(_packed(size, level), "stack long, pos long, id long, name string, k string, range long")
+        packed = stored(spark, packed, "stacks")
+        out.append(packed.where("stack >= 0").select("stack", "pos", "id"))
+        if ranges == 1:
+            return reduce(DataFrame.union, out)
+        ranges, level = -(-ranges // fan), level + 1
+        left = packed.where("stack < 0").select("id", "name", "k", F.floor(F.col("range") / fan).alias("range"))
 
 
 def containing(docs: DataFrame, patterns: DataFrame, id_: str = "doc_id", text: str = "text", block: int = 50_000) -> DataFrame:

@@ -73,12 +73,28 @@ def extract_facts(rows: DataFrame, keep: list[str], pool: list[str] | None = Non
     return _generated(rows, ["code", "qualified", "func_name", "is_method"], keep, make, FACT)
 
 
-def coverage(rows: DataFrame, keep: list[str], pool: list[str] | None = None) -> DataFrame:
-    """intent, emitted (facts), applicable (functions with at least one) for every registered intent, those with none included. keep: the key of a function."""
-    each = extract_facts(rows, keep, pool).groupBy(*keep, "intent").agg(F.count("*").alias("n"))
-    found = each.groupBy("intent").agg(F.sum("n").alias("emitted"), F.count("*").alias("applicable"))
-    known = rows.sparkSession.createDataFrame([(i,) for i in facts_.INTENTS], "intent string")
-    return known.join(found, "intent", "left").select("intent", F.coalesce("emitted", F.lit(0)).alias("emitted"), F.coalesce("applicable", F.lit(0)).alias("applicable"))
+def fact_events(rows: DataFrame, keep: list[str], pool: list[str] | None = None, intents: tuple[str, ...] = ()) -> DataFrame:
+    """event (applicable, emitted, rejected, screened), intent, reason, n for each function; screened: whether and why not its code may run, by the reason's prefix."""
+
+    def make(code: str, qualified: str, name: str, method: bool) -> list[tuple]:
+        _, why = sandbox.screen(code or "")
+        return [*facts_.events(code or "", qualified or "", name or "", bool(method), pool, intents), ("screened", None, why.split(":")[0] if why else "pass", 1)]
+
+    return _generated(rows, ["code", "qualified", "func_name", "is_method"], keep, make, "event string, intent string, reason string, n long")
+
+
+def coverage(rows: DataFrame, keep: list[str], pool: list[str] | None = None, intents: tuple[str, ...] = ()) -> DataFrame:
+    """intent, emitted (facts), applicable (functions), leaks for every registered intent (or some), those with none included."""
+    sums = fact_events(rows, keep, pool, intents).where("intent IS NOT NULL").groupBy("intent").agg(
+        F.sum(F.when(F.col("event") == "emitted", F.col("n"))).alias("emitted"), F.count_if(F.col("event") == "applicable").alias("applicable"), F.sum(F.when(F.col("reason") == "leak", F.col("n"))).alias("leaks")
+    )
+    known = rows.sparkSession.createDataFrame([(i,) for i in intents or facts_.INTENTS], "intent string")
+    return known.join(sums, "intent", "left").select("intent", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("emitted", "applicable", "leaks")])
+
+
+def reject_reasons(rows: DataFrame, keep: list[str], pool: list[str] | None = None, intents: tuple[str, ...] = ()) -> DataFrame:
+    """event (rejected, screened), reason, n: a histogram."""
+    return fact_events(rows, keep, pool, intents).where("reason IS NOT NULL").groupBy("event", "reason").agg(F.sum("n").alias("n"))
 
 
 def extract_stack_facts(stacks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from corpusmill.operators import twins
 
 from corpusmill.sources.storage import stored
 
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 
 def rendered(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,21 +218,34 @@ def content_tokens(spark, sf):
     return rows.select("p_partkey", F.get("t", F.lit(0)).alias("own"), F.element_at(F.filter("t", lambda x: x.rlike("^[0-9]+$")), 1).alias("fallback"))
 
 
-#: What the rendered functions hold by construction; the other intents' counts are tests of their own.
-@query("coverage_counters", """SELECT 'A1' AS intent, count(*) AS emitted, count(*) AS applicable FROM part UNION ALL SELECT 'A8', count_if(p_size % 3 = 0)::BIGINT, count_if(p_size % 3 = 0)::BIGINT FROM part UNION ALL SELECT 'C6', count_if(p_size % 7 = 0)::BIGINT, count_if(p_size % 7 = 0)::BIGINT FROM part
-UNION ALL SELECT 'H1', count_if(p_size % 4 = 0)::BIGINT, count_if(p_size % 4 = 0)::BIGINT FROM part""")
+#: Intents that methods show; the rendered functions show the others.
+OF_METHODS = ("G2", "G4", "H2")
+_COUNTED = " UNION ALL ".join(f"SELECT '{i}' AS intent, p_partkey FROM ({ORACLES[f'fact_{i}']})" for i in EXPECTED if i != "B1")
+_COUNTED += f" UNION ALL SELECT 'B1', p_partkey FROM (SELECT p_partkey, unnest(range(n)) FROM ({ORACLES['fact_B1']}))"
+
+
+@query("coverage_counters", f"""SELECT intent, count(*) AS emitted, count(DISTINCT p_partkey) AS applicable FROM ({_COUNTED}) GROUP BY intent""")
 def coverage_counters(spark, sf):
-    """Emitted facts, and functions with any, per intent over all functions."""
-    found = S.coverage(rendered(spark, sf), ["p_partkey"])
-    return found.where(F.col("intent").isin("A1", "A8", "C6", "H1"))
+    """Facts, and functions with any, per intent over all functions, for all intents that anything shows."""
+    others = tuple(i for i in EXPECTED if i not in OF_METHODS)
+    found = S.coverage(rendered(spark, sf), ["p_partkey"], OTHER_DOCS, others).union(S.coverage(methods(spark, sf), ["p_partkey"], OTHER_DOCS, OF_METHODS))
+    return found.where("emitted > 0").select("intent", "emitted", "applicable")
+
+
+@query("reject_reasons", """SELECT 'rejected' AS event, 'parse' AS reason, count(*) AS n FROM part WHERE p_size % 11 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'screened', CASE WHEN p_size % 11 = 0 THEN 'parse' WHEN p_size % 5 = 0 THEN 'async' WHEN p_size % 3 = 0 THEN 'decorated' ELSE 'pass' END AS reason, count(*) FROM part GROUP BY reason""")
+def reject_reasons(spark, sf):
+    """Why functions are rejected, and why they may not run; one in eleven is made unparseable."""
+    rows = rendered(spark, sf).withColumn("code", F.when(F.col("p_size") % 11 == 0, F.concat("code", F.lit("("))).otherwise(F.col("code")))
+    return S.reject_reasons(rows, ["p_partkey"], OTHER_DOCS)
 
 
 def stacked(spark: SparkSession, sf: str) -> DataFrame:
     rows = rendered(spark, sf)
-    stacks = O.stacks(rows.select(F.col("p_partkey").alias("id"), F.col("func_name").alias("name")))
+    stacks = O.stacks(spark, rows.select(F.col("p_partkey").alias("id"), F.col("func_name").alias("name")))
     members = stacks.join(rows.withColumnRenamed("p_partkey", "id"), "id").groupBy("stack").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "qualified", "func_name", "code", "is_method"))).alias("m"))
     members = members.select("stack", F.transform("m", lambda x: F.struct(x["id"].alias("id"), x["qualified"].alias("qualified"), x["func_name"].alias("func_name"), x["code"].alias("code"), x["is_method"].alias("is_method"))).alias("members"))
-    return O.cyclic_next(members.withColumn("own", F.col("members")[0]["func_name"]), "own", "stack", "decoy").drop("own")
+    return O.cyclic_next(spark, members.withColumn("own", F.col("members")[0]["func_name"]), "own", "stack", "decoy").drop("own")
 
 
 @query("stack_facts")

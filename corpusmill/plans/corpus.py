@@ -543,9 +543,9 @@ def set_operations(spark, sf):
     return counted("intersect", a.intersect(b)).unionByName(counted("except", a.subtract(b))).unionByName(counted("union", a.union(b).distinct()))
 
 
-@query("cyclic_decoy", "SELECT doc_id, coalesce(lead(source) OVER (ORDER BY doc_id), first_value(source) OVER (ORDER BY doc_id)) AS decoy FROM documents WHERE lang = 'es'")
+@query("cyclic_decoy", "SELECT doc_id, coalesce(lead(source) OVER (ORDER BY doc_id), first_value(source) OVER (ORDER BY doc_id)) AS decoy FROM documents")
 def cyclic_decoy(spark, sf):
-    return O.cyclic_next(table(spark, sf, "documents").where("lang = 'es'").select("doc_id", "source"), "source", "doc_id", "decoy").select("doc_id", "decoy")
+    return O.cyclic_next(spark, table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", "decoy").select("doc_id", "decoy")
 
 
 @query("unique_key_join", "WITH u AS (SELECT n_chars FROM documents GROUP BY n_chars HAVING count(*) = 1) SELECT doc_id, n_chars FROM documents WHERE n_chars IN (SELECT n_chars FROM u)")
@@ -623,4 +623,4 @@ def similarity_percentiles(spark, sf):
 @query("stacks_greedy")
 def stacks_greedy(spark, sf):
     """Stacks of eight with unique names."""
-    return O.stacks(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("_", "source", "lang").alias("name")))
+    return O.stacks(spark, table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("_", "source", "lang").alias("name")))

@@ -36,20 +36,37 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def mapped(rows: DataFrame, names: dict[str, str], skip: int = 0, order: str | None = None) -> DataFrame:
-    """A table under our names ({ours: theirs}), without its first rows in an order."""
+def mapped(rows: DataFrame, names: dict[str, str], skip: int = 0, order: str | None = None, by: str | None = None) -> DataFrame:
+    """A table under our names ({ours: theirs}), without the first `skip` rows in an order (of distinct values), of the whole or of each value of `by`.
+
+    Only the last row to skip is looked for: at most `skip` rows of a task and value travel to it, and no row is ranked beyond it.
+    """
     out = rows
     if skip:
-        out = out.withColumn("_n", F.row_number().over(Window.orderBy(order))).where(F.col("_n") > skip)
+        source = F.col(by) if by else F.lit(0)
+        slim = rows.select(source.alias("_by"), F.col(order).alias("_order"))
+        firsts = slim.withColumn("_n", F.row_number().over(Window.partitionBy("_by").orderBy("_order"))).where(F.col("_n") <= skip)
+        last = firsts.groupBy("_by").agg(F.max("_order").alias("_last"))
+        out = rows.join(last, source.eqNullSafe(F.col("_by"))).where(F.col(order) > F.col("_last"))
     return out.select(*[F.col(theirs).alias(ours) for ours, theirs in names.items()])
 
 
 def jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> DataFrame:
-    """Lines with identity: shard is the rank of the file's name, line counts from 0. Compression goes by suffix."""
-    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = files.withColumn("shard", (F.dense_rank().over(Window.orderBy("file")) - 1).cast("long"))
-    lines = lines.select("file", "shard", F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return lines.where("value <> ''").withColumn("line", F.col("line").cast("long"))
+    """Lines with identity: shard is the rank of the file's name, line counts from 0. Compression goes by suffix.
+
+    Files are read in splits of bytes (a compressed one is one split); a line belongs to the split it starts in. Lines are counted for each
+    split first, and a split's lines begin at the sum of those before it in the file, so no task holds a whole file. Files of one name in
+    several folders share a shard.
+    """
+    text = spark.read.option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value")
+    splits = lines.groupBy("_path", "file", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first"))
+    shards = splits.select("file").distinct().withColumn("shard", (F.row_number().over(Window.orderBy("file")) - 1).cast("long"))  # one row a file
+    splits = splits.join(shards, "file").select("_path", "_split", "_before", "shard")
+    placed = lines.join(splits, ["_path", "_split"]).withColumn("line", F.col("_at") + F.col("_before"))
+    return placed.where("value <> ''").select("file", "shard", "line", "value")
 
 
 def wanted_lines(lines: DataFrame, wanted: DataFrame, schema: str) -> DataFrame:

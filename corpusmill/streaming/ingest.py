@@ -36,40 +36,50 @@ def seen_hashes(stream: DataFrame) -> DataFrame:
 
 
 def capped_repos(stream: DataFrame, key: str, cap: int) -> DataFrame:
-    """Up to cap rows of each key over the life of the stream, first come first kept (in order of doc_id within a batch)."""
+    """Up to cap rows of each key over the life of the stream, first come first kept (in order of doc_id within a batch).
+
+    A key's rows of a batch come in frames, of which only the smallest that the cap still has room for are held; a full key's
+    are not looked at. The state is a count, so a query that is stopped and started again keeps the cap.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def keep(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         had = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("doc_id") if had < cap else pd.DataFrame({"doc_id": [], key: []})
-        out = rows.head(cap - had)
-        state.update((had + len(out),))
-        yield out
+        if had < cap:
+            held = None
+            for frame in frames:
+                held = (frame if held is None else pd.concat([held, frame])).nsmallest(cap - had, "doc_id")
+            if held is not None:
+                state.update((had + len(held),))
+                yield held
 
     slim = stream.select("doc_id", key)
     return slim.groupBy(key).applyInPandasWithState(keep, slim.schema, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def with_ledger(spark: SparkSession, stream: DataFrame, done: str, key: str, work: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
-    """Idempotent batches: rows whose key an earlier batch finished are skipped; a batch that is run again writes its own folder again."""
+def first_batch(stream: DataFrame, key: str) -> DataFrame:
+    """The rows of each key in the first batch that has it (all of them); later batches' are left out."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def batch(frame: DataFrame, batch_id: int) -> None:
-        finished = [p for p in _batches(spark, done) if p < batch_id]
-        if finished:
-            known = spark.read.parquet(*[f"{done}/batch={b}" for b in finished]).select(key)
-            frame = frame.join(known, key, "left_anti")
-        work(frame).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
+    def fresh(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if not state.exists:
+            state.update((True,))
+            yield from frames
 
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.groupBy(key).applyInPandasWithState(fresh, stream.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    from corpusmill.sources.storage import file_system
+def with_ledger(spark: SparkSession, stream: DataFrame, done: str, key: str, work: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
+    """Idempotent batches: rows whose key an earlier batch finished are skipped; a batch that is run again writes its own folder again.
+
+    The ledger is state by key, in the checkpoint: a batch looks up its own keys and reads nothing that earlier batches wrote. Spark gives
+    a batch that it runs again the same rows and the state from before it.
+    """
+
+    def batch(frame: DataFrame, batch_id: int) -> None:
+        work(frame).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
 
-    system, target = file_system(spark, path)
-    if not system.exists(target):
-        return []
-    return sorted(int(s.getPath().getName().split("=")[1]) for s in system.listStatus(target) if s.getPath().getName().startswith("batch="))
+    first_batch(stream, key).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def valid_prefix(lines: DataFrame, order: str = "line") -> DataFrame:

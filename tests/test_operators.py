@@ -1,5 +1,6 @@
 """Invariants and cases of operators that SQL can't express, on small inputs of our own."""
 
+import hashlib
 import random
 
 import pytest
@@ -52,13 +53,57 @@ def test_disjoint_pairs_and_stacks(spark):
     pairs = spark.createDataFrame([("f", 1, 2, 0.9), ("f", 2, 3, 0.95), ("f", 1, 4, 0.8), ("g", 5, 6, 0.7)], "fam string, a long, b long, sim double")
     assert sorted((r.a, r.b) for r in O.disjoint_pairs(pairs).collect()) == [(1, 4), (2, 3), (5, 6)]
     rows = spark.createDataFrame([(i, f"n{i % 11}") for i in range(100)], "id long, name string")
-    out = O.stacks(rows, 8).collect()
+    out = O.stacks(spark, rows, 8).collect()
     by = {}
     for r in out:
         by.setdefault(r.stack, []).append(r.id)
     assert all(len(x) == 8 and len({i % 11 for i in x}) == 8 for x in by.values()) and len({r.id for r in out}) == len(out)
 
 
+def plain_stacks(rows, size):
+    """One pass in md5 order and one over what it left."""
+    made, now, late = [], [], []
+    order = sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0]))
+    for again in (order, late):
+        for r in list(again):
+            if r[1] in {x[1] for x in now}:
+                if again is order:
+                    late.append(r)
+                continue
+            now.append(r)
+            if len(now) == size:
+                made.append([x[0] for x in now])
+                now = []
+    return made
+
+
+def test_stacks_are_the_plain_pass_and_do_not_know_partitions(spark):
+    rng = random.Random(6)
+    rows = [(i, "hot" if rng.random() < 0.3 else f"n{rng.randrange(40)}") for i in range(3_000)]
+    frame = spark.createDataFrame(rows, "id long, name string")
+    packed = lambda f, **more: {tuple(x.id for x in sorted(v, key=lambda x: x.pos)) for v in group(O.stacks(spark, f, 8, **more).collect()).values()}
+
+    def group(found):
+        by = {}
+        for r in found:
+            by.setdefault(r.stack, []).append(r)
+        return by
+
+    assert packed(frame) == {tuple(x) for x in plain_stacks(rows, 8)}
+    one, many = (packed(frame.repartition(n), width=100, fan=4) for n in (1, 64))
+    assert one == many and len(one) >= 0.9 * len(plain_stacks(rows, 8))
+    names = dict(rows)
+    assert all(len(s) == 8 == len({names[i] for i in s}) for s in one) and len({i for s in one for i in s}) == 8 * len(one)
+    assert O.stacks(spark, frame.limit(0)).count() == 0
+
+
+def test_the_next_row_of_the_last_is_the_first(spark):
+    frame = spark.createDataFrame([(i, f"v{i}") for i in range(100)], "id long, v string").repartition(7)
+    assert {r.id: r.w for r in O.cyclic_next(spark, frame, "v", "id", "w").collect()} == {i: f"v{(i + 1) % 100}" for i in range(100)}
+    assert O.cyclic_next(spark, frame.limit(1), "v", "id", "w").first().w == O.cyclic_next(spark, frame.limit(1), "v", "id", "w").first().v
+    assert O.cyclic_next(spark, frame.limit(0), "v", "id", "w").count() == 0
+
+
 def test_phrase_clusters_remember_rejected(spark):
     rows = [("A", f"p{i}", "what does the function return when the list is empty") for i in range(6)] + [("A", "q", "what does the function return when the list is blank"), ("A", "z", "an entirely different question")]
     out = {r.pair_id: (r.cluster, r.kept) for r in similar.phrase_clusters(spark, spark.createDataFrame(rows, "intent string, pair_id string, question string"), cap=3).collect()}

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,35 @@ def test_mapped(spark):
     assert [r.content for r in R.mapped(rows, {"content": "body"}, skip=3, order="n").collect()] == ["c3", "c4"]
 
 
+def test_mapped_skips_for_each_source(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 2 else f"s{i % 3}", f"c{i}") for i in range(12)], "n int, source string, body string")
+    assert sorted(r.content for r in R.mapped(rows, {"content": "body"}, skip=3, order="n", by="source").collect()) == ["c10", "c11", "c9"]
+    assert R.mapped(rows, {"content": "body"}, skip=20, order="n").count() == 0
+
+
+def test_a_file_of_many_splits_has_the_lines_of_one(spark, tmp_path):
+    """Empty lines, lines longer than a split, carriage returns and a last line without an end."""
+    rng = random.Random(3)
+    texts = {}
+    for name in ("a.jsonl", "b.jsonl"):
+        values = ["" if rng.random() < 0.2 else "é" * rng.randrange(200) + str(i) + ("\r" if i % 7 == 0 else "") for i in range(400)]
+        (tmp_path / name).write_bytes("\n".join(values).encode())
+        texts[name] = values
+    with gzip.open(tmp_path / "c.jsonl.gz", "wb") as f:
+        f.write("\n".join(texts["a.jsonl"]).encode() + b"\n")
+    want = sorted((i, n, v) for i, name in enumerate(("a.jsonl", "b.jsonl", "a.jsonl")) for n, v in enumerate(texts[name]) if v)
+    for size in ("128m", "97"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            lines = R.jsonl(spark, str(tmp_path))
+            assert sorted((r.shard, r.line, r.value) for r in lines.collect()) == want
+            assert size == "128m" or lines.select(F.input_file_block_start()).distinct().count() > 50
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_jsonl_identity_and_selective_parse(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
     with gzip.open(tmp_path / "a.jsonl.gz", "wt") as f:
@@ -140,6 +170,42 @@ def test_ledger_skips_what_is_done(spark, tmp_path):
     assert sorted((r.k, r.v) for r in spark.read.parquet(done).select("k", "v").collect()) == [(1, "a"), (2, "b"), (3, "c")]
 
 
+def test_a_restarted_cap_goes_on_counting(spark, tmp_path):
+    """Five batches through a query that is stopped after each; a key's rows of a batch come in several frames."""
+    source, out, checkpoint = (f"{tmp_path}/{x}" for x in ("in", "out", "cp"))
+    schema, kept, had = "doc_id long, source string", [], {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for batch in range(5):
+            rows = [(100 * batch + (i * 37) % 100, f"s{i % 3 if i < 60 else 0}") for i in range(100)]
+            spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(schema).parquet(source)
+            I.run_to_parquet(spark, I.capped_repos(stream, "source", 70), "cap", checkpoint=checkpoint, out=out)
+            for key in ("s0", "s1", "s2"):
+                own = sorted(d for d, s in rows if s == key)[: 70 - had.get(key, 0)]
+                had[key] = had.get(key, 0) + len(own)
+                kept += [(d, key) for d in own]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.doc_id, r.source) for r in spark.read.parquet(out).collect()) == sorted(kept) and max(had.values()) == 70
+
+
+def test_a_batch_reads_nothing_that_earlier_ones_wrote(spark, tmp_path, monkeypatch):
+    source, done, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "done", "cp"))
+    schema, plans = "k long, v string", []
+
+    def work(frame):
+        plans.append(frame._jdf.queryExecution().toString())
+        return frame
+
+    for batch in range(4):
+        spark.createDataFrame([(i, f"b{batch}") for i in range(batch * 5, batch * 5 + 8)] + [(batch * 5 + 7, "twice")], schema).coalesce(1).write.mode("append").parquet(source)
+        I.with_ledger(spark, spark.readStream.schema(schema).parquet(source), done, "k", work, checkpoint)
+    rows = spark.read.parquet(done).groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("v")).collect()
+    assert {(r.k, r.n, r.v) for r in rows} == {(k, 2 if k % 5 == 2 and k >= 7 else 1, f"b{0 if k < 8 else (k - 3) // 5}") for k in range(23)}
+    assert len(plans) == 4 and not any("/done" in p for p in plans)
+
+
 def test_valid_prefix(spark):
     lines = spark.createDataFrame([(0, "{}"), (1, '{"a": 1}'), (2, '{"a"'), (3, "{}")], "line long, value string")
     assert sorted(r.line for r in I.valid_prefix(lines).collect()) == [0, 1]
