@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import columns as C
 from corpusmill.operators import corpus as O
 from corpusmill.operators import source as S
-from corpusmill.operators import twins
+from corpusmill.operators import phrasing, twins
 
 from corpusmill.sources.storage import stored
 
@@ -240,6 +240,21 @@ def reject_reasons(spark, sf):
     return S.reject_reasons(rows, ["p_partkey"], OTHER_DOCS)
 
 
+#: Intents whose one slot is what their oracle calls about.
+_SLOTS = {"A1": "", "A2": "", "A3": "", "A4": "param", "A5": "feature", "A9": "", "C4": "property", "F1": "var", "B6": "construct"}
+_ASKED = " UNION ALL ".join(f"SELECT p_partkey, '{i}' AS intent, about, replace('{phrasing.CARDS[i]}', '{{{slot}}}', about) AS clause FROM ({ORACLES[f'fact_{i}']})" for i, slot in _SLOTS.items())
+_SPOKEN = " ".join(f"WHEN {k} THEN '{t.replace(chr(39), chr(39) * 2)}'" for k, t in enumerate(phrasing.STYLES.values()))
+
+
+@query("fact_prompts", f"""WITH asked AS ({_ASKED}) SELECT p_partkey, intent, about, replace(CASE ('0x' || substr(md5(p_partkey || '|' || intent || '|' || about), 1, 8))::BIGINT % {len(phrasing.STYLES)} {_SPOKEN} END, '{{x}}', clause) AS prompt FROM asked""")
+def fact_prompts(spark, sf):
+    """A prompt for every fact of some intents; test_phrasing has all intents."""
+    found = S.extract_facts(rendered(spark, sf), ["p_partkey"], pool=OTHER_DOCS, intents=tuple(_SLOTS))
+    about = F.concat_ws("", *[F.get_json_object("seed", f"$.{slot}") for slot in dict.fromkeys(_SLOTS.values()) if slot])
+    asked = phrasing.phrased(found.withColumn("about", about), F.concat_ws("|", "p_partkey", "intent", "about"))
+    return asked.select("p_partkey", "intent", "about", "prompt")
+
+
 def stacked(spark: SparkSession, sf: str) -> DataFrame:
     rows = rendered(spark, sf)
     stacks = O.stacks(spark, rows.select(F.col("p_partkey").alias("id"), F.col("func_name").alias("name")))
