@@ -204,12 +204,27 @@ def band_allocation(supply: dict[int, int], shares: dict[int, float], total: int
     return out
 
 
-def slice_at(files: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Byte spans against their parent files: per span any match and how many candidates."""
-    raw = lambda c: F.encode(c, "UTF-8")
-    cut = raw("content").substr(F.col("start") + 1, F.col("end") - F.col("start"))
-    joined = spans.join(files, keys, "left")
-    return joined.groupBy("span_id").agg(F.coalesce(F.bool_or(cut == raw("code")), F.lit(False)).alias("ok"), F.count("content").alias("parents"))
+def slice_at(spark: SparkSession, files: DataFrame, spans: DataFrame, keys: list[str], window: int = 32) -> DataFrame:
+    """Byte spans against their parent files: span_id, ok (the span stands at its place in one of the files with its keys), parents (how many files those are).
+
+    files: keys, content. spans: span_id (unique), keys, start, end, code (binary). A span's fingerprint is a hash of its first whole window at a multiple of
+    `window`, or of all of it where it holds none. Files are hashed at those places alone that spans of their keys ask for, equal files once, and
+    only files with the span's fingerprint are compared, so rows follow the spans and not the pairs of a key.
+    """
+    at = F.ceil(F.col("start") / window) * window
+    whole = at + window <= F.col("end")
+    spans = spans.withColumn("_at", F.when(whole, at).otherwise(F.col("start")).cast("int")).withColumn("_n", F.when(whole, window).otherwise(F.col("end") - F.col("start")).cast("int"))
+    spans = stored(spark, spans.withColumn("_print", F.xxhash64(F.col("code").substr(F.col("_at") - F.col("start") + 1, F.col("_n")))), "spans")
+    contents = files.select(*keys, F.encode("content", "UTF-8").alias("_raw")).withColumn("_file", F.md5("_raw")).dropDuplicates([*keys, "_file"])
+    contents = stored(spark, contents, "parents")
+    places = spans.select(*keys, "_at", "_n").distinct()
+    prints = contents.join(places, keys).select(*keys, "_file", "_at", "_n", F.xxhash64(F.col("_raw").substr(F.col("_at") + 1, F.col("_n"))).alias("_print"))
+    tried = spans.select("span_id", *keys, "_at", "_n", "_print").join(prints, [*keys, "_at", "_n", "_print"]).select("span_id", *keys, "_file")
+    both = tried.join(contents, [*keys, "_file"]).join(spans.select("span_id", "start", "end", "code"), "span_id")
+    found = both.where(F.col("_raw").substr(F.col("start") + 1, F.col("end") - F.col("start")) == F.col("code")).select("span_id", F.lit(True).alias("_ok")).distinct()
+    parents = files.groupBy(*keys).agg(F.count("content").alias("parents"))
+    out = spans.select("span_id", *keys).join(found, "span_id", "left").join(parents, keys, "left")
+    return out.select("span_id", F.coalesce("_ok", F.lit(False)).alias("ok"), F.coalesce("parents", F.lit(0)).alias("parents"))
 
 
 def aligned(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -97,6 +97,24 @@ def test_stacks_are_the_plain_pass_and_do_not_know_partitions(spark):
     assert O.stacks(spark, frame.limit(0)).count() == 0
 
 
+def test_spans_stand_at_their_places(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abé ") for _ in range(300))
+    files = [(f"k{i % 2}", base[: 100 + i] + rng.choice("xy") * 3 + base[i:]) for i in range(12)] + [("k0", base), ("k0", base), ("k1", ""), ("k2", None)]
+    spans = []
+    for i in range(120):
+        key, text = rng.choice(files[:14])
+        raw = text.encode()
+        start = rng.randrange(len(raw))
+        end = min(len(raw), start + rng.choice((0, 1, 20, 40, 200)))
+        code = raw[start:end] if i % 3 else raw[start:end][::-1]
+        spans.append((i, key if i % 7 else "k9", start, end, bytearray(code)))
+    out = O.slice_at(spark, spark.createDataFrame(files, "k string, content string"), spark.createDataFrame(spans, "span_id long, k string, start int, end int, code binary"), ["k"])
+    own = {k: [c.encode() for x, c in files if x == k and c is not None] for k, *_ in files}
+    want = {i: (any(c[a:b] == bytes(code) for c in own.get(k, [])), len(own.get(k, []))) for i, k, a, b, code in spans}
+    assert {r.span_id: (r.ok, r.parents) for r in out.collect()} == want and {ok for ok, _ in want.values()} == {True, False}
+
+
 def test_the_next_row_of_the_last_is_the_first(spark):
     frame = spark.createDataFrame([(i, f"v{i}") for i in range(100)], "id long, v string").repartition(7)
     assert {r.id: r.w for r in O.cyclic_next(spark, frame, "v", "id", "w").collect()} == {i: f"v{(i + 1) % 100}" for i in range(100)}
