@@ -12,7 +12,7 @@ from .registry import query
 
 @query("stream_dedup_counts", r"SELECT lang, count(*) AS n FROM (SELECT DISTINCT lang, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS h FROM documents) GROUP BY lang")
 def stream_dedup_counts(spark, sf):
-    stream = I.seen_hashes(I.file_stream(spark, sf, "documents")).select("doc_id", "lang", "h")
+    stream = I.seen_hashes(I.file_stream(spark, sf, "documents"), "lang").select("doc_id", "lang", "h")
     return I.run_to_parquet(spark, stream, "stream-dedup").groupBy("lang").agg(F.count("*").alias("n"))
 
 

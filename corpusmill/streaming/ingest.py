@@ -13,13 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as C
-from corpusmill.sources.storage import scratch
+from corpusmill.sources.storage import file_system, scratch
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """A table of the input folder as a stream; new files are new rows."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir)
+def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = 1) -> DataFrame:
+    """A table of the input folder, one file or a folder of them, as a stream; new files are new rows. None: all that is there is one batch."""
+    path = f"{sf_dir}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch is not None:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    system, target = file_system(spark, path)
+    if system.getFileStatus(target).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def run_to_parquet(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
@@ -30,9 +36,9 @@ def run_to_parquet(spark: SparkSession, stream: DataFrame, name: str, mode: str
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def seen_hashes(stream: DataFrame) -> DataFrame:
-    """The first row of each content hash over the life of the stream."""
-    return stream.withColumn("h", C.content_hash("text")).dropDuplicates(["h"])
+def seen_hashes(stream: DataFrame, *within: str) -> DataFrame:
+    """The first row of each content hash (of each value of the columns within) over the life of the stream."""
+    return stream.withColumn("h", C.content_hash("text")).dropDuplicates([*within, "h"])
 
 
 def capped_repos(stream: DataFrame, key: str, cap: int) -> DataFrame:
