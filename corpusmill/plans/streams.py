@@ -18,7 +18,8 @@ def stream_dedup_counts(spark, sf):
 
 @query("stream_repo_cap", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 30")
 def stream_repo_cap(spark, sf):
-    return I.run_to_parquet(spark, I.capped_repos(I.file_stream(spark, sf, "documents"), "source", 30), "stream-cap")
+    """All files are one batch: the cap keeps the first documents of the table, not of the file that comes first."""
+    return I.run_to_parquet(spark, I.capped_repos(I.file_stream(spark, sf, "documents", None), "source", 30), "stream-cap")
 
 
 @query("stream_ledger", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
