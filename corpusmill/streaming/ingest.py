@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as C
@@ -63,29 +63,21 @@ def capped_repos(stream: DataFrame, key: str, cap: int) -> DataFrame:
     return slim.groupBy(key).applyInPandasWithState(keep, slim.schema, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def first_batch(stream: DataFrame, key: str) -> DataFrame:
-    """The rows of each key in the first batch that has it (all of them); later batches' are left out."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def fresh(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if not state.exists:
-            state.update((True,))
-            yield from frames
-
-    return stream.groupBy(key).applyInPandasWithState(fresh, stream.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def with_ledger(spark: SparkSession, stream: DataFrame, done: str, key: str, work: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
     """Idempotent batches: rows whose key an earlier batch finished are skipped; a batch that is run again writes its own folder again.
 
     The ledger is state by key, in the checkpoint: a batch looks up its own keys and reads nothing that earlier batches wrote. Spark gives
-    a batch that it runs again the same rows and the state from before it.
+    a batch that it runs again the same rows and the state from before it. A batch gets its rows and, from the state, those of its
+    keys that are new; the rows that go on are those with a new key, all of them.
     """
+    new = stream.select(key).dropDuplicates([key]).withColumn("_new", F.lit(True))
+    both = stream.withColumn("_new", F.lit(False)).unionByName(new, allowMissingColumns=True)
 
     def batch(frame: DataFrame, batch_id: int) -> None:
-        work(frame).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
+        fresh = frame.withColumn("_fresh", F.max("_new").over(Window.partitionBy(key))).where("_fresh AND NOT _new").drop("_fresh", "_new")
+        work(fresh).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
 
-    first_batch(stream, key).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    both.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def valid_prefix(lines: DataFrame, order: str = "line") -> DataFrame:
