@@ -148,6 +148,7 @@ code_normal = _scalar(pysource.code_normal, "string")
 content_tokens = _scalar(pysource.content_tokens, "array<string>")
 similarity = _scalar(sequences.ratio, "double")
 rouge_l = _scalar(sequences.rouge_l, "double")
+rouge_exceeds = _scalar(sequences.rouge_exceeds, "boolean")
 aligned_f1 = _scalar(pysource.aligned_f1, "double")
 function_facts = _scalar(pysource.function_facts, "struct<name:string,params:array<string>,calls:array<string>,strings:array<string>>")
 parses = _scalar(pysource.parses, "boolean")
