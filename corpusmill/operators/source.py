@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -73,20 +74,33 @@ def extract_facts(rows: DataFrame, keep: list[str], pool: list[str] | None = Non
     return _generated(rows, ["code", "qualified", "func_name", "is_method"], keep, make, FACT)
 
 
-def fact_events(rows: DataFrame, keep: list[str], pool: list[str] | None = None, intents: tuple[str, ...] = ()) -> DataFrame:
-    """event (applicable, emitted, rejected, screened), intent, reason, n for each function; screened: whether and why not its code may run, by the reason's prefix."""
+def fact_events(rows: DataFrame, pool: list[str] | None = None, intents: tuple[str, ...] = (), screened: bool = True) -> DataFrame:
+    """event (applicable, emitted, rejected, screened), intent, reason, n: sums of each batch of functions.
 
-    def make(code: str, qualified: str, name: str, method: bool) -> list[tuple]:
-        _, why = sandbox.screen(code or "")
-        return [*facts_.events(code or "", qualified or "", name or "", bool(method), pool, intents), ("screened", None, why.split(":")[0] if why else "pass", 1)]
+    screened: whether and why not a function's code may run too, by the reason's prefix.
+    """
 
-    return _generated(rows, ["code", "qualified", "func_name", "is_method"], keep, make, "event string, intent string, reason string, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: Counter[tuple] = Counter()
+            for code, qualified, name, method in zip(*(c.to_pylist() for c in batch.columns)):
+                for event, intent, reason, n in facts_.events(code or "", qualified or "", name or "", bool(method), pool, intents):
+                    sums[event, intent, reason] += n
+                if screened:
+                    _, why = sandbox.screen(code or "")
+                    sums["screened", None, why.split(":")[0] if why else "pass"] += 1
+            if sums:
+                columns = [*zip(*sums), tuple(sums.values())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.int64()])], ["event", "intent", "reason", "n"])
+
+    return rows.select("code", "qualified", "func_name", "is_method").mapInArrow(run, "event string, intent string, reason string, n long")
 
 
 def coverage(rows: DataFrame, keep: list[str], pool: list[str] | None = None, intents: tuple[str, ...] = ()) -> DataFrame:
     """intent, emitted (facts), applicable (functions), leaks for every registered intent (or some), those with none included."""
-    sums = fact_events(rows, keep, pool, intents).where("intent IS NOT NULL").groupBy("intent").agg(
-        F.sum(F.when(F.col("event") == "emitted", F.col("n"))).alias("emitted"), F.count_if(F.col("event") == "applicable").alias("applicable"), F.sum(F.when(F.col("reason") == "leak", F.col("n"))).alias("leaks")
+    of = lambda test: F.sum(F.when(test, F.col("n")))
+    sums = fact_events(rows, pool, intents, screened=False).where("intent IS NOT NULL").groupBy("intent").agg(
+        of(F.col("event") == "emitted").alias("emitted"), of(F.col("event") == "applicable").alias("applicable"), of(F.col("reason") == "leak").alias("leaks")
     )
     known = rows.sparkSession.createDataFrame([(i,) for i in intents or facts_.INTENTS], "intent string")
     return known.join(sums, "intent", "left").select("intent", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("emitted", "applicable", "leaks")])
@@ -94,7 +108,7 @@ def coverage(rows: DataFrame, keep: list[str], pool: list[str] | None = None, in
 
 def reject_reasons(rows: DataFrame, keep: list[str], pool: list[str] | None = None, intents: tuple[str, ...] = ()) -> DataFrame:
     """event (rejected, screened), reason, n: a histogram."""
-    return fact_events(rows, keep, pool, intents).where("reason IS NOT NULL").groupBy("event", "reason").agg(F.sum("n").alias("n"))
+    return fact_events(rows, pool, intents).where("reason IS NOT NULL").groupBy("event", "reason").agg(F.sum("n").alias("n"))
 
 
 def extract_stack_facts(stacks: DataFrame) -> DataFrame:
@@ -106,6 +120,11 @@ def extract_stack_facts(stacks: DataFrame) -> DataFrame:
     return _generated(stacks, ["decoy", "members"], ["stack"], make, "id long, intent string, seed string, answer string, answer_type string")
 
 
+def calls(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep's columns and calls, the names that each function calls (null where it doesn't parse); each is parsed once."""
+    return _generated(rows, ["code"], keep, lambda x: [((pysource.function_facts(x or "") or {}).get("calls"),)], "calls array<string>")
+
+
 def segments(rows: DataFrame, keep: list[str], code: str = "code") -> DataFrame:
     return _generated(rows, [code], keep, lambda x: pysource.segments(x or ""), "kind string, start int, end int")
 
