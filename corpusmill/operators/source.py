@@ -15,6 +15,10 @@ from corpusmill.functions import facts as facts_
 from corpusmill.functions import pysource, sandbox, sequences
 
 
+#: Rows of a batch that are Python objects at a time.
+SLICE = 512
+
+
 def _generated(rows: DataFrame, columns: list[str], keep: list[str], make: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """keep's columns and what make yields for the values of columns, in batches."""
     kept = T.StructType([rows.schema[c] for c in keep])
@@ -23,7 +27,8 @@ def _generated(rows: DataFrame, columns: list[str], keep: list[str], make: Calla
     arrow = pa.schema(full_arrow(full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a batch may hold long rows: a slice of it at a time is in Python's lists
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             heads = [batch.column(i).to_pylist() for i in range(len(keep))]
             inputs = [batch.column(len(keep) + i).to_pylist() for i in range(len(columns))]
             out = [(*(h[i] for h in heads), *row) for i, values in enumerate(zip(*inputs)) for row in make(*values)]
