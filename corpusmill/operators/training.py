@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.storage import stored
+
 
 def rarity(tokens: DataFrame, rare_below: float = 1e-5) -> DataFrame:
     """token, n, rarity (surprisal, min-max scaled) and is_rare. The scale is one row, joined as such."""
@@ -68,3 +73,33 @@ def softmax_pool(vector: Column) -> Column:
 
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def rarest(spark: SparkSession, texts: DataFrame, counts: DataFrame, known: int = 100_000) -> DataFrame:
+    """doc_id, pos, token: of each text's tokens ([a-z]+, places from 1) the tenth with the least counts, ties to the later one.
+
+    Tasks know the `known` largest counts. All other tokens are rarer, so a text that has no more of those than its tenth is settled where it is
+    read; of any other text only those tokens meet their counts. The parameter doesn't change the result. Each doc_id is one row.
+    """
+    top = counts.orderBy(F.desc("n")).limit(known + 1).collect()
+    least = top[-1]["n"] if len(top) > known else 0
+    common = {r["token"]: r["n"] for r in top if r["n"] > least}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            rows = []
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = re.findall("[a-z]+", text or "")
+                tenth = len(found) // 10
+                ns = [common.get(token, 0) for token in found]
+                if ns.count(0) > tenth:
+                    rows += [(doc_id, i + 1, found[i], tenth) for i, n in enumerate(ns) if not n and tenth]
+                else:
+                    rows += [(doc_id, i + 1, found[i], None) for i in sorted(range(len(ns)), key=lambda i: (ns[i] << 40) - i)[:tenth]]
+            kinds = (batch.schema.types[0], pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "pos", "token", "tenth"])
+
+    placed = stored(spark, texts.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, token string, tenth int"), "rarest")
+    w = Window.partitionBy("doc_id").orderBy("n", F.desc("pos"))
+    ranked = placed.where("tenth IS NOT NULL").join(counts, "token").withColumn("rn", F.row_number().over(w)).where("rn <= tenth")
+    return placed.where("tenth IS NULL").select("doc_id", "pos", "token").union(ranked.select("doc_id", "pos", "token"))

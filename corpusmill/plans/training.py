@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as C
 from corpusmill.operators import training as T
+from corpusmill.sources.storage import stored
 
 from .registry import query, table
 
@@ -29,12 +30,16 @@ r AS (SELECT doc_id, x[1] AS pos, x[2] AS token, n, row_number() OVER (PARTITION
 SELECT doc_id, pos::INT AS pos, token FROM r WHERE rn <= floor(total * 0.1)""")
 def topfrac_rare(spark, sf):
     """The rarest tenth of each text's tokens, ties to the later one."""
-    counts = tokens(spark, sf).groupBy("token").agg(F.count("*").alias("n"))
-    placed = table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("pos", "token"))
-    placed = placed.withColumn("pos", F.col("pos") + 1).join(counts, "token")
+    counts = stored(spark, tokens(spark, sf).groupBy("token").agg(F.count("*").alias("n")), "counts")
+    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    again = stored(spark, docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "repeated-ids")
+    if again.isEmpty():
+        return T.rarest(spark, docs, counts)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    several = docs.join(again, same, "left_semi").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1))).alias("pos", "token"))
     w = Window.partitionBy("doc_id")
-    ranked = placed.withColumn("rn", F.row_number().over(w.orderBy("n", F.desc("pos")))).withColumn("total", F.count("*").over(w))
-    return ranked.where(F.col("rn") <= F.floor(F.col("total") * 0.1)).select("doc_id", "pos", "token")
+    ranked = several.withColumn("pos", F.col("pos") + 1).join(counts, "token").withColumn("rn", F.row_number().over(w.orderBy("n", F.desc("pos")))).withColumn("total", F.count("*").over(w))
+    return T.rarest(spark, docs.join(again, same, "left_anti"), counts).union(ranked.where(F.col("rn") <= F.floor(F.col("total") * 0.1)).select("doc_id", "pos", "token"))
 
 
 @query("identifier_order", r"SELECT doc_id, count_if(rn = 1)::BIGINT AS first_seen, count_if(rn > 1)::BIGINT AS repeated FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, token ORDER BY 1) AS rn FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS token FROM documents)) GROUP BY doc_id")
